@@ -1,0 +1,79 @@
+"""Running values over the lines of a file without one task per file.
+
+Windows run inside one chunk of a file.  Each chunk then hands on a single summary row, and
+only those summaries are walked in file order, so a file that holds a third of all lines is
+still spread over as many tasks as it has read splits.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+CHUNK = ["file", "chunk"]
+
+
+def running(
+    lines: DataFrame,
+    counts: dict[str, Column],
+    marks: dict[str, tuple[str, Column, Column]] | None = None,
+    lasts: dict[str, Column] | None = None,
+    totals: bool = False,
+) -> DataFrame:
+    """Adds running values in line order, over whole files.
+
+    ``counts``  name -> condition: number of rows so far (this row included) that meet it.
+    ``marks``   name -> (count, condition, offset): the value of ``count`` plus ``offset``
+                at the last earlier row that meets the condition, or NULL.
+    ``lasts``   name -> expression: its last value in earlier rows that is not NULL.
+    ``totals``  also add ``total_<count>`` for the whole file.
+    """
+    marks, lasts = marks or {}, lasts or {}
+    in_chunk = Window.partitionBy(*CHUNK).orderBy("pos")
+    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+
+    local = lines.select("*", *[F.sum(cond.cast("long")).over(so_far).alias(n) for n, cond in counts.items()])
+    marked = {m: F.when(cond, F.col(count) + offset) for m, (count, cond, offset) in marks.items()}
+    watched = {**marked, **lasts}
+    local = local.select("*", *[F.last(v, ignorenulls=True).over(earlier).alias(n) for n, v in watched.items()])
+
+    ends = local.groupBy(*CHUNK).agg(
+        *[F.max(n).alias(f"end_{n}") for n in counts],
+        *[F.max_by(v, F.when(v.isNotNull(), F.col("pos"))).alias(f"end_{n}") for n, v in watched.items()],
+    )
+    of_file = Window.partitionBy("file")
+    chunks_before = of_file.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(
+        "*",
+        *[F.coalesce(F.sum(f"end_{n}").over(chunks_before), F.lit(0)).alias(f"in_{n}") for n in counts],
+        *[F.sum(f"end_{n}").over(of_file).alias(f"total_{n}") for n in counts if totals],
+    )
+    handed = handed.select(
+        *CHUNK, *[f"in_{n}" for n in counts], *[f"total_{n}" for n in counts if totals],
+        *[F.last(F.col(f"in_{count}") + F.col(f"end_{m}"), ignorenulls=True).over(chunks_before).alias(f"in_{m}")
+          for m, (count, _, _) in marks.items()],
+        *[F.last(f"end_{n}", ignorenulls=True).over(chunks_before).alias(f"in_{n}") for n in lasts],
+    )
+    joined = local.join(handed, CHUNK)
+    return joined.select(
+        *lines.columns,
+        *[(F.col(n) + F.col(f"in_{n}")).alias(n) for n in counts],
+        *[f"total_{n}" for n in counts if totals],
+        *[F.coalesce(F.col(f"in_{count}") + F.col(m), F.col(f"in_{m}")).alias(m)
+          for m, (count, _, _) in marks.items()],
+        *[F.coalesce(F.col(n), F.col(f"in_{n}")).alias(n) for n in lasts],
+    )
+
+
+def last_in_file(rows: DataFrame, *names: str) -> DataFrame:
+    """The last row of each file: per chunk first, so no file is gathered in one place."""
+    value = F.struct(*names)
+    per_chunk = rows.groupBy(*CHUNK).agg(F.max_by(value, "pos").alias("last"))
+    return per_chunk.groupBy("file").agg(F.max_by("last", "chunk").alias("last")).select("file", "last.*")
+
+
+def first_in_file(rows: DataFrame, *names: str) -> DataFrame:
+    value = F.struct(*names)
+    per_chunk = rows.groupBy(*CHUNK).agg(F.min_by(value, "pos").alias("first"))
+    return per_chunk.groupBy("file").agg(F.min_by("first", "chunk").alias("first")).select("file", "first.*")
