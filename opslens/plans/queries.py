@@ -204,7 +204,7 @@ def query_shapes_ns(spark, sf_dir):
 SELECT update_norm AS shape, count(DISTINCT ns) AS n_ns, count(*) AS n, 'none' AS plans,
   arg_min(update_json, event_id) AS q, min(event_id) AS first_event FROM log WHERE op = 'update' GROUP BY update_norm""")
 def update_shapes(spark, sf_dir):
-    return _with_first_event(workload.update_shapes(db_events(spark, sf_dir)), "query: { _id: ([0-9]+) }")
+    return _with_first_event(workload.update_shapes(db_events(spark, sf_dir)), r"query: \{ _id: ([0-9]+) \}")
 
 
 @query("canonical_records", EV + """

@@ -59,7 +59,10 @@ def parse_dblog(lines: DataFrame, strict_reference: bool = False) -> DataFrame:
     )
     judged = read.withColumn("parse_status", status)
     kept = [F.when(F.col("parse_status") == "ok", F.col(name)).alias(name) for name in FIELDS]
-    return judged.select("file", "chunk", "pos", *kept, F.col("value").alias("raw"), "parse_status")
+    # The generated row keeps later filters above the parse, so that a filter on ``op`` does
+    # not evaluate the patterns once more below it.
+    return judged.select("file", "chunk", "pos", F.col("value").alias("raw"),
+                         F.inline(F.array(F.struct(*kept, "parse_status"))))
 
 
 def parsed_or_failed(events: DataFrame) -> DataFrame:

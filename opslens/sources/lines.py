@@ -33,12 +33,9 @@ def documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def rows_as_lines(df: DataFrame, file: Column, order: Column, lines: list[Column]) -> DataFrame:
     """Render each row as one or more lines; ``order`` is a unique whole number per row.
 
-    With several lines per row, a NULL line is left out.
+    A NULL line is left out.
     """
     width = len(lines)
-    if width == 1:
-        return df.select(file.alias("file"), F.floor(order / CHUNK_ROWS).alias("chunk"),
-                         order.alias("pos"), lines[0].alias("value"))
     exploded = df.select(file.alias("file"), order.alias("ord"), F.posexplode(F.array(*lines)))
     return exploded.where("col IS NOT NULL").select(
         "file", F.floor(F.col("ord") / CHUNK_ROWS).alias("chunk"),
