@@ -32,16 +32,20 @@ def running(
     in_chunk = Window.partitionBy(*CHUNK).orderBy("pos")
     so_far = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
     earlier = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-
-    local = lines.select("*", *[F.sum(cond.cast("long")).over(so_far).alias(n) for n, cond in counts.items()])
     marked = {m: F.when(cond, F.col(count) + offset) for m, (count, cond, offset) in marks.items()}
     watched = {**marked, **lasts}
-    local = local.select("*", *[F.last(v, ignorenulls=True).over(earlier).alias(n) for n, v in watched.items()])
 
-    ends = local.groupBy(*CHUNK).agg(
-        *[F.max(n).alias(f"end_{n}") for n in counts],
-        *[F.max_by(v, F.when(v.isNotNull(), F.col("pos"))).alias(f"end_{n}") for n, v in watched.items()],
-    )
+    # Keys that cannot be NULL, and a generated row that takes every column, keep the shuffle
+    # below both uses of ``local`` the same, so that Spark runs it once.
+    keyed = lines.withColumns({"file": F.coalesce("file", F.lit("")), "chunk": F.coalesce("chunk", F.lit(0))})
+    local = keyed.select("*", *[F.sum(cond.cast("long")).over(so_far).alias(n) for n, cond in counts.items()])
+    local = local.select("*", F.lead("pos").over(in_chunk).isNull().alias("ends_chunk"),
+                         *[F.last(v, ignorenulls=True).over(earlier).alias(n) for n, v in watched.items()])
+    rest = [c for c in local.columns if c not in ("file", "chunk", "pos")]
+    local = local.select("file", "chunk", "pos", F.inline(F.array(F.struct(*rest))))
+    ends = local.where("ends_chunk").select(
+        *CHUNK, *[F.col(n).alias(f"end_{n}") for n in counts],
+        *[F.coalesce(v, F.col(n)).alias(f"end_{n}") for n, v in watched.items()])
     of_file = Window.partitionBy("file")
     chunks_before = of_file.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     handed = ends.select(

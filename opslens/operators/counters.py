@@ -14,11 +14,11 @@ BEFORE, AFTER = "before", "after"
 
 def parse_snapshots(snapshots: DataFrame) -> DataFrame:
     """``run, phase, time_ms`` and the texts ``counters_text, proc_text`` as numbers."""
-    ticks = lambda i: F.get(F.split(F.trim("proc_text"), r"\s+"), F.lit(i)).try_cast("bigint")
-    counted = snapshots.withColumn("c", shell_json.counters(F.col("counters_text")))
-    total = sum((F.coalesce(F.col(f"c.`{name}`"), F.lit(0)) for name in shell_json.COUNTERS), F.lit(0))
-    return counted.select("run", "phase", "time_ms", total.cast("bigint").alias("ops"),
-                          ticks(USER_TICKS).alias("utime"), ticks(SYSTEM_TICKS).alias("stime"))
+    ticks = lambda i: F.get("f", F.lit(i)).try_cast("bigint")
+    counted = shell_json.with_operations(snapshots, "counters_text", "ops")
+    fields = counted.withColumn("f", F.split(F.trim("proc_text"), r"\s+"))
+    return fields.select("run", "phase", "time_ms", "ops", ticks(USER_TICKS).alias("utime"),
+                         ticks(SYSTEM_TICKS).alias("stime"))
 
 
 def _change(name: str) -> Column:

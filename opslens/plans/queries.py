@@ -655,7 +655,7 @@ def run_report(spark, sf_dir):
 
 
 @query("run_series_pages", """
-SELECT 'sysbench-' || o_orderpriority AS run, o_orderkey // 65536 AS page, count(*) AS points,
+SELECT 'sysbench-' || o_orderpriority AS run, o_orderkey // 16384 AS page, count(*) AS points,
   arg_min(o_totalprice, o_orderkey) AS first_interval, arg_max(o_totalprice, o_orderkey) AS last_interval
 FROM orders GROUP BY ALL""")
 def run_series_pages(spark, sf_dir):

@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are to be rendered, spread over all cores.
+
+    A table of many splits is spread already.  One that is a single row group is not, and
+    writing and parsing its text would otherwise run in one task.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text(*parts) -> Column:
     """Concatenation; strings are literals, columns are cast."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -55,7 +66,7 @@ def dblog_line() -> Column:
 
 
 def dblog(spark: SparkSession, sf_dir: str, file: Column | None = None) -> DataFrame:
-    return rows_as_lines(table(spark, sf_dir, "events"), F.lit("db.log") if file is None else file,
+    return rows_as_lines(rows(spark, sf_dir, "events"), F.lit("db.log") if file is None else file,
                          F.col("event_id"), [dblog_line()])
 
 
@@ -75,7 +86,7 @@ def access_line() -> Column:
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_as_lines(table(spark, sf_dir, "events"), F.lit("access.log"), F.col("event_id"), [access_line()])
+    return rows_as_lines(rows(spark, sf_dir, "events"), F.lit("access.log"), F.col("event_id"), [access_line()])
 
 
 def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +94,7 @@ def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.to_json(F.struct(
         F.when(F.col("o_orderstatus") == "O", "i").otherwise("u").alias("op"),
         text("shop.", F.col("o_orderpriority")).alias("ns"), document.alias("o")))
-    return rows_as_lines(table(spark, sf_dir, "orders"), F.lit("oplog.json"), F.col("o_orderkey"), [record])
+    return rows_as_lines(rows(spark, sf_dir, "orders"), F.lit("oplog.json"), F.col("o_orderkey"), [record])
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +113,7 @@ def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "MongoDB shell version: 2.7.5-pre-", "connecting to: 127.0.0.1:27017/test", "db version: 2.7.5",
         "2966c35b20416d55c3d481e5f254a9befb1b2338", "")]
     return rows_as_lines(
-        table(spark, sf_dir, "lineitem"), text("perf-", F.col("l_linestatus"), ".log"), F.monotonically_increasing_id(),
+        rows(spark, sf_dir, "lineitem"), text("perf-", F.col("l_linestatus"), ".log"), F.monotonically_increasing_id(),
         [*suite, text("Item.", F.col("l_returnflag")),
          text(F.col("l_linenumber"), "\t", cents(F.col("l_extendedprice")))])
 
@@ -122,7 +133,7 @@ def after_rows() -> Column:
 
 def sysbench(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per order priority: parameters, then one interval line per order."""
-    orders = table(spark, sf_dir, "orders")
+    orders = rows(spark, sf_dir, "orders")
     file = text("sysbench-", F.col("o_orderpriority"))
     setting = lambda name, value: text("Thread[main,5,main]  ", F.rpad(F.lit(name), 25, " "), "= ", value)
     digit = F.substring("o_orderpriority", 1, 1)
@@ -144,7 +155,7 @@ def sysbench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sysbench_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per market segment, one interval line per customer."""
-    customer = table(spark, sf_dir, "customer")
+    customer = rows(spark, sf_dir, "customer")
     file = text("insert-", F.col("c_mktsegment"))
     head = rows_as_lines(customer.groupBy("c_mktsegment").agg(F.count("*").alias("n")), file, before_rows(), [
         F.lit("Thread[main,5,main]  16 collections"), F.lit("Thread[main,5,main]  8 writer thread(s)"),
@@ -160,7 +171,7 @@ def sysbench_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hammer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per event type: an interval line per event, then the final block."""
-    events = table(spark, sf_dir, "events")
+    events = rows(spark, sf_dir, "events")
     file = text("hammer-", F.col("event_type"))
     interval = text(event_time("MMM dd HH:mm:ss"), "  Total send:  ", F.col("event_id"), "  slow:  0.00%  | Last avg(ms):  ",
                     cents(F.col("value")), "  send:  ", F.col("event_id"), "  | conn: 4")
@@ -179,7 +190,7 @@ def hammer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ycsb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per nation: each customer adds a command line and an overall result."""
     key = F.col("c_custkey")
-    return rows_as_lines(table(spark, sf_dir, "customer"), text("ycsb-", F.col("c_nationkey")), key, [
+    return rows_as_lines(rows(spark, sf_dir, "customer"), text("ycsb-", F.col("c_nationkey")), key, [
         text("Command line: -db client -s -P workloads/w -threads ", key),
         text("[OVERALL], RunTime(ms), ", key),
         F.when(key % 2 == 1, text("[OVERALL], Throughput(ops/sec), ", key, ".25")),
@@ -198,7 +209,7 @@ def sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     browse = stats(op_count=nation.cast("bigint"), op_lat_total_micros=key)
     buy = stats(op_count=key % 7, op_lat_total_micros=key * 2)
     nodes = [F.struct(browse.alias("browse")), F.struct(buy.alias("browse"))]
-    return rows_as_lines(table(spark, sf_dir, "customer"), text("sim-", key), key, [
+    return rows_as_lines(rows(spark, sf_dir, "customer"), text("sim-", key), key, [
         F.lit("Simulation configuration:"), F.lit("==== perf metrics ===="), report(nodes[1:]),
         F.lit("==== perf metrics ===="), report(nodes), F.lit("Script done")])
 
@@ -214,7 +225,7 @@ def pidstat(spark: SparkSession, sf_dir: str) -> DataFrame:
         " ", e, "  17  ", tid, "  1.00  0.50  0.00  ", cents(F.col("value")), "  3  ", user, ".25  ", e % 1000, ".00  ",
         e % 777, ".50  ", switches, ".00  ", forced, ".00  ", name)
     threads = [row(F.lit(str(20 + i)), user + i, e % 100 + i, f"|__worker{i}") for i in range(3)]
-    return rows_as_lines(table(spark, sf_dir, "events"), text("pidstat-10.0.0.", user % 4), e,
+    return rows_as_lines(rows(spark, sf_dir, "events"), text("pidstat-10.0.0.", user % 4), e,
                          [F.lit(PIDSTAT_HEADER), row(F.lit("0"), F.lit(0), F.lit(0), "serverd"), *threads, F.lit("")])
 
 
@@ -237,7 +248,7 @@ def server_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit('\t"debug" : false'), F.lit("}")])
     engine = F.when(key % 3 == 0, _shell([F.lit("undefined")])).otherwise(
         _shell([F.lit("{"), F.lit('\t"name" : "wiredTiger"'), F.lit("}")]))
-    return table(spark, sf_dir, "supplier").select(
+    return rows(spark, sf_dir, "supplier").select(
         F.col("s_name").alias("server"), host.alias("host_text"), build.alias("build_text"), engine.alias("engine_text"))
 
 
@@ -256,9 +267,9 @@ def run_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     after = F.col("phase") == "after"
     plus = lambda base, more: base + F.when(after, more).otherwise(0)
-    rows = table(spark, sf_dir, "orders").withColumn("phase", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    both = rows(spark, sf_dir, "orders").withColumn("phase", F.explode(F.array(F.lit("before"), F.lit("after"))))
     values = [plus(key, cust), plus(cust, F.lit(7)), key, F.lit(0), plus(F.lit(5), key % 11), F.lit(3)]
-    return rows.select(
+    return both.select(
         key.alias("run"), "phase", plus(key * 1000, F.lit(60000) + cust).alias("time_ms"),
         _counter_text(values).alias("counters_text"),
         _proc_text(plus(key, cust % 13), plus(cust, key % 5)).alias("proc_text"))
@@ -271,9 +282,9 @@ def sysbench_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.col("phase") == "after"
     plus = lambda base, more: F.lit(base) + F.when(after, more).otherwise(0)
     n, s = F.col("n"), F.col("s")
-    rows = totals.withColumn("phase", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    both = totals.withColumn("phase", F.explode(F.array(F.lit("before"), F.lit("after"))))
     values = [plus(100, n), plus(50, s), F.lit(1), F.lit(0), F.lit(5), F.lit(3)]
-    return rows.select(
+    return both.select(
         text("sysbench-", F.col("o_orderpriority")).alias("run"), "phase", plus(1000, n * 10).alias("time_ms"),
         _counter_text(values).alias("counters_text"), _proc_text(plus(10, n), plus(20, n * 2)).alias("proc_text"))
 

@@ -9,8 +9,8 @@ from opslens.functions import predicates, shapes
 
 # Fixed values of the log format.
 OPERATIONS = ["command", "update", "query", "insert", "remove", "getmore"]
-TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX][XX]"
 PLAN_MARK = "planSummary:"
+PLAN = r"(?:^|\s)planSummary:\s(\S*)"
 UPDATE_OPERATORS = ["inc", "set", "pull"]
 
 FIELDS = ["ts", "epoch", "conn", "op", "ns", "cmd", "q_text", "update_text", "q_plan", "no_document"]
@@ -27,22 +27,22 @@ def parse_dblog(lines: DataFrame, strict_reference: bool = False) -> DataFrame:
     line = F.col("value")
     token = lambda i: F.get(F.col("t"), F.lit(i))
     is_op = lambda *names: F.col("op0").isin(*names)
-    plan_at = F.array_position("t", F.lit(PLAN_MARK))
+    # A plan mark among the first five words belongs to a query without a document.
+    has_plan = is_op("query") & ~F.array_contains(F.slice("t", 1, 5), F.lit(PLAN_MARK))
 
-    cut = lines.select("file", "chunk", "pos", "value", F.split(line, r"\s").alias("t"))
+    cut = lines.select("file", "chunk", "pos", "value", F.split(line, r"\s", 7).alias("t"))
     cut = cut.withColumn("op0", token(2))
     read = cut.select(
         "file", "chunk", "pos", "value", "op0",
         token(0).alias("ts"),
-        F.when(is_op(*OPERATIONS),
-               F.unix_timestamp(F.try_to_timestamp(token(0), F.lit(TIMESTAMP_FORMAT)))).alias("epoch"),
+        F.when(is_op(*OPERATIONS), F.unix_timestamp(token(0).try_cast("timestamp"))).alias("epoch"),
         token(1).alias("conn"),
         F.col("op0").alias("op"),
         token(3).alias("ns"),
         F.when(is_op("command"), token(5)).alias("cmd"),
         F.when(is_op("query", "update"), predicates.predicate_text(line)).alias("q_text"),
         F.when(is_op("update"), predicates.update_text(line)).alias("update_text"),
-        F.when(is_op("query") & (plan_at >= 6), F.get("t", plan_at.cast("int"))).alias("q_plan"),
+        F.when(has_plan, F.nullif(F.regexp_extract(line, PLAN, 1), F.lit(""))).alias("q_plan"),
         F.when(is_op("query") & token(5).isin(*shapes.NO_DOCUMENT), token(5)).alias("no_document"),
     )
     broken = (

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1 << 16
+# A chunk of rendered rows holds 2 ** CHUNK_BITS rows.
+CHUNK_BITS = 14
 
 
 def log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -38,7 +39,7 @@ def rows_as_lines(df: DataFrame, file: Column, order: Column, lines: list[Column
     width = len(lines)
     exploded = df.select(file.alias("file"), order.alias("ord"), F.posexplode(F.array(*lines)))
     return exploded.where("col IS NOT NULL").select(
-        "file", F.floor(F.col("ord") / CHUNK_ROWS).alias("chunk"),
+        "file", F.shiftright("ord", CHUNK_BITS).alias("chunk"),
         (F.col("ord") * width + F.col("pos")).alias("pos"), F.col("col").alias("value"))
 
 

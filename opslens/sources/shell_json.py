@@ -22,30 +22,28 @@ BUILD = """version STRING, gitVersion STRING, OpenSSLVersion STRING, sysInfo STR
 
 def cleaned(text: Column) -> Column:
     """Lines with dates dropped, long numbers unwrapped, banner removed; ``undefined`` is NULL."""
-    no_dates = F.regexp_replace(text, DATE_LINE, "")
-    plain = F.regexp_replace(no_dates, LONG_LINE, "$1$2")
-    payload = F.trim(F.regexp_replace(plain, rf"\A(?:[^\n]*\n){{{BANNER_LINES}}}", ""))
-    return F.when(~payload.startswith("undefined") & (payload != ""), payload)
-
-
-def server_info(host: Column, build: Column, engine: Column) -> list[Column]:
-    """Parsed snapshots; a server without storage-engine output is a legacy one."""
-    engine_name = F.get_json_object(cleaned(engine), "$.name")
-    return [
-        F.from_json(cleaned(host), HOST).alias("host"),
-        F.from_json(cleaned(build), BUILD).alias("build"),
-        F.when(cleaned(engine).isNull(), LEGACY_ENGINE).otherwise(engine_name).alias("storage_engine"),
-    ]
-
-
-def counters(text: Column) -> Column:
-    """Operation counters, from the bare object or wrapped in ``opcounters``."""
-    fields = ", ".join(f"`{name}` BIGINT" for name in COUNTERS)
-    payload = cleaned(text)
-    inner = F.coalesce(F.get_json_object(payload, "$.opcounters"), payload)
-    return F.from_json(inner, fields)
+    no_dates = F.when(text.contains("ISODate"), F.regexp_replace(text, DATE_LINE, "")).otherwise(text)
+    plain = F.when(text.contains("NumberLong"), F.regexp_replace(no_dates, LONG_LINE, "$1$2")).otherwise(no_dates)
+    payload = F.regexp_replace(plain, rf"\A(?:[^\n]*\n){{{BANNER_LINES}}}(?:\s*undefined\b[\s\S]*)?", "")
+    return F.nullif(F.trim(payload), F.lit(""))
 
 
 def parse_server_info(snapshots: DataFrame) -> DataFrame:
-    """``server`` and the three texts ``host_text, build_text, engine_text`` as structs."""
-    return snapshots.select("server", *server_info(F.col("host_text"), F.col("build_text"), F.col("engine_text")))
+    """``server`` and the three texts ``host_text, build_text, engine_text`` as structs.
+
+    A server without storage-engine output is a legacy one.
+    """
+    read = snapshots.withColumns({name: cleaned(F.col(name)) for name in ("host_text", "build_text", "engine_text")})
+    engine = F.coalesce(F.get_json_object("engine_text", "$.name"), F.when(F.col("engine_text").isNull(), LEGACY_ENGINE))
+    return read.select("server", F.from_json("host_text", HOST).alias("host"),
+                       F.from_json("build_text", BUILD).alias("build"), engine.alias("storage_engine"))
+
+
+def with_operations(snapshots: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the sum of the operation counters, given bare or wrapped in ``opcounters``."""
+    read = snapshots.withColumn("payload", cleaned(F.col(text)))
+    wrapped = F.from_json("payload", "opcounters MAP<STRING, BIGINT>").getField("opcounters")
+    read = read.withColumn("payload", F.coalesce(wrapped, F.from_json("payload", "MAP<STRING, BIGINT>")))
+    known = F.map_filter("payload", lambda key, n: key.isin(*COUNTERS))
+    total = F.aggregate(F.map_values(known), F.lit(0).cast("bigint"), lambda sum_, n: sum_ + F.coalesce(n, F.lit(0)))
+    return read.withColumn(name, F.coalesce(total, F.lit(0).cast("bigint"))).drop("payload")
