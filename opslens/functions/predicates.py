@@ -28,7 +28,8 @@ _UPDATE = rf"{_AT_TOKEN_5}{_DOCUMENT}\s\S*\s({_DOCUMENT})"
 _SCALAR = r'"((?:[^"\\]|\\.)*+)"|(?<!\S)([^\s"{}\[\],]\S*?)(?=:?,?(?:\s|$))'
 # A quoted string, or a bare value; bare keys end in a colon and are left alone.
 _VALUE = _STRING + r'|(?<!\S)[^\s"{}\[\],](?:\S*?[^\s:,])?(?=,?(?:\s|$))'
-_SPACED_STRING = r'"[^"]*\s[^"]*"'
+# Strings without a blank are skipped; a quote that is left over opens one that has a blank.
+_SPACED_STRING = r'^(?:[^"]++|"(?:[^"\\\s]|\\.)*+")*+"'
 
 
 def predicate_text(line: Column) -> Column:

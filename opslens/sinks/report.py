@@ -59,12 +59,12 @@ def sim_reports(run: DataFrame, nodes: DataFrame) -> DataFrame:
     The nodes of one run come from a single line of its log, which bounds the group.
     """
     stats = nodes.groupBy("file", "node_no", "node").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("stats"))
-    listed = stats.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(
-        "node_no", F.create_map("node", "stats").alias("node")))).alias("nodes"))
+        F.array_sort(F.collect_list(F.struct("metric", "value"))).alias("stats"))
+    listed = stats.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("node_no", "node", "stats"))).alias("nodes"))
+    by_name = F.transform("nodes", lambda n: F.create_map(n["node"], F.map_from_entries(n["stats"])))
     return run.join(listed, "file", "left").select(
         F.col("file").alias("run"), "harness", "workload", "server_version", "test_driver", "run_seconds",
-        "run_nanos", "attributes", F.struct(F.transform("nodes", lambda n: n["node"]).alias("nodes")).alias("summary"))
+        "run_nanos", "attributes", F.struct(by_name.alias("nodes")).alias("summary"))
 
 
 def series_pages(series: DataFrame, *names: str) -> DataFrame:

@@ -50,16 +50,19 @@ def tab_lines(cells: DataFrame) -> DataFrame:
 def aligned_lines(cells: DataFrame, header: list[str]) -> DataFrame:
     """Header and rows with cells padded to the widest cell of their column.
 
-    The widths are one row, taken by a scalar subquery; the last cell is not padded.
+    The widths are one row, taken by a scalar subquery.  The last cell of a row is not padded.
     """
     columns = len(header)
-    width = lambda i: F.greatest(F.max(F.length(F.get("cells", F.lit(i)))), F.lit(len(header[i]))) + PADDING
-    widths = cells.agg(F.struct(*[width(i).alias(f"w{i}") for i in range(columns - 1)]).alias("w")).scalar()
+    cell = lambda i: F.get("cells", F.lit(i))
+    padded = lambda i: F.size("cells") > i + 1
+    width = lambda i: F.greatest(F.coalesce(F.max(F.when(padded(i), F.length(cell(i)))), F.lit(0)), F.lit(len(header[i])))
+    widths = cells.agg(F.struct(*[(width(i) + PADDING).alias(f"w{i}") for i in range(columns - 1)]).alias("w")).scalar()
     head = cells.sparkSession.range(1).select(
         F.lit("").alias("key"), F.array(*[F.lit(h) for h in header]).alias("cells"))
-    padded = [F.rpad(F.get("cells", F.lit(i)), F.col("w").getField(f"w{i}"), F.lit(" ")) for i in range(columns - 1)]
     rows = head.unionByName(cells).withColumn("w", widths)
-    return rows.select("key", F.concat(*padded, F.get("cells", F.lit(columns - 1))).alias("line"))
+    aligned = [F.when(padded(i), F.rpad(cell(i), F.col("w").getField(f"w{i}"), F.lit(" "))).otherwise(
+        F.coalesce(cell(i), F.lit(""))) for i in range(columns - 1)]
+    return rows.select("key", F.concat(*aligned, F.coalesce(cell(columns - 1), F.lit(""))).alias("line"))
 
 
 def text_table(compared: DataFrame, wiki: bool = False, aligned: bool = True) -> DataFrame:
