@@ -70,14 +70,21 @@ def running(
     )
 
 
+def _value(names: tuple[str, ...]) -> Column:
+    """One plain column stays plain: numbers are then aggregated by hash, without a sort."""
+    return F.col(names[0]) if len(names) == 1 else F.struct(*names)
+
+
+def _columns(value: str, names: tuple[str, ...]) -> list[Column | str]:
+    return [F.col(value).alias(names[0])] if len(names) == 1 else [f"{value}.*"]
+
+
 def last_in_file(rows: DataFrame, *names: str) -> DataFrame:
     """The last row of each file: per chunk first, so no file is gathered in one place."""
-    value = F.struct(*names)
-    per_chunk = rows.groupBy(*CHUNK).agg(F.max_by(value, "pos").alias("last"))
-    return per_chunk.groupBy("file").agg(F.max_by("last", "chunk").alias("last")).select("file", "last.*")
+    per_chunk = rows.groupBy(*CHUNK).agg(F.max_by(_value(names), "pos").alias("end"))
+    return per_chunk.groupBy("file").agg(F.max_by("end", "chunk").alias("end")).select("file", *_columns("end", names))
 
 
 def first_in_file(rows: DataFrame, *names: str) -> DataFrame:
-    value = F.struct(*names)
-    per_chunk = rows.groupBy(*CHUNK).agg(F.min_by(value, "pos").alias("first"))
-    return per_chunk.groupBy("file").agg(F.min_by("first", "chunk").alias("first")).select("file", "first.*")
+    per_chunk = rows.groupBy(*CHUNK).agg(F.min_by(_value(names), "pos").alias("end"))
+    return per_chunk.groupBy("file").agg(F.min_by("end", "chunk").alias("end")).select("file", *_columns("end", names))

@@ -55,6 +55,10 @@ def gen_docs(spark: SparkSession, shape: dict, n: int, start: int = 0, seed: int
     return documents_for(spark.range(start, start + n), "id", shape, seed, query)
 
 
+def write_documents(docs: DataFrame, path: str, fmt: str = "parquet") -> None:
+    docs.write.mode("overwrite").format(fmt).save(path)
+
+
 def staging_rows(uids: DataFrame, uid: str, statuses: int = 5, writers: int = 10, seed: int = 0) -> DataFrame:
     """``uid, status, writer, amount``: every writer adds every status for every uid."""
     rows = uids.select(F.col(uid).alias("uid"), F.explode(F.sequence(F.lit(0), F.lit(writers - 1))).alias("writer"))

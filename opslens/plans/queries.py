@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.operators import changes, counters, http, keyed_sum, perf, synth, workload
+from opslens.operators import changes, counters, http, keyed_sum, perf, runs, synth, workload
 from opslens.plans import render
 from opslens.session import scratch_dir
 from opslens.sinks import report, tables
@@ -446,12 +446,9 @@ SELECT key, round(old_mean, 4) AS old_mean, round(new_mean, 4) AS new_mean, roun
   key || chr(9) || printf('%.2f', old_mean) || '[' || old_cv_str || ']' || chr(9) || printf('%.2f', new_mean)
   || '[' || new_cv_str || ']' || chr(9) || delta AS line FROM compared""")
 def perf_compare(spark, sf_dir):
-    table = compared(spark, sf_dir)
-    cells = tables.text_cells(table).select("cells", "key")
-    lines = tables.tab_lines(cells)
-    numbers = table.select("key", F.round("old_mean", 4).alias("old_mean"), F.round("new_mean", 4).alias("new_mean"),
-                           F.round("ratio", 8).alias("ratio"))
-    return numbers.join(lines, "key")
+    lines = tables.tab_lines(tables.text_cells(compared(spark, sf_dir)))
+    return lines.select("key", F.round("old_mean", 4).alias("old_mean"), F.round("new_mean", 4).alias("new_mean"),
+                        F.round("ratio", 8).alias("ratio"), "line")
 
 
 @query("perf_compare_wiki", PERF + """
@@ -461,7 +458,7 @@ SELECT key, '||' || key || chr(9) || '|' || printf('%.2f', old_mean) || chr(9) |
   || CASE WHEN new_noisy THEN '{color:orange}' || new_cv_str || '{color}' ELSE new_cv_str END || chr(9) || '|'
   || CASE WHEN regression THEN '{color:red}' || delta || '{color}' ELSE delta END || '|' AS line FROM compared""")
 def perf_compare_wiki(spark, sf_dir):
-    return tables.tab_lines(tables.wiki_cells(compared(spark, sf_dir)))
+    return tables.tab_lines(tables.wiki_cells(compared(spark, sf_dir))).select("key", "line")
 
 
 @query("perf_flags", PERF + "SELECT key, regression, old_noisy, new_noisy FROM compared")
@@ -629,14 +626,38 @@ def ticks_per_op(spark, sf_dir):
 
 
 def sysbench_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = captures.summary(render.sysbench(spark, sf_dir), "sysbench")
-    names = list(captures.SYSBENCH_PARAMETERS)
-    pairs = [part for name in names for part in (F.lit(name), F.col(f"`{name}`"))]
-    results = result.select(F.col("file").alias("run"), "throughput", F.create_map(*pairs).alias("attributes"))
+    results = runs.results(render.sysbench(spark, sf_dir), "sysbench")
     own = F.create_map(F.lit("run-by"), F.lit("nightly"), F.lit("nThreads"), F.lit("unknown"))
-    runs = result.select(F.col("file").alias("run"), F.lit("sysbench").alias("harness"), own.alias("attributes"))
+    configured = render.table(spark, sf_dir, "orders").select(
+        render.text("sysbench-", F.col("o_orderpriority")).alias("run")).distinct().select(
+        "run", F.lit("sysbench").alias("harness"), own.alias("attributes"))
     costs = counters.run_costs(counters.parse_snapshots(render.sysbench_snapshots(spark, sf_dir)))
-    return report.run_reports(runs, results, costs)
+    return report.run_reports(configured, results, costs)
+
+
+@query("harness_results", """
+SELECT 'sysbench-' || o_orderpriority AS run, 'sysbench' AS harness, 'sysbench-' || o_orderpriority AS workload,
+  arg_max(o_custkey, o_orderkey) + 0.25::DOUBLE AS throughput, substr(o_orderpriority, 1, 1) AS n_threads
+FROM orders GROUP BY o_orderpriority
+UNION ALL SELECT 'insert-' || c_mktsegment, 'sysbench', 'insert-' || c_mktsegment, max(c_custkey) * 2 + 0.5::DOUBLE, '8'
+FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'hammer-' || event_type, 'hammer', 'hammer-' || event_type, count(*), CAST(count(DISTINCT user_id) AS VARCHAR)
+FROM events GROUP BY event_type
+UNION ALL SELECT 'ycsb-' || c_nationkey, 'ycsb', 'ycsb-' || c_nationkey, min(c_custkey) + 0.25::DOUBLE, NULL
+FROM customer WHERE c_custkey % 2 = 1 GROUP BY c_nationkey
+UNION ALL SELECT 'sim-' || c_custkey, 'mongo-sim', 'sim-' || c_custkey, NULL, CAST(c_nationkey AS VARCHAR) FROM customer
+UNION ALL SELECT 'perf-' || l_linestatus || '.log', 'mongo-perf', 'Item.' || l_returnflag, round(avg(l_extendedprice), 4),
+  CAST(l_linenumber AS VARCHAR) FROM lineitem GROUP BY l_linestatus, l_returnflag, l_linenumber""")
+def harness_results(spark, sf_dir):
+    """Captures of every tool through one switch on the harness type."""
+    logs = {"sysbench": render.sysbench, "sysbench-insert": render.sysbench_insert, "hammer": render.hammer,
+            "ycsb": render.ycsb, "mongo-sim": render.sim, "mongo-perf": render.perf}
+    both = None
+    for harness, rendered in logs.items():
+        found = runs.results(rendered(spark, sf_dir), harness)
+        both = found if both is None else both.unionByName(found)
+    n_threads = F.coalesce(F.try_element_at("attributes", F.lit("nThreads")), F.try_element_at("attributes", F.lit("nThread")))
+    return both.select("run", "harness", "workload", F.round("throughput", 4).alias("throughput"), n_threads.alias("n_threads"))
 
 
 @query("run_report", """

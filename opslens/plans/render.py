@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+KEYS = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey",
+        "supplier": "s_suppkey"}
+
+
 def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows are to be rendered, spread over all cores.
 
@@ -24,7 +28,7 @@ def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, KEYS[name])
 
 
 def text(*parts) -> Column:
@@ -133,7 +137,7 @@ def after_rows() -> Column:
 
 def sysbench(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per order priority: parameters, then one interval line per order."""
-    orders = rows(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
     file = text("sysbench-", F.col("o_orderpriority"))
     setting = lambda name, value: text("Thread[main,5,main]  ", F.rpad(F.lit(name), 25, " "), "= ", value)
     digit = F.substring("o_orderpriority", 1, 1)
@@ -150,12 +154,12 @@ def sysbench(spark: SparkSession, sf_dir: str) -> DataFrame:
     interval = text("Thread[Thread-66,5,main]", (F.col("o_orderkey") + 1) * 10, " seconds : cum tps=",
                     grouped(F.col("o_custkey") + 0.25, 2), " : int tps=", grouped(F.col("o_totalprice"), 2),
                     " : cum ips=0.00 : int ips=0.00")
-    return head.unionByName(rows_as_lines(orders, file, F.col("o_orderkey"), [interval]))
+    return head.unionByName(rows_as_lines(rows(spark, sf_dir, "orders"), file, F.col("o_orderkey"), [interval]))
 
 
 def sysbench_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per market segment, one interval line per customer."""
-    customer = rows(spark, sf_dir, "customer")
+    customer = table(spark, sf_dir, "customer")
     file = text("insert-", F.col("c_mktsegment"))
     head = rows_as_lines(customer.groupBy("c_mktsegment").agg(F.count("*").alias("n")), file, before_rows(), [
         F.lit("Thread[main,5,main]  16 collections"), F.lit("Thread[main,5,main]  8 writer thread(s)"),
@@ -166,12 +170,12 @@ def sysbench_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     interval = text("Thread[Thread-2,5,main]", key, " inserts : ", (key + 1) * 10, " seconds : cum ips=",
                     grouped(key * 2 + 0.5, 2), " : int ips=", grouped(key + 0.75, 2))
-    return head.unionByName(rows_as_lines(customer, file, key, [interval]))
+    return head.unionByName(rows_as_lines(rows(spark, sf_dir, "customer"), file, key, [interval]))
 
 
 def hammer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per event type: an interval line per event, then the final block."""
-    events = rows(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     file = text("hammer-", F.col("event_type"))
     interval = text(event_time("MMM dd HH:mm:ss"), "  Total send:  ", F.col("event_id"), "  slow:  0.00%  | Last avg(ms):  ",
                     cents(F.col("value")), "  send:  ", F.col("event_id"), "  | conn: 4")
@@ -184,7 +188,7 @@ def hammer(spark: SparkSession, sf_dir: str) -> DataFrame:
         final("err ratio(%)", F.lit("10.00")), final("slow ratio(%)", F.lit("18.00")),
         final("last avg(ms)", F.lit("0.094658")), final("conn", F.col("users")),
     ])
-    return rows_as_lines(events, file, F.col("event_id"), [interval]).unionByName(block)
+    return rows_as_lines(rows(spark, sf_dir, "events"), file, F.col("event_id"), [interval]).unionByName(block)
 
 
 def ycsb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +299,7 @@ def csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = text("csv-", F.col("c_nationkey"))
     head = rows_as_lines(customer.select("c_nationkey").distinct(), file, before_rows(), [F.lit("key,name,balance")])
     row = text(F.col("c_custkey"), ",", F.col("c_name"), ",", cents(F.col("c_acctbal")))
-    return head.unionByName(rows_as_lines(customer, file, F.col("c_custkey"), [row]))
+    return head.unionByName(rows_as_lines(rows(spark, sf_dir, "customer"), file, F.col("c_custkey"), [row]))
 
 
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:

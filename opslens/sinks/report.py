@@ -28,7 +28,7 @@ def run_reports(runs: DataFrame, results: DataFrame, costs: DataFrame | None = N
     Interval and process series are not gathered into the document: ``series_pages`` and
     ``server_pages`` give them in pages of bounded size under the same run name.
     """
-    found = results.withColumnRenamed("attributes", "new_attributes")
+    found = results.select("run", "throughput", F.col("attributes").alias("new_attributes"))
     empty = F.create_map().cast("map<string,string>")
     joined = runs.join(found, "run")
     if costs is not None:
@@ -74,13 +74,15 @@ def series_pages(series: DataFrame, *names: str) -> DataFrame:
     return pages.select("file", "page", *[F.col(f"points.{n}").alias(n) for n in names])
 
 
-def server_pages(series: DataFrame, server: Column) -> DataFrame:
-    """Process series as arrays per server, in pages of a fixed number of samples."""
+def server_pages(series: DataFrame, server: Column, run: Column | None = None) -> DataFrame:
+    """Process series as arrays per run and server, in pages of a fixed number of samples."""
     names = ["ts", "cpu", "mem", "kb_rd", "kb_wr", "cswch", "nvcswch"]
     ordered = F.array_sort(F.collect_list(F.struct("sample", *names)))
-    page = F.floor(F.col("sample") / PAGE_SAMPLES)
-    pages = series.groupBy(server_key(server).alias("server"), page.alias("page")).agg(ordered.alias("points"))
-    return pages.select("server", "page", *[F.col(f"points.{n}").alias(n) for n in names])
+    keys = [server_key(server).alias("server"), F.floor(F.col("sample") / PAGE_SAMPLES).alias("page")]
+    if run is not None:
+        keys.insert(0, run.alias("run"))
+    pages = series.groupBy(*keys).agg(ordered.alias("points"))
+    return pages.select(*[c for c in pages.columns if c != "points"], *[F.col(f"points.{n}").alias(n) for n in names])
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -17,13 +17,13 @@ def _fixed(value: str, places: int = 2) -> Column:
 
 
 def text_cells(compared: DataFrame) -> DataFrame:
-    """``key, cells``: benchmark, old and new mean with CV, and delta or ``n/a``."""
+    """Adds ``cells``: benchmark, old and new mean with CV, and delta or ``n/a``."""
     with_cv = lambda mean, cv: F.concat(mean, F.lit("["), F.col(cv), F.lit("]"))
     has_old = F.col("old_mean").isNotNull()
     old = F.when(has_old, with_cv(_fixed("old_mean"), "old_cv_str")).otherwise("n/a")
     new = with_cv(F.when(has_old, _fixed("new_mean")).otherwise(_fixed("new_mean", 6)), "new_cv_str")
     delta = F.when(has_old, F.col("delta")).otherwise("n/a")
-    return compared.select("key", F.array("key", old, new, delta).alias("cells"))
+    return compared.withColumn("cells", F.array("key", old, new, delta))
 
 
 def wiki_cells(compared: DataFrame) -> DataFrame:
@@ -40,11 +40,11 @@ def wiki_cells(compared: DataFrame) -> DataFrame:
     alone = F.array(
         name, F.lit("|n/a"), cell(_fixed("new_mean", 6)),
         F.concat(F.lit("|["), F.col("new_cv_str"), F.lit("]")), F.lit("|n/a|"))
-    return compared.select("key", F.when(F.col("old_mean").isNotNull(), both).otherwise(alone).alias("cells"))
+    return compared.withColumn("cells", F.when(F.col("old_mean").isNotNull(), both).otherwise(alone))
 
 
 def tab_lines(cells: DataFrame) -> DataFrame:
-    return cells.select("key", F.array_join("cells", "\t").alias("line"))
+    return cells.withColumn("line", F.array_join("cells", "\t"))
 
 
 def aligned_lines(cells: DataFrame, header: list[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def aligned_lines(cells: DataFrame, header: list[str]) -> DataFrame:
     widths = cells.agg(F.struct(*[(width(i) + PADDING).alias(f"w{i}") for i in range(columns - 1)]).alias("w")).scalar()
     head = cells.sparkSession.range(1).select(
         F.lit("").alias("key"), F.array(*[F.lit(h) for h in header]).alias("cells"))
-    rows = head.unionByName(cells).withColumn("w", widths)
+    rows = head.unionByName(cells.select("key", "cells")).withColumn("w", widths)
     aligned = [F.when(padded(i), F.rpad(cell(i), F.col("w").getField(f"w{i}"), F.lit(" "))).otherwise(
         F.coalesce(cell(i), F.lit(""))) for i in range(columns - 1)]
     return rows.select("key", F.concat(*aligned, F.coalesce(cell(columns - 1), F.lit(""))).alias("line"))

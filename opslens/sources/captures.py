@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.operators.carry import first_in_file, last_in_file
-from opslens.sources.lines import log_lines  # noqa: F401  (part of this module's API)
 
 # Fixed values of the capture formats: parameter name -> pattern with the value in group 1.
 SYSBENCH_PARAMETERS = {
@@ -131,13 +130,13 @@ def summary(lines: DataFrame, harness: str, strict: bool = False) -> DataFrame:
     """One row per file: throughput, number of intervals and the parameters as text."""
     spec = HARNESSES[harness]
     attributes = _attributes(parameters(lines, harness, strict), harness)
-    series = intervals(lines, harness)
-    counted = series.groupBy("file").agg(F.count("*").alias("n_intervals"))
+    first = spec.interval_names[0]
+    per_chunk = intervals(lines, harness).groupBy("file", "chunk").agg(
+        F.count("*").alias("n"), F.max_by(first, "pos").alias("last"))
+    ends = per_chunk.groupBy("file").agg(F.sum("n").alias("n_intervals"), F.max_by("last", "chunk").alias("throughput"))
+    out = attributes.join(ends, "file", "left")
     if spec.result_parameter:
-        out = attributes.join(counted, "file", "left").withColumn("throughput", number(F.col(spec.result_parameter)))
-    else:
-        last = last_in_file(series, "cum").withColumnRenamed("cum", "throughput")
-        out = attributes.join(counted, "file", "left").join(last, "file", "left")
+        out = out.withColumn("throughput", number(F.col(spec.result_parameter)))
     kept = [name for name in spec.parameters if name != spec.result_parameter]
     return out.select("file", "throughput", F.coalesce("n_intervals", F.lit(0).cast("bigint")).alias("n_intervals"),
                       *[F.col(f"`{name}`") for name in kept])

@@ -16,15 +16,14 @@ def csv_tail_summary(lines: DataFrame, expected: DataFrame | None = None) -> Dat
     Every row carries its own header, so a change of header between files shows in the rows.
     """
     header = first_in_file(lines.withColumnRenamed("value", "header"), "header", "chunk", "pos")
-    data = lines.join(header.select("file", F.col("chunk").alias("h_chunk"), F.col("pos").alias("h_pos")), "file")
-    data = data.where((F.col("chunk") > F.col("h_chunk")) | (F.col("pos") > F.col("h_pos")))
-    # Two rows per chunk, then two per file: the rank limit is applied before each shuffle.
+    # Two lines per chunk, then two per file: the rank limit is applied before each shuffle.
     in_chunk = Window.partitionBy("file", "chunk").orderBy(F.desc("pos"))
     in_file = Window.partitionBy("file").orderBy(F.desc("chunk"), F.desc("pos"))
-    tails = data.withColumn("from_end", F.row_number().over(in_chunk)).where("from_end <= 2").drop("from_end")
-    second = (tails.withColumn("from_end", F.row_number().over(in_file)).where("from_end <= 2")
-              .where("from_end = 2").select("file", F.col("value").alias("last_row")))
-    out = header.join(second, "file", "left").select("file", "header", "last_row")
+    tails = lines.withColumn("from_end", F.row_number().over(in_chunk)).where("from_end <= 2")
+    second = tails.withColumn("from_end", F.row_number().over(in_file)).where("from_end = 2").select(
+        "file", F.col("value").alias("line"), F.col("chunk").alias("l_chunk"), F.col("pos").alias("l_pos"))
+    is_data = (F.col("l_chunk") != F.col("chunk")) | (F.col("l_pos") != F.col("pos"))
+    out = header.join(second, "file", "left").select("file", "header", F.when(is_data, F.col("line")).alias("last_row"))
     if expected is not None:
         out = expected.select("file").distinct().join(out, "file", "left")
     return out.withColumn("missing", F.col("header").isNull())

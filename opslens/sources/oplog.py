@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslens.sources.lines import log_lines
+
 # Operation codes of the operation log.
 INSERT, UPDATE = "i", "u"
 
@@ -24,6 +26,10 @@ def parse_oplog(lines: DataFrame) -> DataFrame:
                     F.col("o._id").alias("doc_id"), F.col("o.i").alias("i"), F.col("o.g").alias("g"), "doc"))
 
 
+def read_oplog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return parse_oplog(log_lines(spark, paths))
+
+
 def read_profile(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Exported profiler records, JSON lines or Parquet: ``ts``, ``epoch``, ``op``."""
     return profile_events(spark.read.schema("ts TIMESTAMP, op STRING").format(fmt).load(path))
