@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Documents nest at most 100 levels deep in the database that writes these logs.
 MAX_NESTING = 100
 
-_STRING = r'"(?:[^"\\]|\\.)*+"'
+_STRING_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_STRING = f'"{_STRING_BODY}"'
 
 
 def _document_pattern(depth: int) -> str:
@@ -20,26 +21,25 @@ def _document_pattern(depth: int) -> str:
 
 
 _DOCUMENT = _document_pattern(MAX_NESTING)
-_AT_TOKEN_5 = r"^(?:\S*\s){5}"
-_PREDICATE = rf"{_AT_TOKEN_5}({_DOCUMENT})"
-_UPDATE = rf"{_AT_TOKEN_5}{_DOCUMENT}\s\S*\s({_DOCUMENT})"
+_PREDICATE = f"^({_DOCUMENT})"
+_UPDATE = rf"^{_DOCUMENT} \S* ({_DOCUMENT})"
 
 # A quoted string, or a bare key or value without the colon or comma after it.
-_SCALAR = r'"((?:[^"\\]|\\.)*+)"|(?<!\S)([^\s"{}\[\],]\S*?)(?=:?,?(?:\s|$))'
+_SCALAR = f'"({_STRING_BODY})"' + r'|(?<!\S)([^\s"{}\[\],]\S*?)(?=:?,?(?:\s|$))'
 # A quoted string, or a bare value; bare keys end in a colon and are left alone.
 _VALUE = _STRING + r'|(?<!\S)[^\s"{}\[\],](?:\S*?[^\s:,])?(?=,?(?:\s|$))'
 # Strings without a blank are skipped; a quote that is left over opens one that has a blank.
 _SPACED_STRING = r'^(?:[^"]++|"(?:[^"\\\s]|\\.)*+")*+"'
 
 
-def predicate_text(line: Column) -> Column:
-    """The document that starts at token 5 of a log line, or NULL."""
-    return F.nullif(F.regexp_extract(line, _PREDICATE, 1), F.lit(""))
+def predicate_text(rest: Column) -> Column:
+    """The document at the start of the text, or NULL."""
+    return F.nullif(F.regexp_extract(rest, _PREDICATE, 1), F.lit(""))
 
 
-def update_text(line: Column) -> Column:
-    """The document two tokens after the end of the predicate, or NULL."""
-    return F.nullif(F.regexp_extract(line, _UPDATE, 1), F.lit(""))
+def update_text(rest: Column) -> Column:
+    """The document one word after the end of the first one, or NULL."""
+    return F.nullif(F.regexp_extract(rest, _UPDATE, 1), F.lit(""))
 
 
 def has_spaced_string(text: Column) -> Column:

@@ -92,7 +92,7 @@ def _shape_rows(events: DataFrame, text: Column, plan: Column) -> DataFrame:
     sample texts need no sort of the log.
     """
     order = F.struct("file", "chunk", "pos")
-    sample = F.struct(F.coalesce("q_json", "update_json").alias("q"), F.col("raw"))
+    sample = F.struct(text.alias("q"), F.col("raw"))
     return events.groupBy(
         predicates.skeleton(text).alias("skeleton"), "no_document", plan.alias("plan"), "ns",
     ).agg(
@@ -101,25 +101,26 @@ def _shape_rows(events: DataFrame, text: Column, plan: Column) -> DataFrame:
 
 
 def shape_report(rows: DataFrame, shape: Column) -> DataFrame:
-    """Per shape: namespaces, rows, plans, and the first document and line."""
+    """Per shape: namespaces, rows, plans, and the first document (as JSON text) and line."""
     shaped = rows.withColumn("shape", shape)
     return shaped.groupBy("shape").agg(
         F.count_distinct("ns").alias("n_ns"), F.sum("n").alias("n"),
         F.array_join(F.array_sort(F.collect_set(F.get("plans", F.lit(0)))), ",").alias("plans"),
         F.min_by("sample", "first").alias("sample"),
-    ).select("shape", "n_ns", "n", "plans", F.col("sample.q").alias("q"), F.col("sample.raw").alias("raw"))
+        F.max("no_document").alias("no_document"),
+    ).select("shape", "n_ns", "n", "plans", dblog.document_json(F.col("sample.q"), F.col("no_document")).alias("q"),
+             F.col("sample.raw").alias("raw"))
 
 
 def query_shapes(events: DataFrame, ns: str | None = None) -> DataFrame:
     chosen = events.where(is_op("query") if ns is None else is_op("query") & in_namespace(ns))
-    rows = _shape_rows(dblog.with_predicates(chosen), F.col("q_text"), F.col("q_plan"))
+    rows = _shape_rows(chosen, F.col("q_text"), F.col("q_plan"))
     return shape_report(rows, dblog.query_shape(
         F.lit("query"), shapes.shape_of_skeleton(F.col("skeleton")), F.col("no_document"), F.col("plan")))
 
 
 def update_shapes(events: DataFrame) -> DataFrame:
-    chosen = dblog.with_predicates(events.where(is_op("update"))).withColumn("q_json", F.col("update_json"))
-    rows = _shape_rows(chosen, F.col("update_text"), F.lit(None).cast("string"))
+    rows = _shape_rows(events.where(is_op("update")), F.col("update_text"), F.lit(None).cast("string"))
     return shape_report(rows, shapes.shape_of_skeleton(F.col("skeleton")))
 
 

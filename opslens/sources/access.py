@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslens.functions.text import blanks, without
 from opslens.sources.lines import log_lines
 
 # Fixed values of the log format.
@@ -13,11 +14,6 @@ AGENT_URL = "^/ping/v[12]/(.+)$"
 AGENT_REQUEST = "^POST /ping/v1/.*$"
 
 
-def without(text: Column, mark: str) -> Column:
-    """The text without ``mark``; missing text is empty."""
-    return F.coalesce(F.replace(text, F.lit(mark), F.lit("")), F.lit(""))
-
-
 def agent_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, AGENT_URL, 1), F.lit(""))
 
@@ -28,7 +24,7 @@ def is_agent_request(http: Column) -> Column:
 
 def parse_access(lines: DataFrame) -> DataFrame:
     token = lambda i: F.get(F.col("t"), F.lit(i))
-    cut = lines.select("file", "chunk", "pos", F.split("value", r"\s").alias("t"))
+    cut = lines.select("file", "chunk", "pos", F.split(blanks(F.col("value")), " ", 13).alias("t"))
     read = cut.select(
         "file", "chunk", "pos",
         without(token(0), '"').alias("ip"),

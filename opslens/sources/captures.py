@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslens.functions.text import number
 from opslens.operators.carry import first_in_file, last_in_file
 
 # Fixed values of the capture formats: parameter name -> pattern with the value in group 1.
@@ -79,11 +80,6 @@ HARNESSES = {
 }
 
 
-def number(text: Column) -> Column:
-    """A number written with thousands separators."""
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
-
-
 def parameters(lines: DataFrame, harness: str, strict: bool = False) -> DataFrame:
     """``file, param, value, matches, status`` for every file and every known parameter.
 

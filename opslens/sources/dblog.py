@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import predicates, shapes
+from opslens.functions.text import blanks
 
 # Fixed values of the log format.
 OPERATIONS = ["command", "update", "query", "insert", "remove", "getmore"]
 PLAN_MARK = "planSummary:"
-PLAN = r"(?:^|\s)planSummary:\s(\S*)"
+PLAN = "(?:^| )planSummary: ([^ ]*)"
 UPDATE_OPERATORS = ["inc", "set", "pull"]
 
 FIELDS = ["ts", "epoch", "conn", "op", "ns", "cmd", "q_text", "update_text", "q_plan", "no_document"]
@@ -24,14 +25,14 @@ def parse_dblog(lines: DataFrame, strict_reference: bool = False) -> DataFrame:
     fields.  ``strict_reference`` also counts documents that hold a string with a blank as
     errors, as token-wise quoting does.
     """
-    line = F.col("value")
     token = lambda i: F.get(F.col("t"), F.lit(i))
     is_op = lambda *names: F.col("op0").isin(*names)
+    rest = F.col("rest")
     # A plan mark among the first five words belongs to a query without a document.
     has_plan = is_op("query") & ~F.array_contains(F.slice("t", 1, 5), F.lit(PLAN_MARK))
 
-    cut = lines.select("file", "chunk", "pos", "value", F.split(line, r"\s", 7).alias("t"))
-    cut = cut.withColumn("op0", token(2))
+    cut = lines.select("file", "chunk", "pos", "value", F.split(blanks(F.col("value")), " ", 6).alias("t"))
+    cut = cut.withColumns({"op0": token(2), "rest": token(5)}).withColumn("word5", F.substring_index("rest", " ", 1))
     read = cut.select(
         "file", "chunk", "pos", "value", "op0",
         token(0).alias("ts"),
@@ -39,11 +40,11 @@ def parse_dblog(lines: DataFrame, strict_reference: bool = False) -> DataFrame:
         token(1).alias("conn"),
         F.col("op0").alias("op"),
         token(3).alias("ns"),
-        F.when(is_op("command"), token(5)).alias("cmd"),
-        F.when(is_op("query", "update"), predicates.predicate_text(line)).alias("q_text"),
-        F.when(is_op("update"), predicates.update_text(line)).alias("update_text"),
-        F.when(has_plan, F.nullif(F.regexp_extract(line, PLAN, 1), F.lit(""))).alias("q_plan"),
-        F.when(is_op("query") & token(5).isin(*shapes.NO_DOCUMENT), token(5)).alias("no_document"),
+        F.when(is_op("command"), F.col("word5")).alias("cmd"),
+        F.when(is_op("query", "update"), predicates.predicate_text(rest)).alias("q_text"),
+        F.when(is_op("update"), predicates.update_text(rest)).alias("update_text"),
+        F.when(has_plan, F.nullif(F.regexp_extract(rest, PLAN, 1), F.lit(""))).alias("q_plan"),
+        F.when(is_op("query") & F.col("word5").isin(*shapes.NO_DOCUMENT), F.col("word5")).alias("no_document"),
     )
     broken = (
         F.col("epoch").isNull()
@@ -70,12 +71,15 @@ def parsed_or_failed(events: DataFrame) -> DataFrame:
     return events.where(F.col("parse_status") != "skipped")
 
 
+def document_json(text: Column, no_document: Column) -> Column:
+    """JSON text of a document, or of the plan word that stands in its place."""
+    word = F.when(no_document.isNotNull(), F.format_string('{"%s":"%s"}', no_document, no_document))
+    return F.coalesce(predicates.to_json_text(text), word)
+
+
 def with_predicates(events: DataFrame) -> DataFrame:
     """Adds ``q_json``, ``q_string`` and ``update_json``."""
-    no_document = F.format_string('{"%s":"%s"}', "no_document", "no_document")
-    q_json = F.coalesce(predicates.to_json_text(F.col("q_text")),
-                        F.when(F.col("no_document").isNotNull(), no_document))
-    return (events.withColumn("q_json", q_json)
+    return (events.withColumn("q_json", document_json(F.col("q_text"), F.col("no_document")))
             .withColumn("q_string", predicates.plain_text(F.col("q_json")))
             .withColumn("update_json", predicates.to_json_text(F.col("update_text"))))
 
