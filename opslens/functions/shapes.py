@@ -8,7 +8,6 @@ the answers for the rest of its task.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
@@ -82,17 +81,20 @@ def canonical_shape(text: str) -> str:
     return result
 
 
-def _shapes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _make_shapes():
     known: dict[str, str] = {}
-    for texts in batches:
+
+    def shapes(texts: pd.Series) -> pd.Series:
         codes, distinct = pd.factorize(texts)
         if len(known) > REMEMBERED:
             known.clear()
         for text in distinct:
             if text not in known:
                 known[text] = canonical_shape(text)
-        shapes = [known[text] for text in distinct] + [None]
-        yield pd.Series([shapes[code] for code in codes], dtype=object)
+        found = [known[text] for text in distinct] + [None]
+        return pd.Series([found[code] for code in codes], dtype=object)
+
+    return shapes
 
 
 # Workers get the helper with the query, so the package need not be installed there.
@@ -101,7 +103,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @cache
 def _shape_udf():
-    return F.pandas_udf(_shapes, "string")
+    return F.pandas_udf(_make_shapes(), "string")
 
 
 def shape_of_skeleton(text: Column) -> Column:
