@@ -63,13 +63,17 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def compare_files(samples: DataFrame, old_file: str, new_file: str) -> DataFrame:
-    """The same for two files of one sample table, in a single aggregation without a join."""
+    """The same for two files of one sample table, in a single aggregation without a join.
+
+    Read only the two logs into ``samples``: a filter on ``file`` up here would reach one use
+    of the shared line shuffle and not the other, and the log would be read twice.
+    """
     def side(prefix: str, file: str) -> list[Column]:
         value = F.when(F.col("file") == file, F.col("result"))
         return [F.count(value).alias(f"{prefix}_n"), F.avg(value).alias(f"{prefix}_mean"),
                 F.stddev_samp(value).alias(f"{prefix}_sd")]
 
-    stats = (samples.where(F.col("file").isin(old_file, new_file)).groupBy("name", "thread")
+    stats = (samples.groupBy("name", "thread")
              .agg(*side("old", old_file), *side("new", new_file)).where("new_n > 0"))
     for prefix in ("old", "new"):
         n, mean, sd = (F.col(f"{prefix}_{c}") for c in ("n", "mean", "sd"))
