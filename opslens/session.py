@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,15 +29,12 @@ def build_session(app: str = "opslens", master: str | None = None, **extra: str)
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared checkpoint folder named by the session.
+    """A new folder below the shared checkpoint folder, or below the warehouse where none is set.
 
-    Only a local session may fall back to a temporary folder of this machine, because
-    there every executor lives in the same process.
+    Both are folders that every executor can read; the rule is the same for every master.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    base = base or spark.conf.get("spark.sql.warehouse.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="opslens-")
-        spark.conf.set(CHECKPOINT_DIR, base)
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
