@@ -1,7 +1,7 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from opslens.llm import packing, simhash, toxicity
+from opslens.llm import packing, secrets, simhash, toxicity
 
-MODULES = (simhash, packing, toxicity)
+MODULES = (simhash, packing, toxicity, secrets)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
