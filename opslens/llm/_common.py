@@ -25,7 +25,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; no words for a null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where the body uses it in a nested function."""
+    return F.transform(F.array(value), body)[0]
 
 
 def held_out(doc_id: Column) -> Column:

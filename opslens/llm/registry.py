@@ -1,7 +1,7 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from opslens.llm import mixing, packing, secrets, simhash, toxicity
+from opslens.llm import mixing, packing, quality_rules, secrets, simhash, toxicity
 
-MODULES = (simhash, mixing, secrets, toxicity, packing)
+MODULES = (simhash, mixing, secrets, toxicity, packing, quality_rules)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
