@@ -31,7 +31,7 @@ def words_of(text: Column) -> Column:
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, also where the body uses it in a nested function."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def held_out(doc_id: Column) -> Column:
