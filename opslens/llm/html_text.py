@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from opslens.llm._common import table
 
 SHORT, LONG = 70, 200
-LINKS, ARTICLE_LINKS = 0.2, 0.9
+LINKS, ARTICLE_LINKS = 0.2, 0.95
 MANY_STOPS = 0.3
 
 #: Frequent function words of four languages.

@@ -1,7 +1,7 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from opslens.llm import chat, html_text, mixing, packing, quality_rules, secrets, simhash, sketches, toxicity
+from opslens.llm import chat, html_text, mixing, packing, quality_classifier, quality_rules, secrets, simhash, sketches, toxicity
 
-MODULES = (simhash, mixing, secrets, chat, html_text, toxicity, packing, quality_rules, sketches)
+MODULES = (quality_classifier, simhash, mixing, secrets, chat, html_text, toxicity, packing, quality_rules, sketches)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
