@@ -17,6 +17,9 @@ result.  Columns of the input are carried in one struct, so their names cannot c
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -124,6 +127,40 @@ def mix(df: DataFrame, doc_id: str, source: str, size: Column) -> DataFrame:
     return placed.withColumn("taken", taken.cast("long")).select(*out).unionAll(rows.where("size = 0").select(*out[:4], *none))
 
 
+def chosen_text(text: str | None, start: int, size: int, blocks: int, rest: int, first: int) -> str | None:
+    """The words of a document that lie in chosen blocks, as they stand in the text; apart ones on lines of their own."""
+    if text is None:
+        return None
+    ranges: list[list[int]] = []
+    for b in range(start // BLOCK, (start + size - 1) // BLOCK + 1):
+        if ((b + 1) * rest + first) // blocks > (b * rest + first) // blocks:
+            low, high = max(b * BLOCK, start) - start, min((b + 1) * BLOCK, start + size) - start
+            if ranges and ranges[-1][1] == low:
+                ranges[-1][1] = high
+            else:
+                ranges.append([low, high])
+    words = [m.span() for m in re.finditer(WORD, text)]
+    return "\n".join(text[words[low][0]:words[high - 1][1]] for low, high in ranges)
+
+
+def mixed_rows(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The documents that a mix of ``df`` consists of, with the columns of ``df``.
+
+    A document comes whole as often as its shard's row is taken whole, and once more with the text of its chosen blocks.
+    """
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, start: pd.Series, size: pd.Series, blocks: pd.Series, rest: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([chosen_text(*row) for row in zip(texts, start, size, blocks, rest, first)], dtype=object)
+
+    mixed = mix(df, doc_id, source, size_of(F.col(text)))
+    part = F.col("taken") > F.col("passes") * F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(False), F.col("passes").cast("int")), F.when(part, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = mixed.withColumn("part", F.explode(copies))
+    rows = rows.withColumn("cut", cut(F.when(F.col("part"), F.col(f"row.{text}")), "start", "size", "blocks", "rest", "first"))
+    new = {text: F.col("cut"), n_chars: F.length("cut").cast("long")}
+    return rows.select(*[F.when(F.col("part"), new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in df.columns])
+
+
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:
     """Tokens that the mix takes of every document."""
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size"))

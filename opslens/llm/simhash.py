@@ -24,7 +24,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm import golay
@@ -33,6 +33,7 @@ from opslens.llm._common import connected_components, saved, table
 BLOCK = 4096
 CHUNK = 1 << 16
 SEED = 42
+LOWEST = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -98,14 +99,18 @@ def fingerprint(text: str | None, scheme: Scheme) -> tuple[bytes, int]:
 
 
 def fingerprints(df: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n): fingerprint and shingle count of every row."""
+    """(id, row, fp, n): identifier, hash of all columns, fingerprint and shingle count of every row."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [fingerprint(t, scheme) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "fp": [m[0] for m in made], "n": [m[1] for m in made]})
+            yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "fp": [m[0] for m in made], "n": [m[1] for m in made]})
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "id long, fp binary, n long")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), row_hash(df).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(work, "id long, row long, fp binary, n long")
+
+
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def segment_values(fps: np.ndarray, first: int, length: int) -> np.ndarray:
@@ -272,16 +277,30 @@ def links(classes: DataFrame, scheme: Scheme, block_rows: int = BLOCK) -> DataFr
 
 
 def components(df: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK) -> DataFrame:
-    """(id, fp, n, component) for every row of ``df``: component is the smallest identifier reachable over links."""
+    """(id, row, fp, n, root, component) for every row of ``df``: component is the smallest identifier reachable over links."""
     rows = saved(fingerprints(df, scheme, id_col, text_col), "fingerprints")
-    classes = rows.groupBy("fp", "n").agg(F.min("id").alias("least")) if scheme.ratio else rows.groupBy("fp").agg(F.min("id").alias("least"), F.lit(0).cast("long").alias("n"))
+    # Lengths tell rows of one fingerprint apart only where links depend on them.
+    keys = ["fp", "n"] if scheme.ratio else ["fp"]
+    classes = rows.groupBy(*keys).agg(F.min("id").alias("least"), *([] if scheme.ratio else [F.max("n").alias("n")]))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     roots = connected_components(links(classes, scheme, block_rows))
     # Classes without links are components of their own.
     whole = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("least").alias("component"))
-    named = whole.join(least, "root").select("fp", *(["n"] if scheme.ratio else []), "component")
-    return rows.join(named, ["fp", "n"] if scheme.ratio else ["fp"]).select("id", "fp", "n", "component")
+    named = whole.join(least, "root").select(*keys, "root", "component")
+    return rows.join(named, keys).select("id", "row", "fp", "n", "root", "component")
+
+
+def one_of_each(df: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the smallest identifier stays, a null one last.
+
+    Rows are told apart by identifier and a hash of all columns; rows that agree in both are copies, and one stays.
+    """
+    found = components(df, scheme, id_col, text_col, block_rows)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best"))
+    stays = best.select(F.coalesce("best.id", F.lit(LOWEST)).alias("__id"), F.col("best.row").alias("__row"))
+    keyed = df.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "__row": row_hash(df)})
+    return keyed.join(stays, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(*df.columns)
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
