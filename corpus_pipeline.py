@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from opslens.llm import mixing, packing, secrets, simhash, toxicity
 from opslens.llm._common import saved, table
 
-#: Near duplicates: shingle sets of five words at a Jaccard similarity of 0.8 or more, as fingerprints estimate it.
+#: Near duplicates: shingle sets of five words at a Jaccard similarity of 0.8 or more.
 NEAR = simhash.for_similarity(words=5, similarity=0.8)
 
 

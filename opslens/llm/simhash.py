@@ -8,6 +8,8 @@
 * Rows of one key meet in one task, sorted; they are compared there in blocks of ``BLOCK`` rows and only a
   spanning forest of the verified links leaves the task.  A key with more rows is cut into blocks, and every two
   of its blocks meet in a group of their own, so nothing is left out and no task holds more than two blocks.
+* A scheme for a Jaccard similarity takes links of few bits as certain and verifies the others on the texts: between classes
+  that certain links leave apart the closest pairs of a key, again a forest.
 * Components of the links are found by star steps over written tables.
 
 Null texts count as empty; empty texts have the fingerprint zero, linked like any other.  Repeated rows, ties
@@ -41,7 +43,8 @@ class Scheme:
     """``segments``: first bit and length (23 bits at most) of each; ``keys``: exact segments and fuzzy segments of each key.
 
     Links differ in ``radius`` bits at most, and their shingle counts by a factor of ``ratio`` at most (0: any).
-    ``distinct`` counts each shingle once.
+    ``distinct`` counts each shingle once.  Where ``similarity`` is given, links of more than ``sure`` bits are verified on
+    the texts: the Jaccard similarity of their shingle sets is that or more.
     """
     words: int
     bits: int
@@ -50,6 +53,13 @@ class Scheme:
     keys: tuple[tuple[tuple[int, ...], tuple[int, ...]], ...]
     distinct: bool = False
     ratio: float = 0.0
+    similarity: float = 0.0
+    sure: int = 0
+
+    @property
+    def certain(self) -> int:
+        """Differing bits up to which a link needs no look at the texts."""
+        return self.sure if self.similarity else self.radius
 
 
 #: 64 bits, three errors, complete: of four segments of 16 bits take one without error; the next segment has two
@@ -57,17 +67,19 @@ class Scheme:
 EXACT64 = Scheme(3, 64, 3, tuple((16 * i, 16) for i in range(4)), tuple(((i,), ((i + 1) % 4,)) for i in range(4)))
 
 
-def for_similarity(words: int, similarity: float, bits: int = 384, segments: int = 5, slack: float = 0.024) -> Scheme:
+def for_similarity(words: int, similarity: float, bits: int = 384, segments: int = 5) -> Scheme:
     """A scheme for shingle sets of at least this Jaccard similarity.
 
     Two sets of similarity s have a cosine of 2s / (1 + s), and their fingerprints differ in a share of bits of
-    that angle over pi; ``slack`` adds to this share, for chance.  The radius is exact for the links found.  Keys
-    are the indices of single segments: at similarity 0.8 a segment is shared with a chance of 0.6, one of five with
-    0.99, where unrelated texts share one with a chance of 0.008.
+    that angle over pi.  Pairs up to 2.5 standard deviations above this share are looked at, and those from 2.5 below it are
+    verified on the texts.  Keys are the indices of single segments: at similarity 0.8 a segment is shared with a chance
+    of 0.6, one of five with 0.99, where unrelated texts share one with a chance of 0.008.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    spread = 2.5 * (bits * share * (1 - share)) ** 0.5
     places = tuple((int(i * bits / segments), golay.LENGTH) for i in range(segments))
-    return Scheme(words, bits, int(bits * (share + slack)), places, tuple(((), (i,)) for i in range(segments)), True, similarity * 0.95)
+    keys = tuple(((), (i,)) for i in range(segments))
+    return Scheme(words, bits, int(bits * share + spread), places, keys, True, similarity * 0.99, similarity, int(bits * share - spread))
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -163,48 +175,85 @@ def roots_of(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = further
 
 
-def near(fps: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """Whether the rows a[i] and b[i] are linked."""
-    far = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= scheme.radius
-    return far & (np.minimum(n[a], n[b]) >= scheme.ratio * np.maximum(n[a], n[b]))
+class Forest:
+    """Links among some rows: certain ones join classes at once, the others are kept as a forest of the closest between classes."""
+    KEPT = 200_000
 
+    def __init__(self, fps: np.ndarray, n: np.ndarray, scheme: Scheme):
+        self.fps, self.n, self.scheme = fps, n, scheme
+        self.parent = np.arange(len(fps))
+        self.maybe = np.empty((0, 3), np.int64)
 
-def linked_runs(key: np.ndarray, n: np.ndarray, fps: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """The root of every row among the rows of its key; rows come sorted by key and n."""
-    parent = np.arange(len(key))
+    def look(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Compares the rows a[i] and b[i]."""
+        apart = self.parent[a] != self.parent[b]
+        a, b = a[apart], b[apart]
+        bits = np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(axis=1, dtype=np.int64)
+        close = (bits <= self.scheme.radius) & (np.minimum(self.n[a], self.n[b]) >= self.scheme.ratio * np.maximum(self.n[a], self.n[b]))
+        sure = close & (bits <= self.scheme.certain)
+        if sure.any():
+            self.parent = roots_of(self.parent, a[sure], b[sure])
+        rest = close & ~sure
+        if rest.any():
+            self.maybe = np.concatenate([self.maybe, np.column_stack([bits[rest], a[rest], b[rest]])])
+            if len(self.maybe) > self.KEPT:
+                self.thin()
+
+    def thin(self) -> None:
+        """Of the uncertain links keeps the closest that join classes."""
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        kept = []
+        for bits, a, b in self.maybe[np.lexsort((self.maybe[:, 2], self.maybe[:, 1], self.maybe[:, 0]))].tolist():
+            x, y = find(int(self.parent[a])), find(int(self.parent[b]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append((bits, a, b))
+        self.maybe = np.array(kept, np.int64).reshape(-1, 3)
+
+    def links(self, node: np.ndarray) -> pd.DataFrame:
+        """(a, b, block): certain links with block -1, uncertain ones with block -2."""
+        if len(self.maybe):
+            self.thin()
+        moved = self.parent != np.arange(len(self.parent))
+        a = np.concatenate([node[moved], node[self.maybe[:, 1]]])
+        b = np.concatenate([node[self.parent[moved]], node[self.maybe[:, 2]]])
+        return pd.DataFrame({"a": a, "b": b, "block": np.repeat([-1, -2], [moved.sum(), len(self.maybe)])})
+
+
+def linked_runs(key: np.ndarray, n: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Forest:
+    """The links of rows of the same key; rows come sorted by key and n."""
+    forest = Forest(fps, n, scheme)
     first = np.arange(len(key) - 1)
     lag = 1
     while len(first):
         first = first[first + lag < len(key)]
         first = first[(key[first] == key[first + lag]) & (n[first] >= scheme.ratio * n[first + lag])]
-        apart = first[parent[first] != parent[first + lag]]
-        hit = apart[near(fps, n, apart, apart + lag, scheme)]
-        if len(hit):
-            parent = roots_of(parent, hit, hit + lag)
+        forest.look(first, first + lag)
         lag += 1
-    return parent
+    return forest
 
 
-OUT = "a long, b long, key long, block long, n long, fp binary"
+OUT = "a long, b long, block long, key long, n long, fp binary"
 
 
 def compare_sorted(scheme: Scheme, block_rows: int):
-    """For sorted rows (key, node, n, fp): links (a, b) with block -1, and all rows of overlong keys as (a, key, block, n, fp)."""
+    """For sorted rows (key, node, n, fp): links (a, b) with a negative block, and all rows of overlong keys as (a, block, key, n, fp)."""
     width = scheme.bits // 8
 
-    def frame(a, b, key=None, block=-1, n=None, fp=None):
-        none = np.zeros(len(a), np.int64)
-        return pd.DataFrame({"a": a, "b": b, "key": none if key is None else key, "block": np.full(len(a), block), "n": none if n is None else n, "fp": None if fp is None else fp})
-
     def links(rows: pd.DataFrame):
         fps = as_matrix(rows["fp"], width).view(np.uint64)
-        node = rows["node"].to_numpy()
-        parent = linked_runs(rows["key"].to_numpy(), rows["n"].to_numpy(), fps, scheme)
-        moved = parent != np.arange(len(parent))
-        return frame(node[moved], node[parent[moved]])
+        found = linked_runs(rows["key"].to_numpy(), rows["n"].to_numpy(), fps, scheme).links(rows["node"].to_numpy())
+        return found.assign(key=0, n=0, fp=None)
 
     def overlong(rows: pd.DataFrame, block: int):
-        return frame(rows["node"].to_numpy(), rows["node"].to_numpy(), rows["key"].to_numpy(), block, rows["n"].to_numpy(), rows["fp"].to_numpy())
+        return pd.DataFrame({"a": rows["node"], "b": rows["node"], "block": block, "key": rows["key"], "n": rows["n"], "fp": rows["fp"]})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, block = None, 0  # the rows of the last key so far, and how many blocks of it went out already
@@ -241,20 +290,16 @@ def compare_blocks(scheme: Scheme):
         fps, n, node = as_matrix(rows["fp"], width).view(np.uint64), rows["n"].to_numpy(), rows["node"].to_numpy()
         block = rows["block"].to_numpy()
         cut = int(np.searchsorted(block, block[0], side="right"))
-        parent, right = np.arange(len(rows)), np.arange(cut, len(rows))
+        forest, right = Forest(fps, n, scheme), np.arange(cut, len(rows))
         for i in range(cut):
-            apart = right[parent[right] != parent[i]]
-            hit = apart[near(fps, n, np.full(len(apart), i), apart, scheme)]
-            if len(hit):
-                parent = roots_of(parent, np.full(len(hit), i), hit)
-        moved = parent != np.arange(len(parent))
-        return pd.DataFrame({"a": node[moved], "b": node[parent[moved]]})
+            forest.look(np.full(len(right), i), right)
+        return forest.links(node)
 
     return work
 
 
 def links(classes: DataFrame, scheme: Scheme, block_rows: int = BLOCK) -> DataFrame:
-    """A spanning forest (a, b) of the links between the rows (node, fp, n) of ``classes``."""
+    """A spanning forest (a, b, block) of the links between the rows (node, fp, n) of ``classes``; block is -1 for certain ones, else -2."""
     width = scheme.bits // 8
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,24 +311,46 @@ def links(classes: DataFrame, scheme: Scheme, block_rows: int = BLOCK) -> DataFr
     rows = classes.select("node", "fp", "n").mapInPandas(keyed, "key long, node long, n long, fp binary")
     rows = rows.repartition("key").sortWithinPartitions("key", "n")
     found = saved(rows.mapInPandas(compare_sorted(scheme, block_rows), OUT), "links")
-    within = found.where("block < 0").select("a", "b")
+    within = found.where("block < 0").select("a", "b", "block")
     # Keys of more than one block: every two blocks meet.
     over = found.where("block >= 0")
     count = over.groupBy("key").agg(F.max("block").alias("last"))
     pairs = over.join(count, "key").select("key", F.col("a").alias("node"), "n", "fp", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
     pairs = pairs.where("block <> other").select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    between = pairs.groupBy("key", "low", "high").applyInPandas(compare_blocks(scheme), "a long, b long")
+    between = pairs.groupBy("key", "low", "high").applyInPandas(compare_blocks(scheme), "a long, b long, block long")
     return within.unionAll(between)
 
 
+def verified(df: DataFrame, pairs: DataFrame, classes: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
+    """Those of the uncertain ``pairs`` (a, b) whose texts are similar enough; only the texts of their classes are read again."""
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [list({xxhash.xxh64_intdigest(p, SEED) - (1 << 63) for p in shingles(t, scheme.words)}) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "set": sets})
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "pick"), "node")
+    nodes = nodes.select("node", F.coalesce("pick.id", F.lit(LOWEST)).alias("id"), F.col("pick.row").alias("row"))
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), row_hash(df).alias("row"), F.col(text_col).alias("text"))
+    sets = texts.join(nodes, ["id", "row"]).select("node", "text").mapInPandas(hashes, "node long, set array<long>")
+    sets = saved(sets.dropDuplicates(["node"]), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= scheme.similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def components(df: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK) -> DataFrame:
     """(id, row, fp, n, root, component) for every row of ``df``: component is the smallest identifier reachable over links."""
     rows = saved(fingerprints(df, scheme, id_col, text_col), "fingerprints")
     # Lengths tell rows of one fingerprint apart only where links depend on them.
     keys = ["fp", "n"] if scheme.ratio else ["fp"]
-    classes = rows.groupBy(*keys).agg(F.min("id").alias("least"), *([] if scheme.ratio else [F.max("n").alias("n")]))
+    classes = rows.groupBy(*keys).agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("pick"), *([] if scheme.ratio else [F.max("n").alias("n")]))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = connected_components(links(classes, scheme, block_rows))
+    found = links(classes, scheme, block_rows)
+    if scheme.similarity:
+        found = saved(found, "forest")
+        maybe = found.where("block = -2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = found.where("block = -1").select("a", "b").unionAll(verified(df, maybe, classes, scheme, id_col, text_col))
+    roots = connected_components(found)
     # Classes without links are components of their own.
     whole = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("least").alias("component"))
