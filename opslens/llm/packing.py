@@ -233,7 +233,7 @@ def as_groups(bins) -> list[list[int]]:
 
 def first_epoch(capacity: int):
     """From the items (shard, island, row, length, bin) of an island; known bins are one of its first parents."""
-    def work(key, items: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values("row", ignore_index=True)
         sizes = items["length"].tolist()
         start = [as_groups(items["bin"])] if items["bin"].notna().all() else []
@@ -244,7 +244,7 @@ def first_epoch(capacity: int):
 
 def next_epoch(capacity: int, epoch: int):
     """From the elites that an island has: its own and those that came from the island before it."""
-    def work(key, elites: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, elites: pd.DataFrame) -> pd.DataFrame:
         elites = elites.sort_values(["n_bins", "fit"], ascending=[True, False], kind="stable")
         rows, sizes = elites["rows"].iloc[0].tolist(), elites["sizes"].iloc[0].tolist()
         start = [as_groups(b.tolist()) for b in elites["bins"]]

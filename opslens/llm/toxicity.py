@@ -163,9 +163,10 @@ def pattern_counts(train: DataFrame) -> DataFrame:
     return partial.groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def sketch(words: set[str]) -> tuple[int, ...]:
-    """Three minima over hashes of the words: copies of a text share them, near copies most of them."""
-    codes = [zlib.crc32(w.encode()) for w in words] or [0]
+def sketch(text: str | None) -> tuple[int, ...]:
+    """Three minima over hashes of three-word shingles: copies of a text share them, near copies most, others hardly any."""
+    words = WORD.findall(fold(text or ""))
+    codes = [zlib.crc32(" ".join(words[i:i + 3]).encode()) for i in range(max(1, len(words) - 2))]
     return min(codes), min(c * 0x9E3779B1 & 0xFFFFFFFF for c in codes), min(c * 0x85EBCA6B & 0xFFFFFFFF for c in codes)
 
 
@@ -237,8 +238,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, exception
 
     def found_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [patterns(t) for t in batch["text"]]
-            yield pd.DataFrame({"found": [sorted(g & candidates.keys()) for g in got], "marks": [list(sketch(g)) for g in got]})
+            found = [sorted(patterns(t) & candidates.keys()) for t in batch["text"]]
+            yield pd.DataFrame({"found": found, "marks": [list(sketch(t)) for t in batch["text"]]})
 
     toxic_texts = train.where("label = 1").select("text")
     found = [(set(r["found"]), tuple(r["marks"])) for r in toxic_texts.mapInPandas(found_in, "found array<string>, marks array<long>").collect()]
