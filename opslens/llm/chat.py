@@ -77,7 +77,8 @@ def chains(conversations: DataFrame) -> DataFrame:
 def ancestors(messages: DataFrame) -> list[DataFrame]:
     """By k: (conv, node, up, steps, score): the ancestor 2^k steps up or null, and the steps and score on the way.
 
-    The last table has a root above every message that has one: its steps are the depth, its score is the path's.
+    A message whose way has reached the root keeps its row and is in no later table, so a table of index k holds
+    messages more than 2^(k - 1) deep only.  Its steps are the depth then, and its score is the path's.
     """
     there = messages.select("conv", F.col("node").alias("parent"))
     own = messages.select("conv", "node", "parent", "score")
@@ -86,16 +87,23 @@ def ancestors(messages: DataFrame) -> list[DataFrame]:
     levels, rows = [level], level.count()
     # A path without cycle has no more steps than there are messages.
     while 1 << len(levels) <= 2 * rows and not level.where("up IS NOT NULL").isEmpty():
-        above = level.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("add"))
-        joined = level.join(above, ["conv", "up"], "left")
-        level = saved(joined.select("conv", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score")), "ancestors")
+        above = finished(levels[:-1], level).select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("add"))
+        joined = level.where("up IS NOT NULL").join(above, ["conv", "up"])
+        level = saved(joined.select("conv", "node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("add")).alias("score")), "ancestors")
         levels.append(level)
     return levels
 
 
+def finished(levels: list[DataFrame], more: DataFrame) -> DataFrame:
+    """The rows of ``levels`` that have reached their root, and ``more``."""
+    for level in levels:
+        more = more.unionAll(level.where("up IS NULL"))
+    return more
+
+
 def paths(levels: list[DataFrame], top: int) -> DataFrame:
     """(conv, leaf, rank, path_score, node, position) of the ``top`` best branches of each conversation."""
-    rooted = levels[-1].where("up IS NULL")
+    rooted = finished(levels[:-1], levels[-1].where("up IS NULL"))
     parents = levels[0].where("up IS NOT NULL").select("conv", F.col("up").alias("node")).distinct()
     leaves = rooted.join(parents, ["conv", "node"], "left_anti")
     order = W.partitionBy("conv").orderBy(F.desc("score"), F.desc("steps"), "node")
