@@ -5,24 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Documents nest at most 100 levels deep in the database that writes these logs.
-MAX_NESTING = 100
-
 _STRING_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
 _STRING = f'"{_STRING_BODY}"'
 
-
-def _document_pattern(depth: int) -> str:
-    """A brace-balanced document as a regular expression, nested ``depth`` levels."""
-    pattern = rf'\{{(?:[^{{}}"]++|{_STRING})*+\}}'
-    for _ in range(depth - 1):
-        pattern = rf'\{{(?:[^{{}}"]++|{_STRING}|{pattern})*+\}}'
-    return pattern
-
-
-_DOCUMENT = _document_pattern(MAX_NESTING)
-_PREDICATE = f"^({_DOCUMENT})"
-_UPDATE = rf"^{_DOCUMENT} \S* ({_DOCUMENT})"
+# Documents of few levels, whose quotes all belong to strings, are read by one pattern; it is a short cut only.
+# A string begins a token; a quote inside a token is part of a value.
+_PLAIN = rf'[^{{}}"]++|(?<!\S){_STRING}|(?<=\S)"'
+_FLAT = rf'(?:{_PLAIN})*+'
+_SHALLOW = rf'\{{(?:{_PLAIN}|\{{(?:{_PLAIN}|\{{{_FLAT}\}})*+\}})*+\}}'
+_PREDICATE = f"^({_SHALLOW})(?= |$)"
+_UPDATE = rf"^{_SHALLOW} \S* ({_SHALLOW})(?= |$)"
 
 # A quoted string, or a bare key or value without the colon or comma after it.
 _SCALAR = f'"({_STRING_BODY})"' + r'|(?<!\S)([^\s"{}\[\],]\S*?)(?=:?,?(?:\s|$))'
@@ -32,14 +24,58 @@ _VALUE = _STRING + r'|(?<!\S)[^\s"{}\[\],](?:\S*?[^\s:,])?(?=,?(?:\s|$))'
 _SPACED_STRING = r'^(?:[^"]++|"(?:[^"\\\s]|\\.)*+")*+"'
 
 
+def _document_ends(tokens: Column, quotes: bool) -> Column:
+    """(first, second): number of the last token of the document at the start, and of the one that begins two tokens on.
+
+    A running depth over the brace tokens, without a limit on nesting.  With ``quotes`` the tokens of a string, which
+    begins a token with a quote and ends one, do not count; a quote inside a token is part of a value.
+    """
+    none = F.lit(None).cast("int")
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), none.alias("first"), none.alias("second"))
+
+    def step(acc: Column, token: Column) -> Column:
+        opens = F.lit(quotes) & ~acc["quoted"] & token.startswith('"')
+        ends = token.rlike(r'(?<!\\)",?$')
+        closed = F.when(acc["quoted"], ends).otherwise(ends & (F.length(token) > 1) & (token != '",'))
+        inside = (acc["quoted"] | opens) & ~closed
+        counted = ~(acc["quoted"] | opens)
+        in_first, in_second = acc["first"].isNull(), acc["second"].isNull() & (acc["i"] >= acc["first"] + 2)
+        change = F.when(counted & (token == "{"), 1).when(counted & token.isin("}", "},"), -1).otherwise(0)
+        depth = F.when(in_first | F.coalesce(in_second, F.lit(False)), acc["depth"] + change).otherwise(acc["depth"])
+        empty = counted & (acc["depth"] == 0) & token.isin("{}", "{},")
+        end = ((change == -1) & (depth == 0)) | empty
+        return F.struct(
+            (acc["i"] + 1).alias("i"), depth.alias("depth"), inside.alias("quoted"),
+            F.when(in_first & end, acc["i"]).otherwise(acc["first"]).alias("first"),
+            F.when(F.coalesce(in_second, F.lit(False)) & end, acc["i"]).otherwise(acc["second"]).alias("second"))
+
+    return F.aggregate(tokens, state, step)
+
+
+def _between(tokens: Column, start: Column, end: Column) -> Column:
+    """The tokens of a document as text; NULL unless they begin with a brace."""
+    text = F.regexp_replace(F.array_join(F.slice(tokens, start + 1, end - start + 1), " "), ",$", "")
+    return F.when(end.isNotNull() & F.get(tokens, start).startswith("{"), text)
+
+
+def _scanned(rest: Column, second: bool) -> Column:
+    """The first or second document by the token rule; strings are respected where that gives a document."""
+    def read(tokens: Column, quotes: bool) -> Column:
+        ends = F.transform(F.array(_document_ends(tokens, quotes)), lambda e: _between(tokens, e["first"] + 2, e["second"]) if second else _between(tokens, F.lit(0), e["first"]))
+        return F.get(ends, F.lit(0))
+
+    read_all = F.transform(F.array(F.split(rest, " ")), lambda t: F.coalesce(read(t, True), read(t, False)))
+    return F.get(read_all, F.lit(0))
+
+
 def predicate_text(rest: Column) -> Column:
     """The document at the start of the text, or NULL."""
-    return F.nullif(F.regexp_extract(rest, _PREDICATE, 1), F.lit(""))
+    return F.coalesce(F.nullif(F.regexp_extract(rest, _PREDICATE, 1), F.lit("")), _scanned(rest, second=False))
 
 
 def update_text(rest: Column) -> Column:
     """The document one word after the end of the first one, or NULL."""
-    return F.nullif(F.regexp_extract(rest, _UPDATE, 1), F.lit(""))
+    return F.coalesce(F.nullif(F.regexp_extract(rest, _UPDATE, 1), F.lit("")), _scanned(rest, second=True))
 
 
 def has_spaced_string(text: Column) -> Column:

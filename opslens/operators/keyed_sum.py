@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,9 +18,19 @@ def keyed_reduce(rows: DataFrame, key: Column, value: Column,
     return rows.select(key.alias(KEY), value.alias(VALUE)).groupBy(KEY).agg(how(VALUE).alias(VALUE))
 
 
-def merge_totals(*totals: DataFrame) -> DataFrame:
-    """Reduce totals with totals, as if they had been one input."""
-    return reduce(DataFrame.unionByName, totals).groupBy(KEY).agg(F.sum(VALUE).alias(VALUE))
+#: Aggregates that can be merged, with the aggregate that merges their results.
+MERGES: dict[str, Callable[[str], Column]] = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def merge_totals(*totals: DataFrame, reducer: str = "sum") -> DataFrame:
+    """Reduce totals with totals, as if they had been one input; ``reducer`` made them."""
+    return reduce(DataFrame.unionByName, totals).groupBy(KEY).agg(merging(reducer)(VALUE).alias(VALUE))
+
+
+def merging(reducer: str) -> Callable[[str], Column]:
+    if reducer not in MERGES:
+        raise ValueError(f"results of {reducer} cannot be merged; known are {', '.join(MERGES)}")
+    return MERGES[reducer]
 
 
 def check_totals(single: DataFrame, merged: DataFrame, times: int) -> DataFrame:
@@ -30,23 +40,30 @@ def check_totals(single: DataFrame, merged: DataFrame, times: int) -> DataFrame:
 
 
 class StoredTotals:
-    """Totals kept as one folder of partial sums per batch.
+    """Totals kept as one folder of partial results per reducer, job and batch.
 
-    Writing a batch again overwrites its own folder, so a replayed batch changes nothing,
-    and a merge never rewrites what is already stored.
+    Writing a batch again overwrites its own folder, so a replayed batch changes nothing, and
+    a merge never rewrites what is already stored.  Jobs that share a store have names of
+    their own.  The reducer is part of the folder's name, and a store that holds results of
+    another one is refused.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, reducer: str = "sum"):
+        merging(reducer)
+        self.spark, self.path, self.reducer = spark, path, reducer
 
-    def merge(self, totals: DataFrame, batch: int) -> None:
-        totals.write.mode("overwrite").parquet(os.path.join(self.path, f"batch={batch}"))
+    def merge(self, totals: DataFrame, batch: int, job: str = "main") -> None:
+        totals.write.mode("overwrite").parquet(f"{self.path}/reducer={self.reducer}/job={job}/batch={batch}")
 
     def read(self) -> DataFrame:
-        return merge_totals(self.spark.read.parquet(self.path).select(KEY, VALUE))
+        stored = self.spark.read.parquet(self.path)
+        other = [r[0] for r in stored.select("reducer").distinct().collect() if r[0] != self.reducer]
+        if other:
+            raise ValueError(f"{self.path} holds results of {', '.join(other)}, not of {self.reducer}")
+        return merge_totals(stored.select(KEY, VALUE), reducer=self.reducer)
 
     def compact(self, path: str) -> StoredTotals:
-        """The same totals in a new folder with a single batch."""
-        compacted = StoredTotals(self.spark, path)
-        compacted.merge(self.read(), 0)
+        """The same totals in a new folder; they have a job name that no other job takes."""
+        compacted = StoredTotals(self.spark, path, self.reducer)
+        compacted.merge(self.read(), 0, job=f"compacted-{uuid.uuid4().hex}")
         return compacted

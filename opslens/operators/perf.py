@@ -10,6 +10,8 @@ from opslens.sources.perf_log import sample_key
 # A change below -5 % is a regression, a CV above 3 % is noise.
 REGRESSION = -0.05
 NOISY_CV = 3.0
+# Fixed value: what is printed in place of a CV when no result could be read.
+NO_SAMPLES = "Error, no data for cvStr"
 
 
 def cv_percent(mean: Column, sd: Column) -> Column:
@@ -17,8 +19,8 @@ def cv_percent(mean: Column, sd: Column) -> Column:
 
 
 def cv_text(n: Column, mean: Column, sd: Column) -> Column:
-    """Coefficient of variation as text; one sample has none."""
-    return F.when(n == 1, "n/a").otherwise(F.format_string("%.2f%%", cv_percent(mean, sd)))
+    """Coefficient of variation as text; one sample has none, and no sample is an error text."""
+    return F.when(n == 1, "n/a").when(n == 0, NO_SAMPLES).otherwise(F.format_string("%.2f%%", cv_percent(mean, sd)))
 
 
 def percent_text(ratio: Column) -> Column:

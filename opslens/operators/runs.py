@@ -26,7 +26,7 @@ def _row(harness: str, throughput: Column, attributes: Column, workload: Column
 
 def _tool(harness: str) -> Reader:
     spec = captures.HARNESSES[harness]
-    names = [name for name in spec.parameters if name != spec.result_parameter]
+    names = [name for name in spec.parameters if name != spec.result_parameter] + ["status"]
 
     def read(lines: DataFrame) -> DataFrame:
         pairs = [F.lit("test-type"), F.lit(harness)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import predicates, shapes
@@ -46,8 +48,9 @@ def ops_per_second_by_op(events: DataFrame, first: int | None = None, per_series
     long = table.select("epoch", F.inline(pairs)).where("n > 0")
     if first is None:
         return long
-    by_time = Window.partitionBy("series").orderBy("epoch")
-    return long.withColumn("rank", F.row_number().over(by_time)).where(F.col("rank") <= first).drop("rank")
+    # One bounded sort per series: a window would hold all seconds of a series in one task.
+    tops = [long.where(F.col("series") == s).orderBy("epoch").limit(first) for s in series]
+    return reduce(DataFrame.unionAll, tops)
 
 
 def op_counts(events: DataFrame) -> DataFrame:
@@ -92,6 +95,7 @@ def _shape_rows(events: DataFrame, text: Column, plan: Column) -> DataFrame:
     sample texts need no sort of the log.
     """
     order = F.struct("file", "chunk", "pos")
+    events = events.where(text.isNotNull() | F.col("no_document").isNotNull())  # no shape without a document
     sample = F.struct(text.alias("q"), F.col("raw"))
     return events.groupBy(
         predicates.skeleton(text).alias("skeleton"), "no_document", plan.alias("plan"), "ns",

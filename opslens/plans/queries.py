@@ -16,6 +16,7 @@ from opslens.operators import changes, counters, http, keyed_sum, perf, runs, sy
 from opslens.plans import render
 from opslens.session import scratch_dir
 from opslens.sinks import report, tables
+from opslens.sinks import events as event_store
 from opslens.sources import access, captures, csv_tail, dblog, oplog, perf_log, pidstat, shell_json
 from opslens.sources.lines import first_lines, log_lines
 from opslens.streaming import jobs
@@ -107,7 +108,7 @@ def loaded_rows(spark, sf_dir):
 
 @query("ns_events", EV + "SELECT event_id, epoch, op, ns FROM log WHERE ns = 'shop1.views'")
 def ns_events(spark, sf_dir):
-    events = db_events(spark, sf_dir).where(workload.in_namespace("shop1.views"))
+    events = dblog.parse_dblog(render.dblog(spark, sf_dir), where=workload.in_namespace("shop1.views"))
     return events.select(F.col("pos").alias("event_id"), "epoch", "op", "ns")
 
 
@@ -187,7 +188,7 @@ def _with_first_event(shapes: DataFrame, pattern: str) -> DataFrame:
 def _query_shapes(spark, sf_dir, ns=None):
     lines = render.dblog(spark, sf_dir)
     numbered = lines.withColumn("value", F.concat("value", F.lit(" #"), F.col("pos").cast("string")))
-    return _with_first_event(workload.query_shapes(dblog.parse_dblog(numbered), ns), " #([0-9]+)$")
+    return _with_first_event(workload.query_shapes(dblog.parse_dblog(numbered, where=None if ns is None else workload.in_namespace(ns)), ns), " #([0-9]+)$")
 
 
 @query("query_shapes", EV + FIRST_QUERY.format(extra=""))
@@ -200,6 +201,26 @@ def query_shapes_ns(spark, sf_dir):
     return _query_shapes(spark, sf_dir, "shop1.views")
 
 
+def stored_events(spark, lines, **filters):
+    """The events of ``lines`` written to a store and read back with ``filters``."""
+    path = scratch_dir(spark, "events")
+    event_store.write_events(dblog.parse_dblog(lines), path)
+    return event_store.read_events(spark, path, **filters)
+
+
+@query("stored_ns_load", EV + """
+SELECT ns, op_read, count(*) AS n FROM log WHERE parse_status <> 'skipped' AND op IN ('update', 'insert') GROUP BY ns, op_read""")
+def stored_ns_load(spark, sf_dir):
+    return workload.ns_load(stored_events(spark, render.dblog(spark, sf_dir), ops=["update", "insert"]))
+
+
+@query("stored_query_shapes", EV + FIRST_QUERY.format(extra="AND ns = 'shop1.views'"))
+def stored_query_shapes(spark, sf_dir):
+    lines = render.dblog(spark, sf_dir)
+    numbered = lines.withColumn("value", F.concat("value", F.lit(" #"), F.col("pos").cast("string")))
+    return _with_first_event(workload.query_shapes(stored_events(spark, numbered, ns="shop1.views", ops=["query"])), " #([0-9]+)$")
+
+
 @query("update_shapes", EV + """
 SELECT update_norm AS shape, count(DISTINCT ns) AS n_ns, count(*) AS n, 'none' AS plans,
   arg_min(update_json, event_id) AS q, min(event_id) AS first_event FROM log WHERE op = 'update' GROUP BY update_norm""")
@@ -475,8 +496,11 @@ SYSBENCH_VALUES = """
 
 @query("sysbench_params", f"""
 WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
-SELECT 'sysbench-' || o_orderpriority AS file, param, value, CAST(1 AS BIGINT) AS matches, 'ok' AS status
-FROM c, LATERAL (VALUES {SYSBENCH_VALUES}) v(param, value)""")
+SELECT 'sysbench-' || o_orderpriority AS file, param, CASE WHEN matches = 1 THEN value END AS value, matches,
+  CASE matches WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status
+FROM (SELECT *, CAST(CASE WHEN o_orderpriority LIKE '5%' AND param = 'nRunSeconds' THEN 0
+  WHEN o_orderpriority LIKE '4%' AND param = 'write concern' THEN 2 ELSE 1 END AS BIGINT) AS matches
+  FROM c, LATERAL (VALUES {SYSBENCH_VALUES}) v(param, value))""")
 def sysbench_params(spark, sf_dir):
     return captures.parameters(render.sysbench(spark, sf_dir), "sysbench")
 
@@ -484,11 +508,13 @@ def sysbench_params(spark, sf_dir):
 @query("sysbench_summary", """
 SELECT 'sysbench-' || o_orderpriority AS file, arg_max(o_custkey, o_orderkey) + 0.25::DOUBLE AS throughput,
   count(*) AS n_intervals, substr(o_orderpriority, 1, 1) AS n_threads, format('{:,}', count(*)) AS collection_size,
-  'SAFE' AS write_concern FROM orders GROUP BY o_orderpriority""")
+  CASE WHEN o_orderpriority NOT LIKE '4%' THEN 'SAFE' END AS write_concern,
+  CASE left(o_orderpriority, 1) WHEN '4' THEN 'write concern ambiguous' WHEN '5' THEN 'nRunSeconds missing' ELSE 'ok' END AS status
+FROM orders GROUP BY o_orderpriority""")
 def sysbench_summary(spark, sf_dir):
     return captures.summary(render.sysbench(spark, sf_dir), "sysbench").select(
         "file", "throughput", "n_intervals", F.col("nThreads").alias("n_threads"),
-        F.col("nCollectionSize").alias("collection_size"), F.col("write concern").alias("write_concern"))
+        F.col("nCollectionSize").alias("collection_size"), F.col("write concern").alias("write_concern"), "status")
 
 
 @query("sysbench_trend", """
@@ -536,9 +562,9 @@ def hammer_trend(spark, sf_dir):
 
 
 @query("ycsb_summary", """
-SELECT 'ycsb-' || c_nationkey AS file, min(c_custkey) + 0.25::DOUBLE AS throughput,
-  'Command line: -db client -s -P workloads/w -threads ' || min(c_custkey) AS command_line
-FROM customer WHERE c_custkey % 2 = 1 GROUP BY c_nationkey""")
+SELECT 'ycsb-' || c_nationkey AS file, min(c_custkey) FILTER (c_custkey % 2 = 1) + 0.25::DOUBLE AS throughput,
+  'Command line: -db client -s -P workloads/w -threads ' || coalesce(min(c_custkey) FILTER (c_custkey % 2 = 1), max(c_custkey)) AS command_line
+FROM customer GROUP BY c_nationkey""")
 def ycsb_summary(spark, sf_dir):
     return captures.ycsb_summary(render.ycsb(spark, sf_dir))
 
@@ -643,8 +669,8 @@ UNION ALL SELECT 'insert-' || c_mktsegment, 'sysbench', 'insert-' || c_mktsegmen
 FROM customer GROUP BY c_mktsegment
 UNION ALL SELECT 'hammer-' || event_type, 'hammer', 'hammer-' || event_type, count(*), CAST(count(DISTINCT user_id) AS VARCHAR)
 FROM events GROUP BY event_type
-UNION ALL SELECT 'ycsb-' || c_nationkey, 'ycsb', 'ycsb-' || c_nationkey, min(c_custkey) + 0.25::DOUBLE, NULL
-FROM customer WHERE c_custkey % 2 = 1 GROUP BY c_nationkey
+UNION ALL SELECT 'ycsb-' || c_nationkey, 'ycsb', 'ycsb-' || c_nationkey, min(c_custkey) FILTER (c_custkey % 2 = 1) + 0.25::DOUBLE, NULL
+FROM customer GROUP BY c_nationkey
 UNION ALL SELECT 'sim-' || c_custkey, 'mongo-sim', 'sim-' || c_custkey, NULL, CAST(c_nationkey AS VARCHAR) FROM customer
 UNION ALL SELECT 'perf-' || l_linestatus || '.log', 'mongo-perf', 'Item.' || l_returnflag, round(avg(l_extendedprice), 4),
   CAST(l_linenumber AS VARCHAR) FROM lineitem GROUP BY l_linestatus, l_returnflag, l_linenumber""")
@@ -662,7 +688,7 @@ def harness_results(spark, sf_dir):
 
 @query("run_report", """
 SELECT 'sysbench-' || o_orderpriority AS run, 'sysbench' AS harness, 'sysbench-' || o_orderpriority AS workload,
-  'nightly' AS run_by, substr(o_orderpriority, 1, 1) AS n_threads, 'SAFE' AS write_concern,
+  'nightly' AS run_by, substr(o_orderpriority, 1, 1) AS n_threads, CASE WHEN o_orderpriority NOT LIKE '4%' THEN 'SAFE' END AS write_concern,
   arg_max(o_custkey, o_orderkey) + 0.25::DOUBLE AS op_throughput, count(*) AS utime, count(*) * 2 AS stime,
   CAST(count(*) + sum(o_custkey) AS BIGINT) AS total_ops,
   CAST(count(*) * 3 AS DOUBLE) / CAST(count(*) + sum(o_custkey) AS BIGINT) AS tick_per_op, count(*) * 10 AS test_run_time
@@ -739,6 +765,46 @@ def mr_stored_totals(spark, sf_dir):
     return store.read()
 
 
+@query("mr_compacted_totals", TOTALS + "SELECT _id, value FROM totals")
+def mr_compacted_totals(spark, sf_dir):
+    """A compacted store goes on with a job that counts its batches from 0 again."""
+    rows = render.amounts(spark, sf_dir)
+    store = keyed_sum.StoredTotals(spark, scratch_dir(spark, "totals"))
+    store.merge(totals(rows.where("status = 'F'")), 0)
+    compacted = store.compact(scratch_dir(spark, "totals"))
+    compacted.merge(totals(rows.where("status <> 'F'")), 0)
+    return compacted.read()
+
+
+@query("mr_two_jobs", TOTALS + "SELECT _id, value * 2 AS value FROM totals")
+def mr_two_jobs(spark, sf_dir):
+    rows = render.amounts(spark, sf_dir)
+    store = keyed_sum.StoredTotals(spark, scratch_dir(spark, "totals"))
+    for job in ("one", "two"):
+        store.merge(totals(rows), 0, job)
+    return store.read()
+
+
+@query("mr_stored_max", """
+SELECT o_custkey AS _id, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS value FROM orders GROUP BY 1""")
+def mr_stored_max(spark, sf_dir):
+    rows = render.amounts(spark, sf_dir)
+    store = keyed_sum.StoredTotals(spark, scratch_dir(spark, "totals"), reducer="max")
+    largest = lambda part: keyed_sum.keyed_reduce(part, F.col("uid"), F.col("amount"), F.max)
+    store.merge(largest(rows.where("status = 'F'")), 0)
+    store.merge(largest(rows.where("status <> 'F'")), 1)
+    return store.read()
+
+
+@query("mr_check_planted", TOTALS + """
+SELECT _id, value AS single, CASE WHEN _id % 7 <> 0 THEN value + 1 END AS merged FROM totals WHERE _id % 7 = 0 OR _id % 7 = 1""")
+def mr_check_planted(spark, sf_dir):
+    """The check finds totals that are off by one and totals that are gone."""
+    rows = totals(render.amounts(spark, sf_dir))
+    off = rows.where("_id % 7 <> 0").withColumn("value", F.col("value") + (F.col("_id") % 7 == 1).cast("int"))
+    return keyed_sum.check_totals(rows, off, 1)
+
+
 @query("mr_check", TOTALS + "SELECT _id, value AS single, value AS merged FROM totals WHERE value <> value")
 def mr_check(spark, sf_dir):
     rows = render.amounts(spark, sf_dir)
@@ -788,8 +854,9 @@ def gen_staging(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 def _stream_input(lines: DataFrame, label: str) -> str:
+    """Lines as four files in no order; the streams take one file at a time."""
     folder = scratch_dir(lines.sparkSession, label)
-    lines.select("value").write.text(os.path.join(folder, "in"))
+    lines.select("value").repartition(4, F.xxhash64("value")).write.text(os.path.join(folder, "in"))
     return folder
 
 
@@ -797,7 +864,7 @@ def _stream_input(lines: DataFrame, label: str) -> str:
 def stream_ops_per_second(spark, sf_dir):
     folder = _stream_input(render.dblog(spark, sf_dir), "stream-ops")
     out, checkpoint = os.path.join(folder, "out"), os.path.join(folder, "checkpoint")
-    jobs.ops_per_second_stream(jobs.follow_lines(spark, os.path.join(folder, "in")), out, checkpoint).awaitTermination()
+    jobs.ops_per_second_stream(jobs.follow_lines(spark, os.path.join(folder, "in"), 1), out, checkpoint).awaitTermination()
     return jobs.read_rates(spark, out)
 
 
@@ -815,5 +882,5 @@ def stream_mr_totals(spark, sf_dir):
 def stream_unique_agents(spark, sf_dir):
     folder = _stream_input(render.access(spark, sf_dir), "stream-agents")
     out, checkpoint = os.path.join(folder, "out"), os.path.join(folder, "checkpoint")
-    jobs.agents_stream(jobs.follow_lines(spark, os.path.join(folder, "in")), out, checkpoint).awaitTermination()
+    jobs.agents_stream(jobs.follow_lines(spark, os.path.join(folder, "in"), 1), out, checkpoint).awaitTermination()
     return jobs.read_agents(spark, out)

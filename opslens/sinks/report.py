@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_SAMPLES = 10_000
@@ -19,7 +19,7 @@ def merge_attributes(old: Column, new: Column) -> Column:
 
 
 def run_reports(runs: DataFrame, results: DataFrame, costs: DataFrame | None = None) -> DataFrame:
-    """One document per run.
+    """One document per run, also of a run whose capture has no result.
 
     ``runs``     ``run, harness, attributes`` (map of text)
     ``results``  ``run, throughput, attributes`` as read from the capture
@@ -30,7 +30,7 @@ def run_reports(runs: DataFrame, results: DataFrame, costs: DataFrame | None = N
     """
     found = results.select("run", "throughput", F.col("attributes").alias("new_attributes"))
     empty = F.create_map().cast("map<string,string>")
-    joined = runs.join(found, "run")
+    joined = runs.join(found, "run", "left")
     if costs is not None:
         joined = joined.join(costs, "run", "left")
         cost = [F.col("utime"), F.col("stime"), F.col("total_ops"),
@@ -68,10 +68,16 @@ def sim_reports(run: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def series_pages(series: DataFrame, *names: str) -> DataFrame:
-    """``file, page`` and one ordered array per value; a page is one chunk of the capture."""
+    """``file, page, part`` and one ordered array per value.
+
+    A page is one chunk of the capture, its parts have ``PAGE_SAMPLES`` points at most, so a
+    chunk that is a whole compressed file is no single array.
+    """
+    in_chunk = Window.partitionBy("file", "chunk").orderBy("pos")
+    numbered = series.withColumn("part", F.floor((F.row_number().over(in_chunk) - 1) / PAGE_SAMPLES))
     ordered = F.array_sort(F.collect_list(F.struct("pos", *names)))
-    pages = series.groupBy("file", F.col("chunk").alias("page")).agg(ordered.alias("points"))
-    return pages.select("file", "page", *[F.col(f"points.{n}").alias(n) for n in names])
+    pages = numbered.groupBy("file", F.col("chunk").alias("page"), "part").agg(ordered.alias("points"))
+    return pages.select("file", "page", "part", *[F.col(f"points.{n}").alias(n) for n in names])
 
 
 def server_pages(series: DataFrame, server: Column, run: Column | None = None) -> DataFrame:

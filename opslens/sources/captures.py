@@ -10,41 +10,28 @@ from pyspark.sql import functions as F
 from opslens.functions.text import number
 from opslens.operators.carry import first_in_file, last_in_file
 
-# Fixed values of the capture formats: parameter name -> pattern with the value in group 1.
-SYSBENCH_PARAMETERS = {
-    "nThreads": "writer threads[ ]+= ([0-9]+)",
-    "nCollections": "collections[ ]+= ([0-9]+)",
-    "nCollectionSize": "documents per collection[ ]+= ([0-9,]+)",
-    "nFeedbackSeconds": "feedback seconds[ ]+= ([0-9]+)",
-    "nRunSeconds": "run seconds[ ]+= ([0-9]+)",
-    "oltp range size": "oltp range size[ ]+= ([0-9]+)",
-    "oltp point selects": "oltp point selects[ ]+= ([0-9]+)",
-    "oltp simple ranges": "oltp simple ranges[ ]+= ([0-9]+)",
-    "oltp sum ranges": "oltp sum ranges[ ]+= ([0-9]+)",
-    "oltp order ranges": "oltp order ranges[ ]+= ([0-9]+)",
-    "oltp distinct ranges": "oltp distinct ranges[ ]+= ([0-9]+)",
-    "oltp index updates": "oltp index updates[ ]+= ([0-9]+)",
-    "oltp non index updates": "oltp non index updates[ ]+= ([0-9]+)",
-    "write concern": "write concern[ ]+= ([A-Z]+)",
+# Fixed values of the capture formats: the name a tool prints for a setting -> our parameter.
+# ``#`` stands for the number in settings that are printed as a phrase.
+OLTP = ["range size", "point selects", "simple ranges", "sum ranges", "order ranges", "distinct ranges", "index updates", "non index updates"]
+SYSBENCH_SETTINGS = {
+    "writer threads": "nThreads", "collections": "nCollections", "documents per collection": "nCollectionSize",
+    "feedback seconds": "nFeedbackSeconds", "run seconds": "nRunSeconds", **{f"oltp {x}": f"oltp {x}" for x in OLTP},
+    "write concern": "write concern",
 }
-SYSBENCH_INSERT_PARAMETERS = {
-    "nThreads": "([0-9]+) writer thread",
-    "nCollections": "([0-9]+) collections",
-    "nCollectionSize": "([0-9,]+) documents per collection",
-    "nFeedbackSeconds": "Feedback every ([0-9]+) seconds",
-    "write concern": "write concern[ ]+= ([A-Z]+)",
+SYSBENCH_INSERT_SETTINGS = {
+    "# writer thread(s)": "nThreads", "# collections": "nCollections", "# documents per collection": "nCollectionSize",
+    "Feedback every # seconds(s)": "nFeedbackSeconds", "write concern": "write concern",
 }
-HAMMER_PARAMETERS = {
-    "nThreads": "         conn : ([0-9]+)",
-    "avgResponseTime": r"        avg\(ms\) : ([0-9.]+)",
-    "errorRatio": r"     err ratio\(%\) : ([0-9.]+)",
-    "slowRatio": r"        slow ratio\(%\) : ([0-9.]+)",
-    "ack/s": "         ack/s : ([0-9]+)",
+HAMMER_SETTINGS = {
+    "conn": "nThreads", "avg(ms)": "avgResponseTime", "err ratio(%)": "errorRatio", "slow ratio(%)": "slowRatio", "ack/s": "ack/s",
 }
 SYSBENCH_INTERVAL = (
     "seconds : cum tps=([0-9.,]+) : int tps=([0-9.,]+) : cum ips=[0-9.,]+ : int ips=[0-9.,]+")
 SYSBENCH_INSERT_INTERVAL = "seconds : cum ips=([0-9.,]+) : int ips=([0-9.,]+)"
 HAMMER_INTERVAL = r"Last avg\(ms\):  ([0-9.]+)  send:  ([0-9]+)  "
+# One setting of any tool, behind at most a thread name and two blanks: "name = value", "name : value", or a phrase.
+NAMED_SETTING = r"(?:^|  )\s*(\S(?: ?\S)*?)\s+[=:] (\S+)"
+PHRASED_SETTING = r"(?:^|  )\s*((?:\S+ )*?)([0-9][0-9,]*)( \S.*)$"
 YCSB_RESULT, YCSB_COMMAND = "[OVERALL], Throughput(ops/sec)", "Command line:"
 SIM_MARK = "==== perf metrics ===="
 SIM_NODES = "STRUCT<summary: STRUCT<nodes: ARRAY<MAP<STRING, MAP<STRING, STRING>>>>>"
@@ -56,50 +43,78 @@ SIM_HEAD = """STRUCT<harness: STRING, workload: STRING, server_version: STRING,
 class Harness:
     """How the captures of one tool are read.
 
-    ``parameter_words`` and ``interval_word`` are plain substrings that every matching line
-    holds; they are tested before any pattern.
+    ``interval_word`` is a plain substring that every interval line holds; it is tested before
+    any pattern.  ``whole`` names the parameters of which only the whole number counts.
     """
 
     report_name: str
-    parameters: dict[str, str] = field(default_factory=dict)
-    parameter_words: tuple[str, ...] = ()
+    settings: dict[str, str] = field(default_factory=dict)
     interval: str = ""
     interval_word: str = ""
     interval_names: tuple[str, str] = ("cum", "interval")
     result_parameter: str | None = None
+    whole: tuple[str, ...] = ()
+
+    @property
+    def parameters(self) -> list[str]:
+        return list(self.settings.values())
 
 
 HARNESSES = {
-    "sysbench": Harness("sysbench", SYSBENCH_PARAMETERS, ("= ",), SYSBENCH_INTERVAL, "seconds : cum tps="),
-    "sysbench-insert": Harness(
-        "sysbench", SYSBENCH_INSERT_PARAMETERS,
-        ("writer thread", "collection", "Feedback every", "write concern"),
-        SYSBENCH_INSERT_INTERVAL, "seconds : cum ips="),
-    "hammer": Harness("hammer", HAMMER_PARAMETERS, (" : ",), HAMMER_INTERVAL, "Last avg(ms):",
-                      ("avg", "send"), "ack/s"),
+    "sysbench": Harness("sysbench", SYSBENCH_SETTINGS, SYSBENCH_INTERVAL, "seconds : cum tps="),
+    "sysbench-insert": Harness("sysbench", SYSBENCH_INSERT_SETTINGS, SYSBENCH_INSERT_INTERVAL, "seconds : cum ips="),
+    "hammer": Harness("hammer", HAMMER_SETTINGS, HAMMER_INTERVAL, "Last avg(ms):", ("avg", "send"), "ack/s", ("ack/s",)),
 }
 
 
+def _setting(value: Column) -> tuple[Column, Column]:
+    """Name and value of a setting line; an empty name on other lines."""
+    part = lambda pattern, i: F.regexp_extract(value, pattern, i)
+    name = part(NAMED_SETTING, 1)
+    phrase = F.when(part(PHRASED_SETTING, 2) != "", F.concat(part(PHRASED_SETTING, 1), F.lit("#"), part(PHRASED_SETTING, 3))).otherwise("")
+    return F.when(name != "", name).otherwise(phrase), F.when(name != "", part(NAMED_SETTING, 2)).otherwise(part(PHRASED_SETTING, 2))
+
+
+def _read(lines: DataFrame, harness: str) -> DataFrame:
+    """Per file, in one pass over its lines: ``n_intervals, last`` and for parameter i ``matches_i, value_i``.
+
+    The value of a parameter that several lines set is not known.
+    """
+    spec = HARNESSES[harness]
+    is_interval = F.col("value").contains(spec.interval_word)
+    first = number(F.regexp_extract("value", spec.interval, 1))
+    name, text = _setting(F.col("value"))
+    cut = lines.select("file", "chunk", "pos", F.when(is_interval, first).alias("first"),
+                       F.when(~is_interval, F.struct(name.alias("name"), text.alias("text"))).alias("s"))
+    known = F.when(F.col("s.name").isin(*spec.settings), F.col("s.name"))
+    cut = cut.select("file", "chunk", "pos", "first", known.alias("name"), F.col("s.text").alias("text"))
+    numbered = list(enumerate(spec.settings))
+    # The collected set makes Spark aggregate text values by hash as well, without a sort.
+    per_chunk = cut.groupBy("file", "chunk").agg(
+        F.count("first").alias("n"), F.max_by("first", F.when(F.col("first").isNotNull(), F.col("pos"))).alias("last"),
+        F.collect_set(F.lit(1)).alias("by_hash"),
+        *[c for i, s in numbered for c in (F.count_if(F.col("name") == s).alias(f"matches_{i}"), F.max(F.when(F.col("name") == s, F.col("text"))).alias(f"value_{i}"))])
+    per_file = per_chunk.groupBy("file").agg(
+        F.sum("n").alias("n_intervals"), F.max_by("last", F.when(F.col("n") > 0, F.col("chunk"))).alias("last"), F.flatten(F.collect_set("by_hash")).alias("by_hash"),
+        *[c for i, _ in numbered for c in (F.sum(f"matches_{i}").alias(f"matches_{i}"), F.max(f"value_{i}").alias(f"value_{i}"))])
+    value = lambda i, s: F.regexp_extract(f"value_{i}", "^[0-9]+", 0) if spec.settings[s] in spec.whole else F.col(f"value_{i}")
+    return per_file.select("file", "n_intervals", "last", *[f"matches_{i}" for i, _ in numbered],
+                           *[F.when(F.col(f"matches_{i}") == 1, value(i, s)).alias(f"value_{i}") for i, s in numbered])
+
+
+def _status(matches: Column) -> Column:
+    return F.when(matches == 0, "missing").when(matches > 1, "ambiguous").otherwise("ok")
+
+
 def parameters(lines: DataFrame, harness: str, strict: bool = False) -> DataFrame:
     """``file, param, value, matches, status`` for every file and every known parameter.
 
-    Status is ``ok``, ``missing`` or ``ambiguous`` (found on several lines); ``strict``
-    fails unless all are ``ok``.
+    Status is ``ok``, ``missing`` or ``ambiguous`` (found on several lines), the last two
+    without a value; ``strict`` fails unless all are ``ok``.
     """
-    spec = HARNESSES[harness]
-    candidate = F.lit(False)
-    for word in spec.parameter_words:
-        candidate = candidate | F.col("value").contains(word)
-    hits = F.array(*[F.struct(F.lit(name).alias("param"), F.regexp_extract("value", pattern, 1).alias("value"))
-                     for name, pattern in spec.parameters.items()])
-    found = (lines.where(candidate).select("file", F.inline(hits)).where("value != ''")
-             .groupBy("file", "param").agg(F.count("*").alias("matches"), F.max("value").alias("value")))
-    names = F.array(*[F.lit(name) for name in spec.parameters])
-    expected = lines.groupBy("file").agg(F.count("*")).select("file", F.explode(names).alias("param"))
-    matches = F.coalesce("matches", F.lit(0).cast("bigint"))
-    status = F.when(matches == 0, "missing").when(matches > 1, "ambiguous").otherwise("ok")
-    out = expected.join(found, ["file", "param"], "left").select(
-        "file", "param", "value", matches.alias("matches"), status.alias("status"))
+    rows = F.array(*[F.struct(F.lit(name).alias("param"), F.col(f"value_{i}").alias("value"), F.col(f"matches_{i}").alias("matches"))
+                     for i, name in enumerate(HARNESSES[harness].parameters)])
+    out = _read(lines, harness).select("file", F.inline(rows)).withColumn("status", _status(F.col("matches")))
     if strict:
         out = out.withColumn("status", F.when(F.col("status") == "ok", F.col("status")).otherwise(
             F.raise_error(F.concat_ws(" ", "file", "param", "status"))))
@@ -117,38 +132,43 @@ def intervals(lines: DataFrame, harness: str) -> DataFrame:
             .where(F.col(first).isNotNull()))
 
 
-def _attributes(params: DataFrame, harness: str) -> DataFrame:
-    return params.groupBy("file").agg(*[
-        F.max(F.when(F.col("param") == name, F.col("value"))).alias(name) for name in HARNESSES[harness].parameters])
-
-
 def summary(lines: DataFrame, harness: str, strict: bool = False) -> DataFrame:
-    """One row per file: throughput, number of intervals and the parameters as text."""
+    """One row per file: throughput, number of intervals, the parameters as text, and ``status``.
+
+    ``status`` is ``ok`` or lists the parameters that are missing or ambiguous; ``strict`` fails on those.
+    """
     spec = HARNESSES[harness]
-    attributes = _attributes(parameters(lines, harness, strict), harness)
-    first = spec.interval_names[0]
-    per_chunk = intervals(lines, harness).groupBy("file", "chunk").agg(
-        F.count("*").alias("n"), F.max_by(first, "pos").alias("last"))
-    ends = per_chunk.groupBy("file").agg(F.sum("n").alias("n_intervals"), F.max_by("last", "chunk").alias("throughput"))
-    out = attributes.join(ends, "file", "left")
-    if spec.result_parameter:
-        out = out.withColumn("throughput", number(F.col(spec.result_parameter)))
-    kept = [name for name in spec.parameters if name != spec.result_parameter]
-    return out.select("file", "throughput", F.coalesce("n_intervals", F.lit(0).cast("bigint")).alias("n_intervals"),
-                      *[F.col(f"`{name}`") for name in kept])
+    faults = F.array(*[F.when(F.col(f"matches_{i}") != 1, F.concat(F.lit(f"{name} "), _status(F.col(f"matches_{i}"))))
+                       for i, name in enumerate(spec.parameters)])
+    status = F.array_join(F.array_compact(faults), ", ")
+    out = _read(lines, harness).withColumn("status", F.when(status == "", "ok").otherwise(status))
+    if strict:
+        out = out.withColumn("status", F.when(F.col("status") == "ok", F.col("status")).otherwise(F.raise_error(F.concat_ws(" ", "file", "status"))))
+    named = {name: F.col(f"value_{i}") for i, name in enumerate(spec.parameters)}
+    throughput = number(named[spec.result_parameter]) if spec.result_parameter else F.col("last")
+    return out.select("file", throughput.alias("throughput"), "n_intervals",
+                      *[c.alias(name) for name, c in named.items() if name != spec.result_parameter], "status")
 
 
 def ycsb_summary(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Per file: the first overall throughput and the last command line before it."""
+    """Per file: the first overall throughput and the last command line before it.
+
+    A file without a result has no throughput and its last command line; ``strict`` fails on it.
+    """
     line = F.col("value")
     is_command = line.contains(YCSB_COMMAND)
-    result = (lines.where(~is_command & F.contains(line, F.lit(YCSB_RESULT)))
-              .withColumn("throughput", F.trim(F.get(F.split("value", ","), F.lit(2)))))
-    first = first_in_file(result, "throughput", "chunk", "pos")
+    is_result = ~is_command & F.contains(line, F.lit(YCSB_RESULT))
+    at = F.when(is_result, F.col("pos"))
+    per_chunk = lines.groupBy("file", "chunk").agg(
+        F.min(at).alias("end_pos"), F.min_by(F.trim(F.get(F.split("value", ","), F.lit(2))), at).alias("throughput"), F.collect_set(F.lit(1)).alias("by_hash"))
+    has_result = F.when(F.col("end_pos").isNotNull(), F.col("chunk"))
+    first = per_chunk.groupBy("file").agg(
+        F.min(has_result).alias("end_chunk"), F.min_by("end_pos", has_result).alias("end_pos"), F.min_by("throughput", has_result).alias("throughput"))
     number_of = F.col("throughput").cast("double") if strict else F.col("throughput").try_cast("double")
-    first = first.select("file", number_of.alias("throughput"),
-                         F.col("chunk").alias("end_chunk"), F.col("pos").alias("end_pos"))
-    before = (F.col("chunk") < F.col("end_chunk")) | (
+    if strict:
+        number_of = F.when(F.col("end_chunk").isNull(), F.raise_error(F.concat_ws(" ", "file", F.lit("has no result"))).cast("double")).otherwise(number_of)
+    first = first.select("file", number_of.alias("throughput"), "end_chunk", "end_pos")
+    before = F.col("end_chunk").isNull() | (F.col("chunk") < F.col("end_chunk")) | (
         (F.col("chunk") == F.col("end_chunk")) & (F.col("pos") < F.col("end_pos")))
     commands = last_in_file(
         lines.where(is_command).join(first, "file").where(before).withColumnRenamed("value", "command_line"),
@@ -157,13 +177,16 @@ def ycsb_summary(lines: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def sim_reports(lines: DataFrame) -> DataFrame:
-    """``file, report``: the JSON text on the line after the last marker of each file."""
-    marks = lines.where(F.col("value").contains(SIM_MARK)).select("file", "chunk", "pos")
-    last = last_in_file(marks, "chunk", "pos").withColumnsRenamed({"chunk": "mark_chunk", "pos": "mark_pos"})
+    """``file, report``: the JSON text on the line after the last marker of each file; NULL where there is none."""
+    is_mark = F.col("value").contains(SIM_MARK)
+    at = F.when(is_mark, F.col("pos"))
+    per_chunk = lines.groupBy("file", "chunk").agg(F.max(at).alias("mark_pos"))
+    has_mark = F.when(F.col("mark_pos").isNotNull(), F.col("chunk"))
+    last = per_chunk.groupBy("file").agg(F.max(has_mark).alias("mark_chunk"), F.max_by("mark_pos", has_mark).alias("mark_pos"))
     after = (F.col("chunk") > F.col("mark_chunk")) | (
         (F.col("chunk") == F.col("mark_chunk")) & (F.col("pos") > F.col("mark_pos")))
     rest = lines.join(last, "file").where(after).withColumnRenamed("value", "report")
-    return first_in_file(rest, "report")
+    return last.select("file").join(first_in_file(rest, "report"), "file", "left")
 
 
 def sim_node_stats(lines: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from opslens.operators.carry import first_in_file
 def csv_tail_summary(lines: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Per file: the header and the second-to-last data row.
 
-    ``last_row`` is NULL when a file has fewer than two data rows.  Files listed in
+    ``last_row`` is NULL when a file has fewer than two data rows.  Blank lines do not count.  Files listed in
     ``expected`` (column ``file``) that have no lines are reported with ``missing``.
     Every row carries its own header, so a change of header between files shows in the rows.
     """
+    lines = lines.where(F.trim("value") != "")  # blank lines are no rows
     header = first_in_file(lines.withColumnRenamed("value", "header"), "header", "chunk", "pos")
     # Two lines per chunk, then two per file: the rank limit is applied before each shuffle.
     in_chunk = Window.partitionBy("file", "chunk").orderBy(F.desc("pos"))

@@ -17,13 +17,16 @@ UPDATE_OPERATORS = ["inc", "set", "pull"]
 FIELDS = ["ts", "epoch", "conn", "op", "ns", "cmd", "q_text", "update_text", "q_plan", "no_document"]
 
 
-def parse_dblog(lines: DataFrame, strict_reference: bool = False) -> DataFrame:
+def parse_dblog(lines: DataFrame, strict_reference: bool = False, where: Column | None = None) -> DataFrame:
     """One event per line, as pure column expressions.
 
     ``parse_status`` is ``ok``; ``skipped`` for lines that are no operation; ``error`` for
-    operations whose time or documents cannot be read.  Skipped and error rows have NULL
-    fields.  ``strict_reference`` also counts documents that hold a string with a blank as
-    errors, as token-wise quoting does.
+    operations whose time cannot be read, both with NULL fields; ``unreadable`` for operations
+    without a readable document, where only the documents are NULL.  ``strict_reference`` also
+    counts documents that hold a string with a blank as errors, as token-wise quoting does.
+
+    ``where`` is a condition on ``ts``, ``epoch``, ``conn``, ``op`` and ``ns``; it is tested
+    before any pattern looks for documents.
     """
     token = lambda i: F.get(F.col("t"), F.lit(i))
     is_op = lambda *names: F.col("op0").isin(*names)
@@ -33,22 +36,27 @@ def parse_dblog(lines: DataFrame, strict_reference: bool = False) -> DataFrame:
 
     cut = lines.select("file", "chunk", "pos", "value", F.split(blanks(F.col("value")), " ", 6).alias("t"))
     cut = cut.withColumns({"op0": token(2), "rest": token(5)}).withColumn("word5", F.substring_index("rest", " ", 1))
-    read = cut.select(
-        "file", "chunk", "pos", "value", "op0",
+    cheap = cut.select(
+        "file", "chunk", "pos", "value", "t", "op0", "rest", "word5",
         token(0).alias("ts"),
         F.when(is_op(*OPERATIONS), F.unix_timestamp(token(0).try_cast("timestamp"))).alias("epoch"),
         token(1).alias("conn"),
         F.col("op0").alias("op"),
         token(3).alias("ns"),
+    )
+    if where is not None:
+        cheap = cheap.where(where)
+    read = cheap.select(
+        "file", "chunk", "pos", "value", "op0", "ts", "epoch", "conn", "op", "ns",
         F.when(is_op("command"), F.col("word5")).alias("cmd"),
         F.when(is_op("query", "update"), predicates.predicate_text(rest)).alias("q_text"),
         F.when(is_op("update"), predicates.update_text(rest)).alias("update_text"),
         F.when(has_plan, F.nullif(F.regexp_extract(rest, PLAN, 1), F.lit(""))).alias("q_plan"),
         F.when(is_op("query") & F.col("word5").isin(*shapes.NO_DOCUMENT), F.col("word5")).alias("no_document"),
     )
-    broken = (
-        F.col("epoch").isNull()
-        | (is_op("query") & F.col("q_text").isNull() & F.col("no_document").isNull())
+    broken = F.col("epoch").isNull()
+    unreadable = (
+        (is_op("query") & F.col("q_text").isNull() & F.col("no_document").isNull())
         | (is_op("update") & F.col("update_text").isNull())
     )
     if strict_reference:
@@ -56,10 +64,10 @@ def parse_dblog(lines: DataFrame, strict_reference: bool = False) -> DataFrame:
         broken = broken | spaced("q_text") | spaced("update_text")
     status = (
         F.when(~F.coalesce(is_op(*OPERATIONS), F.lit(False)), "skipped")
-        .when(broken, "error").otherwise("ok")
+        .when(broken, "error").when(unreadable, "unreadable").otherwise("ok")
     )
     judged = read.withColumn("parse_status", status)
-    kept = [F.when(F.col("parse_status") == "ok", F.col(name)).alias(name) for name in FIELDS]
+    kept = [F.when(F.col("parse_status").isin("ok", "unreadable"), F.col(name)).alias(name) for name in FIELDS]
     # The generated row keeps later filters above the parse, so that a filter on ``op`` does
     # not evaluate the patterns once more below it.
     return judged.select("file", "chunk", "pos", F.col("value").alias("raw"),

@@ -6,8 +6,6 @@ Each job follows a growing folder and ends when everything there now is processe
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,49 +26,51 @@ def follow_lines(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 
 def _batch_folder(out: str, batch: int) -> str:
-    return os.path.join(out, f"batch={batch}")
+    return f"{out}/batch={batch}"
 
 
-def ops_per_second_stream(lines: DataFrame, out: str, checkpoint: str, delay: str = "10 seconds") -> StreamingQuery:
-    """Operations per second and kind; lines later than ``delay`` behind are dropped.
+def ops_per_second_stream(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Operations per second and kind.
 
-    Each batch writes only the seconds it changed.
+    Each batch writes the counts of its own lines, and reading adds them up.  So no line is
+    too late, whatever the order of the files, and a replayed batch overwrites its own folder.
     """
-    events = parse_dblog(lines).where("parse_status = 'ok'").withColumn("time", F.timestamp_seconds("epoch"))
-    rates = (events.withWatermark("time", delay).groupBy(F.window("time", "1 second"), "op")
-             .agg(F.count("*").alias("n"))
-             .select(F.unix_timestamp("window.start").alias("epoch"), "op", "n"))
-
-    def store(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(_batch_folder(out, batch))
+    def store(batch_lines: DataFrame, batch: int) -> None:
+        events = parse_dblog(batch_lines).where("op IS NOT NULL")
+        events.groupBy("epoch", "op").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(_batch_folder(out, batch))
 
-    return (rates.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return (lines.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(store).trigger(availableNow=True).start())
 
 
 def read_rates(spark: SparkSession, out: str) -> DataFrame:
-    """Latest count of each second and kind; counts only grow from batch to batch."""
-    return spark.read.parquet(out).groupBy("epoch", "op").agg(F.max("n").alias("n"))
+    """Counts of each second and kind over all batches."""
+    return spark.read.parquet(out).groupBy("epoch", "op").agg(F.sum("n").alias("n"))
+
 
+def totals_stream(rows: DataFrame, key: str, value: str, out: str, checkpoint: str,
+                  job: str = "stream") -> StreamingQuery:
+    """Merges the sums of every batch into stored totals; a replayed batch changes nothing.
 
-def totals_stream(rows: DataFrame, key: str, value: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Merges the sums of every batch into stored totals; a replayed batch changes nothing."""
+    ``job`` tells this stream from others that write to the same store.
+    """
     store = StoredTotals(rows.sparkSession, out)
 
     def merge(batch_rows: DataFrame, batch: int) -> None:
-        store.merge(keyed_reduce(batch_rows, F.col(key), F.col(value)), batch)
+        store.merge(keyed_reduce(batch_rows, F.col(key), F.col(value)), batch, job)
 
     return (rows.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(merge).trigger(availableNow=True).start())
 
 
-def agents_stream(lines: DataFrame, out: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Agents as they first appear; repeats within ``delay`` are dropped in the stream."""
-    events = parse_access(lines).where("agent_id IS NOT NULL").select(
-        F.timestamp_seconds("epoch").alias("time"), "agent_id")
-    fresh = events.withWatermark("time", delay).dropDuplicatesWithinWatermark(["agent_id"])
-    return (fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+def agents_stream(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Distinct agents: each batch writes its own, and reading unites them."""
+    def store(batch_lines: DataFrame, batch: int) -> None:
+        agents = parse_access(batch_lines).where("agent_id IS NOT NULL").select("agent_id").distinct()
+        agents.write.mode("overwrite").parquet(_batch_folder(out, batch))
+
+    return (lines.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(store).trigger(availableNow=True).start())
 
 
 def read_agents(spark: SparkSession, out: str) -> DataFrame:

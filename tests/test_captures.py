@@ -42,6 +42,9 @@ def test_parameter_status(lines):
     status = {r.param: (r.status, r.matches) for r in captures.parameters(lines(text), "sysbench").collect()}
     assert status["nRunSeconds"] == ("missing", 0) and status["nThreads"] == ("ambiguous", 2)
     assert sum(s == "ok" for s, _ in status.values()) == 12
+    assert {r.value for r in captures.parameters(lines(text), "sysbench").where("status <> 'ok'").collect()} == {None}
+    row = captures.summary(lines(text), "sysbench").first()
+    assert (row.nThreads, row.nRunSeconds, row.status) == (None, None, "nThreads ambiguous, nRunSeconds missing")
     with pytest.raises(Exception, match="missing|ambiguous"):
         captures.parameters(lines(text), "sysbench", strict=True).collect()
 
@@ -86,7 +89,11 @@ YCSB = ["start", "Command line: -db one", "Command line: -db two -threads 64 -t"
 def test_ycsb(lines, chunk):
     table = lines({"full": YCSB, "bare": YCSB[4:5], "empty": ["x"]}, chunk=chunk)
     rows = {r.file: (r.throughput, r.command_line) for r in captures.ycsb_summary(table).collect()}
-    assert rows == {"full": (58782.55451347149, "Command line: -db two -threads 64 -t"), "bare": (58782.55451347149, None)}
+    assert rows == {"full": (58782.55451347149, "Command line: -db two -threads 64 -t"), "bare": (58782.55451347149, None), "empty": (None, None)}
+    with pytest.raises(Exception, match="empty has no result"):
+        captures.ycsb_summary(table, strict=True).collect()
+    (late,) = captures.ycsb_summary(lines(YCSB[:3], chunk=chunk)).collect()
+    assert (late.throughput, late.command_line) == (None, YCSB[2])
 
 
 def sim_json(attributes):
@@ -102,7 +109,7 @@ def test_simulation(lines):
     listed = ["noise", mark, '{"harness": "old"}', mark, sim_json([{"nThreads": 5}, {"nSteps": 1000}]), "bye"]
     table = lines({"list": listed, "map": [mark, sim_json({"nThreads": 9})], "none": ["x"]}, chunk=2)
     runs = {r.file: r for r in captures.sim_run(table).collect()}
-    assert set(runs) == {"list", "map"}
+    assert set(runs) == {"list", "map", "none"} and runs["none"].workload is None and runs["none"].attributes is None
     assert runs["list"].attributes == {"nThreads": "5", "nSteps": "1000"} and runs["map"].attributes == {"nThreads": "9"}
     assert (runs["list"].workload, runs["list"].run_nanos, runs["list"].test_driver.git_hash) == ("twitter", 42566, "5bc3")
     stats = {(r.node_no, r.node, r.metric): r.value for r in captures.sim_node_stats(table).where("file = 'list'").collect()}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.shapes import canonical_shape, shape_of
 from opslens.operators import workload
+from opslens.sinks import events as event_store
 from opslens.sources import dblog
 
 TAIL = "ntoskip:0 keyUpdates:0 numYields:0 locks(micros) r:93 nreturned:0 reslen:20 0ms"
@@ -61,8 +62,9 @@ def test_broken_and_odd_lines(lines):
         "2014-06-05T14:25:14.100-0700 [c] getmore a.b cursorid:1 0ms",
         '2014-06-05T14:25:14.100-0700 [c] query a.b query: { a: "two } words: , here", b: 1 } planSummary: EOF 0ms',
         "2014-06-05T14:25:14.100-0700 [c] query a.b query: {} planSummary: EOF 0ms")
-    assert [r.parse_status for r in rows] == ["skipped", "skipped", "error", "error", "error", "ok", "ok", "ok"]
-    assert [r.op for r in rows[2:5]] == [None, None, None]
+    assert [r.parse_status for r in rows] == ["skipped", "skipped", "unreadable", "error", "unreadable", "ok", "ok", "ok"]
+    assert [(r.op, r.ns) for r in rows[2:5]] == [("query", "a.b"), (None, None), ("update", "a.b")]
+    assert rows[2].epoch == 1402003514 and (rows[2].q_text, rows[4].update_text) == (None, None)
     assert json.loads(rows[6].q_json) == {"a": "two } words: , here", "b": "1"}
     assert rows[6].q_norm == ":fieldname:fieldname&EOF"
     assert rows[7].q_norm == "&EOF"
@@ -102,7 +104,7 @@ def test_shapes(spark):
 
 
 def test_deep_documents(spark, lines):
-    depth = 90
+    depth = 150
     text = "{ a: " * depth + "1" + " }" * depth
     line = f"2014-06-05T14:25:14.100-0700 [c] query a.b query: {text} planSummary: EOF 0ms"
     (row,) = read(lines, line)
@@ -160,4 +162,50 @@ def test_schema_fields_of_query(lines):
 def test_filters_do_not_repeat_the_parse(lines, op):
     events = dblog.parse_dblog(lines([ALERTS])).where(workload.is_op(op)).groupBy("ns").count()
     plan = events._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("split(") == 1
+    assert plan.count("unix_timestamp(") == 1
+
+
+ODD = {
+    '{ name: /^O"Brien/ }': True,
+    '{ name: /^O"Brien/, b: { c: "x } y" } }': True,
+    '{ a: "one } two", b: /q"r/ }': True,
+    '{ a: "{ { {", b: "\\" }", c: 1 }': True,
+    "{ a: /x{2}/, b: { $in: [ { c: 1 }, { d: {} } ] } }": True,
+    '{ a: "never closed }': True,
+    "{ a: { b: 1 }": False,
+    "a: 1 }": False,
+    "{}": True,
+}
+
+
+def test_documents_with_odd_quotes_and_braces(lines):
+    head = "2014-06-05T14:25:14.100-0700 [c] "
+    queries = read(lines, *[f"{head}query a.b query: {text} planSummary: EOF 0ms" for text in ODD])
+    updates = read(lines, *[f"{head}update a.b query: {{ x: /a\"b/ }} update: {text} nscanned:1 0ms" for text in ODD])
+    assert [r.q_text for r in queries] == [text if found else None for text, found in ODD.items()]
+    assert [r.update_text for r in updates] == [text if found else None for text, found in ODD.items()]
+    assert {(r.op, r.ns, r.epoch is None) for r in queries} == {("query", "a.b", False)}
+
+
+def test_deep_update_keeps_its_place_in_the_load(lines):
+    deep = "{ a: " * 200 + "1" + " }" * 200
+    line = f"2014-06-05T14:25:14.100-0700 [c] update a.b query: {deep} update: {{ $set: {deep} }} nscanned:1 0ms"
+    (row,) = workload.ns_load(dblog.parse_dblog(lines([line]))).collect()
+    assert (row.ns, row.op_read, row.n) == ("a.b", "update-$set", 1)
+
+
+def test_condition_before_the_patterns(lines):
+    texts = [USERS, COMMAND, HOURS]
+    kept = dblog.parse_dblog(lines(texts), where=workload.in_namespace("twitter.users"))
+    assert [r.ns for r in kept.collect()] == ["twitter.users"]
+
+
+def test_event_store_prunes(spark, lines, tmp_path, capsys):
+    path = str(tmp_path / "events")
+    event_store.write_events(dblog.parse_dblog(lines([ALERTS, HOURS, USERS, ACCEPTED, COMMAND])), path)
+    assert event_store.read_events(spark, path).count() == 4
+    kept = event_store.read_events(spark, path, ns="twitter.users", ops=["query"], first_day="2014-06-05", last_day="2014-06-06")
+    assert [r.raw for r in kept.collect()] == [USERS]
+    kept.explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(day" in plan and "EqualTo(ns,twitter.users)" in plan and "EqualTo(op,query)" in plan

@@ -3,9 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.operators import changes, counters, http, keyed_sum, synth
+from opslens.operators import changes, counters, http, keyed_sum, perf, synth
 from opslens.sinks import report
-from opslens.sources import access, oplog
+from opslens.sources import access, csv_tail, oplog
 from opslens.sources.lines import log_lines
 
 ACCESS = """192.168.19.101 - - [11/Jun/2014:05:10:22 +0000] "POST /ping/v1/95620b7084cf71a6594abf82a5b4cd3d HTTP/1.1" 200 12 "-" "Go 1.0"
@@ -95,6 +95,32 @@ def test_stored_totals_survive_replay(spark, tmp_path):
     assert {r._id: r.value for r in store.read().collect()} == want
     compacted = store.compact(str(tmp_path / "compacted"))
     assert {r._id: r.value for r in compacted.read().collect()} == want
+    compacted.merge(part((3, 9)), 0)
+    assert {r._id: r.value for r in compacted.read().collect()} == {**want, 3: 9}
+
+
+def test_jobs_share_a_store_and_reducers_do_not(spark, tmp_path):
+    part = lambda *pairs: spark.createDataFrame(pairs, "_id BIGINT, value BIGINT")
+    store = keyed_sum.StoredTotals(spark, str(tmp_path / "max"), reducer="max")
+    store.merge(part((1, 5)), 0, job="a")
+    store.merge(part((1, 9), (2, 1)), 0, job="b")
+    assert {r._id: r.value for r in store.read().collect()} == {1: 9, 2: 1}
+    assert {r._id: r.value for r in store.compact(str(tmp_path / "less")).read().collect()} == {1: 9, 2: 1}
+    with pytest.raises(ValueError, match="max, not of sum"):
+        keyed_sum.StoredTotals(spark, store.path).read()
+    with pytest.raises(ValueError, match="avg cannot be merged"):
+        keyed_sum.StoredTotals(spark, store.path, reducer="avg")
+
+
+def test_no_samples_have_no_cv(spark):
+    samples = spark.createDataFrame([("f", "A", 1, None), ("f", "B", 1, 2.0)], "file STRING, name STRING, thread INT, result DOUBLE")
+    got = {r.name: (r.n, r.cv_str) for r in perf.mean_cv(samples).collect()}
+    assert got == {"A": (0, perf.NO_SAMPLES), "B": (1, "n/a")}
+
+
+def test_blank_lines_are_no_csv_rows(lines):
+    (row,) = csv_tail.csv_tail_summary(lines(["", "h", "1", " ", "2", "3", "", ""])).collect()
+    assert (row.header, row.last_row, row.missing) == ("h", "2", False)
 
 
 COUNTERS = {"insert": 30482408, "query": 71843659, "update": 44281266, "delete": 0, "getmore": 5904187, "command": 1438082}
