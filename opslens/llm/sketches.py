@@ -35,7 +35,7 @@ LOWEST = -(1 << 63)
 
 def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
     """One hash for every ``size`` successive words; fewer words are one shingle."""
-    several = let(F.transform(words, lambda w: F.xxhash64(w)), lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - size), lambda i: F.xxhash64(F.slice(a, i + 1, size))))
+    several = let(F.transform(words, lambda w: F.xxhash64(w)), lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - size), lambda i: F.xxhash64(*[F.get(a, i + k) for k in range(size)])))
     return F.when(F.size(words) >= size, several).when(F.size(words) > 0, F.array(F.xxhash64(F.transform(words, lambda w: F.xxhash64(w))))).otherwise(F.array().cast("array<bigint>"))
 
 
