@@ -12,7 +12,7 @@ connecting to: 127.0.0.1:27017/test
 db version: 2.6.5-rc2-pre-
 2966c35b20416d55c3d481e5f254a9befb1b2338
 
-load('util/utils.js')
+load('shared/helper.js')
 
 Geo.within.center
 1\t928.11
