@@ -416,7 +416,8 @@ def profile_ops_per_second(spark, sf_dir):
 PERF = """
 WITH stats AS (
   SELECT 'perf-' || l_linestatus || '.log' AS file, 'Item.' || l_returnflag AS name, l_linenumber AS thread,
-    count(*) AS n, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY ALL),
+    count(*) AS n, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS sd
+  FROM lineitem WHERE l_linestatus <> 'F' OR l_linenumber <> 7 GROUP BY ALL),
 cvs AS (
   SELECT file, name, thread, n, mean, 100 * sd / mean AS cv,
     CASE WHEN n = 1 THEN 'n/a' ELSE printf('%.2f%%', 100 * sd / mean) END AS cv_str FROM stats),
@@ -442,14 +443,14 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("perf_samples", """
 SELECT 'perf-' || l_linestatus || '.log' AS file, 'Item.' || l_returnflag AS name, l_linenumber AS thread,
-  l_extendedprice AS result FROM lineitem""")
+  l_extendedprice AS result FROM lineitem WHERE l_linestatus <> 'F' OR l_linenumber <> 7""")
 def perf_samples(spark, sf_dir):
     return samples(spark, sf_dir).select("file", "name", "thread", "result")
 
 
 @query("perf_log_info", """
 SELECT 'perf-' || l_linestatus || '.log' AS file, 'MongoDB shell version: 2.7.5-pre-' AS client_version,
-  'db version: 2.7.5' AS version, '2.7.5' AS server_version, '2966c35b20416d55c3d481e5f254a9befb1b2338' AS git_sha,
+  'db version: 2.7.5' AS version, '2.7.5' AS server_version, '00112233445566778899aabbccddeeff00112233' AS git_sha,
   false AS conflict FROM lineitem WHERE l_linenumber = 1 GROUP BY l_linestatus""")
 def perf_log_info(spark, sf_dir):
     return perf_log.perf_log_info(render.perf(spark, sf_dir))
@@ -464,8 +465,9 @@ def perf_mean_cv(spark, sf_dir):
 
 @query("perf_compare", PERF + """
 SELECT key, round(old_mean, 4) AS old_mean, round(new_mean, 4) AS new_mean, round(ratio, 8) AS ratio,
-  key || chr(9) || printf('%.2f', old_mean) || '[' || old_cv_str || ']' || chr(9) || printf('%.2f', new_mean)
-  || '[' || new_cv_str || ']' || chr(9) || delta AS line FROM compared""")
+  CASE WHEN old_mean IS NULL THEN key || chr(9) || 'n/a' || chr(9) || printf('%.6f', new_mean) || '[' || new_cv_str || ']' || chr(9) || 'n/a'
+  ELSE key || chr(9) || printf('%.2f', old_mean) || '[' || old_cv_str || ']' || chr(9) || printf('%.2f', new_mean)
+  || '[' || new_cv_str || ']' || chr(9) || delta END AS line FROM compared""")
 def perf_compare(spark, sf_dir):
     lines = tables.tab_lines(tables.text_cells(compared(spark, sf_dir)))
     return lines.select("key", F.round("old_mean", 4).alias("old_mean"), F.round("new_mean", 4).alias("new_mean"),
@@ -473,11 +475,13 @@ def perf_compare(spark, sf_dir):
 
 
 @query("perf_compare_wiki", PERF + """
-SELECT key, '||' || key || chr(9) || '|' || printf('%.2f', old_mean) || chr(9) || '|'
+SELECT key, CASE WHEN old_mean IS NULL THEN
+  '||' || key || chr(9) || '|n/a' || chr(9) || '|' || printf('%.6f', new_mean) || chr(9) || '|[' || new_cv_str || ']' || chr(9) || '|n/a|'
+  ELSE '||' || key || chr(9) || '|' || printf('%.2f', old_mean) || chr(9) || '|'
   || CASE WHEN old_noisy THEN '{color:orange}' || old_cv_str || '{color}' ELSE old_cv_str END || chr(9) || '|'
   || printf('%.2f', new_mean) || chr(9) || '|'
   || CASE WHEN new_noisy THEN '{color:orange}' || new_cv_str || '{color}' ELSE new_cv_str END || chr(9) || '|'
-  || CASE WHEN regression THEN '{color:red}' || delta || '{color}' ELSE delta END || '|' AS line FROM compared""")
+  || CASE WHEN regression THEN '{color:red}' || delta || '{color}' ELSE delta END || '|' END AS line FROM compared""")
 def perf_compare_wiki(spark, sf_dir):
     return tables.tab_lines(tables.wiki_cells(compared(spark, sf_dir))).select("key", "line")
 
@@ -487,6 +491,31 @@ def perf_flags(spark, sf_dir):
     return compared(spark, sf_dir).select("key", "regression", "old_noisy", "new_noisy")
 
 
+@query("perf_reports", PERF + """
+SELECT file AS run, 'mongo-perf' AS harness, name AS workload, '2.7.5' AS server_version,
+  '00112233445566778899aabbccddeeff00112233' AS server_git_hash, CAST(thread AS VARCHAR) AS n_thread, cv_str AS cv,
+  round(mean, 4) AS op_throughput FROM cvs""")
+def perf_reports(spark, sf_dir):
+    lines = render.perf(spark, sf_dir)
+    documents = report.perf_reports(perf.mean_cv(perf_log.perf_samples(lines)), perf_log.perf_log_info(lines))
+    attribute = lambda name: F.try_element_at("attributes", F.lit(name))
+    return documents.select("run", "harness", "workload", "server_version", "server_git_hash", attribute("nThread").alias("n_thread"),
+                            attribute("CV").alias("cv"), F.round("summary.all_nodes.op_throughput", 4).alias("op_throughput"))
+
+
+@query("sim_reports", """
+SELECT 'sim-' || c_custkey AS run, 'mongo-sim' AS harness, 'shop' AS workload, c_custkey AS run_seconds,
+  CAST(c_nationkey AS VARCHAR) AS n_threads, CAST(2 AS BIGINT) AS nodes, CAST(c_custkey AS DOUBLE) AS first_latency,
+  CAST(c_custkey % 7 AS DOUBLE) AS second_count FROM customer""")
+def sim_reports(spark, sf_dir):
+    lines = render.sim(spark, sf_dir)
+    documents = report.sim_reports(captures.sim_run(lines), captures.sim_node_stats(lines))
+    stat = lambda node, metric: F.get("summary.nodes", F.lit(node))["browse"][metric]
+    return documents.select("run", "harness", "workload", "run_seconds", F.try_element_at("attributes", F.lit("nThreads")).alias("n_threads"),
+                            F.size("summary.nodes").cast("bigint").alias("nodes"), stat(0, "op_lat_total_micros").alias("first_latency"),
+                            stat(1, "op_count").alias("second_count"))
+
+
 SYSBENCH_VALUES = """
   ('nThreads', substr(o_orderpriority, 1, 1)), ('nCollections', '15'), ('nCollectionSize', format('{:,}', n)),
   ('nFeedbackSeconds', '10'), ('nRunSeconds', '600'), ('oltp range size', '100'), ('oltp point selects', '10'),
@@ -673,7 +702,8 @@ UNION ALL SELECT 'ycsb-' || c_nationkey, 'ycsb', 'ycsb-' || c_nationkey, min(c_c
 FROM customer GROUP BY c_nationkey
 UNION ALL SELECT 'sim-' || c_custkey, 'mongo-sim', 'sim-' || c_custkey, NULL, CAST(c_nationkey AS VARCHAR) FROM customer
 UNION ALL SELECT 'perf-' || l_linestatus || '.log', 'mongo-perf', 'Item.' || l_returnflag, round(avg(l_extendedprice), 4),
-  CAST(l_linenumber AS VARCHAR) FROM lineitem GROUP BY l_linestatus, l_returnflag, l_linenumber""")
+  CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_linestatus <> 'F' OR l_linenumber <> 7
+GROUP BY l_linestatus, l_returnflag, l_linenumber""")
 def harness_results(spark, sf_dir):
     """Captures of every tool through one switch on the harness type."""
     logs = {"sysbench": render.sysbench, "sysbench-insert": render.sysbench_insert, "hammer": render.hammer,

@@ -114,14 +114,18 @@ OLD_PERF, NEW_PERF = "perf-F.log", "perf-O.log"
 
 
 def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two micro-benchmark logs: each line item is one result, first line numbers restart the suite."""
+    """Two micro-benchmark logs: each line item is one result, first line numbers restart the suite.
+
+    The old log has no results of seven threads, so these have no baseline.
+    """
     suite = [F.when(F.col("l_linenumber") == 1, line) for line in (
         "MongoDB shell version: 2.7.5-pre-", "connecting to: 127.0.0.1:27017/test", "db version: 2.7.5",
-        "2966c35b20416d55c3d481e5f254a9befb1b2338", "")]
+        "00112233445566778899aabbccddeeff00112233", "")]
     return rows_as_lines(
         rows(spark, sf_dir, "lineitem"), text("perf-", F.col("l_linestatus"), ".log"), F.col("row_id"),
         [*suite, text("Item.", F.col("l_returnflag")),
-         text(F.col("l_linenumber"), "\t", cents(F.col("l_extendedprice")))])
+         F.when((F.col("l_linestatus") != "F") | (F.col("l_linenumber") != 7),
+                text(F.col("l_linenumber"), "\t", cents(F.col("l_extendedprice"))))])
 
 
 def grouped(value: Column, places: int) -> Column:
