@@ -112,6 +112,51 @@ def ns_events(spark, sf_dir):
     return events.select(F.col("pos").alias("event_id"), "epoch", "op", "ns")
 
 
+ODD = f"""
+WITH kinds(kind, op, shape, plan, parse_status) AS (VALUES
+  (0, 'query', ':$and[:fieldname:fieldname<:$lte>]', 'COLLSCAN', 'ok'), (1, 'query', ':fieldname<:$in>', 'IXSCAN', 'ok'),
+  (2, 'query', ':$or[:_id:fieldname]', 'IXSCAN', 'ok'), (3, 'query', '$COLLSCAN', NULL, 'ok'), (4, 'query', '$EOF', NULL, 'ok'),
+  (5, 'query', ':fieldname:fieldname', 'EOF', 'ok'),
+  (6, 'query', repeat(':fieldname<', {render.DEEP - 1}) || ':fieldname' || repeat('>', {render.DEEP - 1}), 'IXSCAN', 'ok'),
+  (7, 'query', ':fieldname', 'IXSCAN', 'ok'), (8, 'query', ':fieldname:fieldname', 'EOF', 'ok'), (9, 'query', NULL, 'IXSCAN', 'unreadable'),
+  (10, 'query', ':fieldname[##]:fieldname[:fieldname#]', 'COLLSCAN', 'ok'), (11, 'remove', NULL, NULL, 'ok'), (12, NULL, NULL, NULL, 'error'),
+  (13, 'update', ':_id', NULL, 'ok'), (14, NULL, NULL, NULL, 'skipped'), (15, 'query', ':fieldname<>:fieldname[]', 'IXSCAN', 'ok')),
+odd AS (
+  SELECT event_id, op, parse_status, plan, CASE WHEN op IS NOT NULL THEN 'odd' || (user_id % 4) || '.docs' END AS ns,
+    CASE WHEN op IS NOT NULL THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS epoch,
+    shape || coalesce('&' || plan, '') AS q_norm, CASE op WHEN 'update' THEN 'update-$set' ELSE op END AS op_read
+  FROM events JOIN kinds ON event_id % 16 = kind)
+"""
+
+
+def odd_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dblog.parse_dblog(render.odd_dblog(spark, sf_dir))
+
+
+@query("odd_events", ODD + "SELECT event_id, epoch, op, ns, q_norm, plan AS q_plan, parse_status FROM odd")
+def odd_log_events(spark, sf_dir):
+    """Lines with deep, listed, missing and broken documents keep operation, namespace and time."""
+    return dblog.with_shapes(odd_events(spark, sf_dir)).select(
+        F.col("pos").alias("event_id"), "epoch", "op", "ns", "q_norm", "q_plan", "parse_status")
+
+
+@query("odd_loaded_rows", ODD + "SELECT 'odd.log' AS file, parse_status, count(*) AS n FROM odd GROUP BY ALL")
+def odd_loaded_rows(spark, sf_dir):
+    return workload.loaded_rows(odd_events(spark, sf_dir))
+
+
+@query("odd_ns_load", ODD + "SELECT ns, op_read, count(*) AS n FROM odd WHERE parse_status <> 'skipped' GROUP BY ALL")
+def odd_ns_load(spark, sf_dir):
+    return workload.ns_load(odd_events(spark, sf_dir))
+
+
+@query("odd_query_shapes", ODD + """
+SELECT q_norm AS shape, count(DISTINCT ns) AS n_ns, count(*) AS n, any_value(coalesce(plan, 'none')) AS plans
+FROM odd WHERE op = 'query' AND q_norm IS NOT NULL GROUP BY q_norm""")
+def odd_query_shapes(spark, sf_dir):
+    return workload.query_shapes(odd_events(spark, sf_dir)).select("shape", "n_ns", "n", "plans")
+
+
 @query("ops_per_second", EV + "SELECT epoch, count(*) AS n FROM log GROUP BY epoch")
 def ops_per_second(spark, sf_dir):
     return workload.ops_per_second(db_events(spark, sf_dir))
