@@ -531,6 +531,30 @@ def perf_compare_wiki(spark, sf_dir):
     return tables.tab_lines(tables.wiki_cells(compared(spark, sf_dir))).select("key", "line")
 
 
+TABLE_CELLS = """
+, cells AS (SELECT key, key AS c0, CASE WHEN old_mean IS NULL THEN 'n/a' ELSE printf('%.2f', old_mean) || '[' || old_cv_str || ']' END AS c1,
+  CASE WHEN old_mean IS NULL THEN printf('%.6f', new_mean) ELSE printf('%.2f', new_mean) END || '[' || new_cv_str || ']' AS c2,
+  CASE WHEN old_mean IS NULL THEN 'n/a' ELSE delta END AS c3 FROM compared
+  UNION ALL VALUES ('', 'benchmark', 'old ns/op', 'new ns/op', 'delta')),
+widths AS (SELECT max(length(c0)) + 5 AS w0, max(length(c1)) + 5 AS w1, max(length(c2)) + 5 AS w2 FROM cells)
+"""
+
+
+@query("perf_table", PERF + TABLE_CELLS + """
+SELECT key, rpad(c0, CAST(w0 AS INTEGER), ' ') || rpad(c1, CAST(w1 AS INTEGER), ' ') || rpad(c2, CAST(w2 AS INTEGER), ' ') || c3 AS line
+FROM cells, widths""")
+def perf_table(spark, sf_dir):
+    return tables.aligned_lines(tables.text_cells(compared(spark, sf_dir)), tables.TEXT_HEADER)
+
+
+@query("perf_table_head", """
+SELECT CASE f WHEN 'F' THEN 0 ELSE 1 END AS line_no, '# ' || CASE f WHEN 'F' THEN 'baseline' ELSE 'new results' END || ' : perf-' || f
+  || '.log [db version: 2.7.5 | SHA: 00112233445566778899aabbccddeeff00112233]' AS value
+FROM (SELECT DISTINCT l_linestatus AS f FROM lineitem WHERE l_linenumber = 1)""")
+def perf_table_head(spark, sf_dir):
+    return tables.head_lines(perf_log.perf_log_info(render.perf(spark, sf_dir)), render.OLD_PERF, render.NEW_PERF)
+
+
 @query("perf_flags", PERF + "SELECT key, regression, old_noisy, new_noisy FROM compared")
 def perf_flags(spark, sf_dir):
     return compared(spark, sf_dir).select("key", "regression", "old_noisy", "new_noisy")

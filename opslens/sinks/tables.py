@@ -65,6 +65,14 @@ def aligned_lines(cells: DataFrame, header: list[str]) -> DataFrame:
     return rows.select("key", F.concat(*aligned, F.coalesce(cell(columns - 1), F.lit(""))).alias("line"))
 
 
+def head_lines(info: DataFrame, old_file: str, new_file: str) -> DataFrame:
+    """``line_no, value``: which two logs are compared, with version and hash of each from ``perf_log_info``."""
+    names = F.create_map(F.lit(old_file), F.lit("baseline"), F.lit(new_file), F.lit("new results"))
+    known = info.where(F.col("file").isin(old_file, new_file))
+    value = F.format_string("# %s : %s [%s | SHA: %s]", F.try_element_at(names, F.col("file")), "file", F.coalesce("version", F.lit("")), F.coalesce("git_sha", F.lit("")))
+    return known.select(F.when(F.col("file") == old_file, 0).otherwise(1).alias("line_no"), value.alias("value"))
+
+
 def text_table(compared: DataFrame, wiki: bool = False, aligned: bool = True) -> DataFrame:
     """Lines of the table in order; ``df.write.text`` stores them."""
     cells = wiki_cells(compared) if wiki else text_cells(compared)
