@@ -16,12 +16,14 @@ OTHER_VECTOR = 10001
 STAGING_LIMIT = 1_000_000
 
 
-def _hash(n: Column, field: str, seed: int) -> Column:
-    return F.xxhash64(n, F.lit(field), F.lit(seed))
+def _hash(*parts: Column) -> Column:
+    """A whole number below 2^52 from the digest of the parts, which other engines compute as well."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def _random_int(n: Column, field: str, seed: int, limit: int) -> Column:
-    return F.pmod(_hash(n, field, seed), F.lit(limit))
+    return _hash(n, F.lit(field), F.lit(seed)) % limit
 
 
 def value_for(kind, n: Column, field: str, seed: int, query: bool = False) -> Column:
@@ -32,7 +34,7 @@ def value_for(kind, n: Column, field: str, seed: int, query: bool = False) -> Co
             value = _random_int(n, field, seed, RANDOM_LIMIT)
             return F.struct(value.alias("$lte")) if query and "lte" in kind else value
         if "rand" in kind:
-            return _random_int(n, field, seed, 1 << 53) / float(1 << 53) * RANDOM_LIMIT
+            return _random_int(n, field, seed, 1 << 52) / float(1 << 52) * RANDOM_LIMIT
         return F.lit(OTHER_VECTOR)
     if kind == "ObjectId":
         return F.concat(F.lit("ObjectId("), n.cast("string"), F.lit(")"))
@@ -63,7 +65,7 @@ def staging_rows(uids: DataFrame, uid: str, statuses: int = 5, writers: int = 10
     """``uid, status, writer, amount``: every writer adds every status for every uid."""
     rows = uids.select(F.col(uid).alias("uid"), F.explode(F.sequence(F.lit(0), F.lit(writers - 1))).alias("writer"))
     rows = rows.select("uid", "writer", F.explode(F.sequence(F.lit(0), F.lit(statuses - 1))).alias("status"))
-    amount = F.pmod(F.xxhash64("uid", "writer", "status", F.lit(seed)), F.lit(STAGING_LIMIT))
+    amount = _hash(F.col("uid"), F.col("writer"), F.col("status"), F.lit(seed)) % STAGING_LIMIT
     return rows.withColumn("amount", amount)
 
 

@@ -357,6 +357,14 @@ def client_method_pivot(spark, sf_dir):
     return http.client_methods(access_rows(spark, sf_dir), ["GET", "POST"])
 
 
+@query("access_file_methods", ACCESS + "SELECT op, count(*) AS n FROM log GROUP BY op")
+def access_file_methods(spark, sf_dir):
+    """The same from files, through the reader."""
+    folder = scratch_dir(spark, "access")
+    render.access(spark, sf_dir).select("value").write.text(folder)
+    return http.method_counts(access.read_access(spark, folder))
+
+
 @query("client_method_counts", ACCESS + "SELECT ip, op, count(*) AS n FROM log GROUP BY ip, op")
 def client_method_counts(spark, sf_dir):
     return http.client_method_counts(access_rows(spark, sf_dir))
@@ -456,6 +464,25 @@ def profile_ops_per_second(spark, sf_dir):
     return changes.profile_ops_per_second(oplog.profile_events(render.profile(spark, sf_dir)))
 
 
+def profile_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiler records exported as JSON lines and read back."""
+    folder = scratch_dir(spark, "profile")
+    render.profile(spark, sf_dir).write.json(folder)
+    return oplog.read_profile(spark, folder)
+
+
+@query("profile_file_ops_per_second", EV + """
+SELECT second AS epoch, count(*) AS all_ops, count(*) FILTER (event_type = 'purchase') AS update_ops,
+  count(*) FILTER (event_type = 'view') AS query_ops FROM log GROUP BY second""")
+def profile_file_ops_per_second(spark, sf_dir):
+    return changes.profile_ops_per_second(profile_export(spark, sf_dir))
+
+
+@query("profile_rows", "SELECT count(*) AS n FROM events")
+def profile_rows(spark, sf_dir):
+    return profile_export(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- benchmark logs
 
 PERF = """
@@ -934,6 +961,27 @@ def gen_docs(spark, sf_dir):
     return docs.select("_id", "cid", F.col("cre").between(0, 999).alias("cre_ok"), "status", "b.b1", "b.b2")
 
 
+RANDOM = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 13) AS BIGINT) % {}"
+
+
+@query("gen_docs_stored", f"""
+SELECT o_orderkey AS _id, 'ObjectId(' || o_orderkey || ')' AS cid, {RANDOM.format("o_orderkey, 'cre', 0", 1000)} AS cre,
+  'string_' || o_orderkey AS status, o_orderkey AS b1 FROM orders""")
+def gen_docs_stored(spark, sf_dir):
+    """Generated documents, written in bulk and read back, with their random values."""
+    folder = scratch_dir(spark, "documents")
+    docs = synth.documents_for(render.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", SHAPE)
+    synth.write_documents(docs, folder)
+    return spark.read.parquet(folder).select("_id", "cid", "cre", "status", "b.b1")
+
+
+@query("gen_staging_amounts", f"""
+SELECT c_custkey AS uid, CAST(w AS INTEGER) AS writer, CAST(s AS INTEGER) AS status,
+  {RANDOM.format("c_custkey, w, s, 0", 1_000_000)} AS amount FROM customer, range(10) a(w), range(5) b(s)""")
+def gen_staging_amounts(spark, sf_dir):
+    return synth.staging_rows(render.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("uid", "writer", "status", "amount")
+
+
 @query("gen_predicates", """
 SELECT o_orderkey AS _id, 'ObjectId(' || o_orderkey || ')' AS cid, true AS bound_ok, 'string_' || o_orderkey AS status
 FROM orders""")
