@@ -44,12 +44,14 @@ def ops_per_second_by_op(events: DataFrame, first: int | None = None, per_series
     if not per_series:
         return table if first is None else table.orderBy("epoch").limit(first)
     series = ["all"] + SERIES
-    pairs = F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"{s}_ops").alias("n")) for s in series])
-    long = table.select("epoch", F.inline(pairs)).where("n > 0")
     if first is None:
-        return long
-    # One bounded sort per series: a window would hold all seconds of a series in one task.
-    tops = [long.where(F.col("series") == s).orderBy("epoch").limit(first) for s in series]
+        pairs = F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"{s}_ops").alias("n")) for s in series])
+        return table.select("epoch", F.inline(pairs)).where("n > 0")
+    # One bounded sort per series: a window would hold all seconds of a series in one task.  The
+    # generated row keeps the aggregation the same for all of them, so that it runs once.
+    shared = table.select(F.inline(F.array(F.struct(*table.columns))))
+    tops = [shared.where(F.col(f"{s}_ops") > 0).select("epoch", F.lit(s).alias("series"), F.col(f"{s}_ops").alias("n"))
+            .orderBy("epoch").limit(first) for s in series]
     return reduce(DataFrame.unionAll, tops)
 
 
