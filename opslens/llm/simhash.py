@@ -9,7 +9,9 @@
   spanning forest of the verified links leaves the task.  A key with more rows is cut into blocks, and every two
   of its blocks meet in a group of their own, so nothing is left out and no task holds more than two blocks.
 * A scheme for a Jaccard similarity takes links of few bits as certain and verifies the others on the texts: between classes
-  that certain links leave apart the closest pairs of a key, again a forest.
+  that certain links leave apart the closest pairs of a key, again a forest.  Where one of these fails, all rows of the
+  classes that uncertain links hang together meet in small blocks with their shingles, and every pair between classes
+  still apart is looked at.
 * Components of the links are found by star steps over written tables.
 
 Null texts count as empty; empty texts have the fingerprint zero, linked like any other.  Repeated rows, ties
@@ -34,6 +36,8 @@ from opslens.llm._common import connected_components, saved, table
 
 BLOCK = 4096
 CHUNK = 1 << 16
+#: Rows, and shingles, that a block holds on average where texts are compared.
+TEXT_BLOCK, TEXT_SHINGLES = 256, 1_000_000
 SEED = 42
 LOWEST = -(1 << 63)
 
@@ -179,23 +183,27 @@ class Forest:
     """Links among some rows: certain ones join classes at once, the others are kept as a forest of the closest between classes."""
     KEPT = 200_000
 
-    def __init__(self, fps: np.ndarray, n: np.ndarray, scheme: Scheme):
+    def __init__(self, fps: np.ndarray, n: np.ndarray, scheme: Scheme, parent: np.ndarray | None = None):
         self.fps, self.n, self.scheme = fps, n, scheme
-        self.parent = np.arange(len(fps))
+        self.parent = np.arange(len(fps)) if parent is None else parent
         self.maybe = np.empty((0, 3), np.int64)
 
-    def look(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Compares the rows a[i] and b[i]."""
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows (bits, a, b) of those a[i] and b[i] of different classes that are within reach."""
         apart = self.parent[a] != self.parent[b]
         a, b = a[apart], b[apart]
         bits = np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(axis=1, dtype=np.int64)
-        close = (bits <= self.scheme.radius) & (np.minimum(self.n[a], self.n[b]) >= self.scheme.ratio * np.maximum(self.n[a], self.n[b]))
-        sure = close & (bits <= self.scheme.certain)
+        near = (bits <= self.scheme.radius) & (np.minimum(self.n[a], self.n[b]) >= self.scheme.ratio * np.maximum(self.n[a], self.n[b]))
+        return np.column_stack([bits[near], a[near], b[near]])
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Compares the rows a[i] and b[i]."""
+        pairs = self.close(a, b)
+        sure = pairs[:, 0] <= self.scheme.certain
         if sure.any():
-            self.parent = roots_of(self.parent, a[sure], b[sure])
-        rest = close & ~sure
-        if rest.any():
-            self.maybe = np.concatenate([self.maybe, np.column_stack([bits[rest], a[rest], b[rest]])])
+            self.parent = roots_of(self.parent, pairs[sure, 1], pairs[sure, 2])
+        if not sure.all():
+            self.maybe = np.concatenate([self.maybe, pairs[~sure]])
             if len(self.maybe) > self.KEPT:
                 self.thin()
 
@@ -321,23 +329,97 @@ def links(classes: DataFrame, scheme: Scheme, block_rows: int = BLOCK) -> DataFr
     return within.unionAll(between)
 
 
-def verified(df: DataFrame, pairs: DataFrame, classes: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """Those of the uncertain ``pairs`` (a, b) whose texts are similar enough; only the texts of their classes are read again."""
+def shingle_sets(df: DataFrame, nodes: DataFrame, classes: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
+    """(node, set): hashes of the shingles of the classes in ``nodes``; only their texts are read again."""
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [list({xxhash.xxh64_intdigest(p, SEED) - (1 << 63) for p in shingles(t, scheme.words)}) for t in batch["text"]]
             yield pd.DataFrame({"node": batch["node"], "set": sets})
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "pick"), "node")
+    nodes = nodes.join(classes.select("node", "pick"), "node")
     nodes = nodes.select("node", F.coalesce("pick.id", F.lit(LOWEST)).alias("id"), F.col("pick.row").alias("row"))
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), row_hash(df).alias("row"), F.col(text_col).alias("text"))
     sets = texts.join(nodes, ["id", "row"]).select("node", "text").mapInPandas(hashes, "node long, set array<long>")
-    sets = saved(sets.dropDuplicates(["node"]), "shingle-sets")
+    return saved(sets.dropDuplicates(["node"]), "shingle-sets")
+
+
+def verified(df: DataFrame, pairs: DataFrame, classes: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
+    """Those of the uncertain ``pairs`` (a, b) whose texts are similar enough."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = shingle_sets(df, nodes, classes, scheme, id_col, text_col)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= scheme.similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def compare_texts(scheme: Scheme):
+    """Links (a, b) between the classes ``root`` of the rows of two blocks, or of one; the closest fingerprints come first."""
+    width = scheme.bits // 8
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", kind="stable", ignore_index=True)
+        fps, n, sets = as_matrix(rows["fp"], width).view(np.uint64), rows["n"].to_numpy(), rows["set"].to_numpy()
+        root, first, place = np.unique(rows["root"].to_numpy(), return_index=True, return_inverse=True)
+        forest = Forest(fps, n, scheme, first[place])
+        cut = int(np.searchsorted(rows["block"], rows["low"].iloc[0], side="right"))
+        alone = rows["low"].iloc[0] == rows["high"].iloc[0]
+        found = []
+        for i in range(cut):
+            right = np.arange(i + 1 if alone else cut, len(rows))
+            found.append(forest.close(np.full(len(right), i), right))
+        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+        parent, out = forest.parent.tolist(), []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for bits, a, b in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+            x, y = find(a), find(b)
+            if x == y:
+                continue
+            if bits > scheme.certain:
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if common < scheme.similarity * (len(sets[a]) + len(sets[b]) - common):
+                    continue
+            parent[max(x, y)] = min(x, y)
+            out.append((root[place[a]], root[place[b]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return work
+
+
+def joined_by_texts(df: DataFrame, pairs: DataFrame, classes: DataFrame, roots: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
+    """``roots`` (node, root) after all links between classes that the uncertain ``pairs`` (a, b) hang together.
+
+    A pair within reach shares a component of certain and uncertain links, so those components hold all pairs not
+    yet looked at.  One is cut into blocks of bounded rows and shingles, and every two blocks meet in a group of their own.
+    """
+    ends = pairs
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    apart = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    apart = saved(apart.distinct(), "apart")
+    if apart.isEmpty():
+        return roots
+    family = apart.select(F.explode(F.array("a", "b")).alias("root")).distinct()
+    family = family.join(connected_components(apart).select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left")
+    family = family.select("root", F.coalesce("least", "root").alias("family"))
+    rows = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(family, "root")
+    rows = saved(rows.select("node", "root", "family", "fp", "n"), "families")
+    sizes = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TEXT_BLOCK, F.sum("n") / TEXT_SHINGLES)).alias("blocks"))
+    rows = rows.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.join(shingle_sets(df, rows.select("node"), classes, scheme, id_col, text_col), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("family", "root", "block", "fp", "n", "set", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    further = connected_components(rows.groupBy("family", "low", "high").applyInPandas(compare_texts(scheme), "a long, b long"))
+    further = further.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    whole = roots.join(further, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    return whole.unionAll(further.select(F.col("root").alias("node"), F.col("least").alias("root")))
+
+
 def components(df: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK) -> DataFrame:
     """(id, row, fp, n, root, component) for every row of ``df``: component is the smallest identifier reachable over links."""
     rows = saved(fingerprints(df, scheme, id_col, text_col), "fingerprints")
@@ -351,6 +433,8 @@ def components(df: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col:
         maybe = found.where("block = -2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = found.where("block = -1").select("a", "b").unionAll(verified(df, maybe, classes, scheme, id_col, text_col))
     roots = connected_components(found)
+    if scheme.similarity:
+        roots = joined_by_texts(df, maybe, classes, roots, scheme, id_col, text_col)
     # Classes without links are components of their own.
     whole = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("least").alias("component"))

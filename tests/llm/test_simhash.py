@@ -131,6 +131,34 @@ def test_uncertain_links_are_verified_on_texts(documents):
     assert len(got ^ set(expected)) <= 1  # a shared segment is a matter of chance (0.99 at this similarity)
 
 
+def brute_similar(texts, scheme):
+    prints = [(int.from_bytes(f, "big"), n) for f, n in (simhash.fingerprint(t, scheme) for t in texts)]
+    sets = [set(simhash.shingles(t, scheme.words)) for t in texts]
+
+    def linked(i, j):
+        bits, (x, y) = (prints[i][0] ^ prints[j][0]).bit_count(), sorted((prints[i][1], prints[j][1]))
+        near = bits <= scheme.radius and x >= scheme.ratio * y
+        return near and (bits <= scheme.certain or len(sets[i] & sets[j]) >= scheme.similarity * len(sets[i] | sets[j]))
+    return linked
+
+
+@pytest.mark.parametrize("block", [40, 256])
+def test_star_family_loses_no_link(documents, monkeypatch, block):
+    """Copies near their original, not near each other: pairs that the closest ones displaced are looked at too."""
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", block)
+    rng, scheme = random.Random(6), simhash.for_similarity(5, 0.8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for c in range(300):
+        words = list(base)
+        for place in rng.sample(range(4, 296, 6), 6):  # each change replaces five shingles
+            words[place] = f"c{c}x{place}"
+        texts.append(" ".join(words))
+    got = {r["id"]: r["component"] for r in simhash.components(documents(*enumerate(texts)), scheme).collect()}
+    assert got == brute_components(range(len(texts)), brute_similar(texts, scheme))
+    assert len(set(got.values())) <= 3
+
+
 def test_clashing_columns(documents):
     df = documents((1, "a b c"), (2, "a b c")).selectExpr("doc_id", "text", "n_chars AS fp", "n_chars AS node", "n_chars AS n", "lang AS id", "lang AS row")
     kept = simhash.one_of_each(df, simhash.EXACT64)
