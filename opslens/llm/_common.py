@@ -51,6 +51,13 @@ def labelled_sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def one_row_each(rows: DataFrame, *by: str) -> DataFrame:
+    """One of the rows that agree in the columns ``by``: the one whose other columns have the smallest hash, whatever their order."""
+    rest = [c for c in rows.columns if c not in by]
+    least = F.min(F.struct(F.xxhash64(*rest).alias("__hash"), *rest)).alias("__row")
+    return rows.groupBy(*by).agg(least).select(*by, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root is the smallest node reachable.
 

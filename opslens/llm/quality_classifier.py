@@ -8,8 +8,8 @@
 
 Only the sample, at most ``SAMPLE`` rows of numbers, is used for fitting; statistics and scores cover all rows.  Null texts
 count as empty, and empty texts are scored like others.  With one label only in the sample its share is every score,
-without any label it is 0.5.  Documents labelled twice count once.  Repeated rows and null identifiers are scored
-like any others; only the named columns are read.
+without any label it is 0.5.  Documents labelled twice count once, and of several rows of one identifier one
+is learned from.  Repeated rows and null identifiers are scored like any others; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm._common import held_out, labelled_sample, saved, table
+from opslens.llm._common import held_out, labelled_sample, one_row_each, saved, table
 from opslens.llm.quality_rules import share, statistics
 
 #: Labelled rows that a fit uses at most.
@@ -110,7 +110,8 @@ class Ensemble:
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     """The ensemble for ``labels.quality`` over the rows of ``stats``."""
     names = list(measures())
-    train = saved(stats.join(F.broadcast(labelled_sample(labels, "quality", sample)), "doc_id").select("label", *names), "quality-sample")
+    train = stats.select("doc_id", *names).join(F.broadcast(labelled_sample(labels, "quality", sample)), "doc_id")
+    train = saved(one_row_each(train, "doc_id", "label").select("label", *names), "quality-sample")
     seen = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
         return Ensemble(0.0, constant=float(next(iter(seen), 0.5)))

@@ -9,10 +9,10 @@
 * Score: a logistic curve over the logarithms of summed weight and length, fitted to the same sample; so the same
   hits count for less in a longer text as far as the labels say so.
 
-Null texts count as empty, empty texts have no hits and get the curve's value for that.  Documents labelled twice count once;
-without both labels in the sample every score is 0.  Repeated rows and null identifiers are scored like any
-others.  Only the named columns are read; the score is a column expression over the text, so further
-columns stay as they are.
+Null texts count as empty, empty texts have no hits and get the curve's value for that.  Documents labelled twice count once,
+and of several rows of one identifier one is learned from; without both labels in the sample every score is 0.
+Repeated rows and null identifiers are scored like any others.  Only the named columns are read; the score is a
+column expression over the text, so further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opslens.llm._common import held_out, labelled_sample, saved, table
+from opslens.llm._common import held_out, labelled_sample, one_row_each, saved, table
 
 #: Labelled rows that a fit uses at most.
 SAMPLE = 20_000
@@ -225,7 +225,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, exception
     """The lexicon of at most ``sample`` labelled documents; only those reach Python and the driver."""
     picked = labelled_sample(labels, "toxic", sample)
     texts = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    train = saved(texts.join(F.broadcast(picked), "doc_id").select("text", "label"), "toxicity-sample")
+    train = one_row_each(texts.join(F.broadcast(picked), "doc_id"), "doc_id", "label")
+    train = saved(train.select("text", "label"), "toxicity-sample")
     totals = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:

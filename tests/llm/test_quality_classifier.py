@@ -51,6 +51,15 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert [r for _, r in one.rules] == [r for _, r in two.rules] and one.intercept == pytest.approx(two.intercept, abs=1e-6)
 
 
+def test_repeated_rows_are_learned_from_once(spark, documents):
+    """Three documents of one label and a thousand rows of one of the other: each counts once."""
+    ids = [r["doc_id"] for r in spark.range(20).selectExpr("id AS doc_id").where(~held_out(F.col("doc_id"))).limit(4).collect()]
+    labels = spark.createDataFrame([(i, int(i != ids[0]), 0) for i in ids], "doc_id LONG, quality INT, toxic INT")
+    stats = qc.measured(documents(*[(i, "the same text") for i in ids], *[(ids[0], "the same text")] * 1000))
+    score = stats.select(qc.fit(stats, labels).score()).first()[0]
+    assert score == pytest.approx(0.75, abs=0.02)
+
+
 @pytest.mark.parametrize("quality, score", [(None, 0.5), (0, 0.0), (1, 1.0)])
 def test_without_both_labels(spark, documents, quality, score):
     labels = spark.createDataFrame([(1, quality, 0), (2, quality, 0), (4, quality, 0), (4, quality, 0), (None, 1, 1)], "doc_id LONG, quality INT, toxic INT")

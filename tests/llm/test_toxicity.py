@@ -44,6 +44,19 @@ def test_held_out_labels(spark, learned):
     assert any(t.startswith("zwick") and not whole for t, whole, _ in lexicon.entries)
 
 
+def test_repeated_rows_are_learned_from_once(spark, learned):
+    """One identifier with thousands of rows, of one text or of several: the fit is that of one row each."""
+    def same(one, two):
+        return one.entries == two.entries and one.curve == pytest.approx(two.curve, rel=1e-6)
+
+    documents, labels, lexicon = learned
+    again = documents.where(~held_out(F.col("doc_id"))).orderBy("doc_id").limit(1)
+    many = again.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(5000)))).select("doc_id", "text")
+    assert same(toxicity.fit(documents.unionAll(many), labels), lexicon)
+    other = documents.unionAll(again.select("doc_id", F.explode(F.array(*[F.lit(f"fnarg text {i}") for i in range(50)]))))
+    assert same(toxicity.fit(other.repartition(5), labels), toxicity.fit(other.unionAll(other).orderBy(F.desc("text")), labels))
+
+
 def test_held_out_labels_are_not_learned_from(learned):
     documents, labels, lexicon = learned
     flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
