@@ -20,9 +20,11 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,6 @@ from opslens.llm._common import held_out, labelled_sample, one_row_each, saved,
 
 #: Labelled rows that a fit uses at most.
 SAMPLE = 20_000
-#: Entries of a lexicon at most: those that explain the most documents come first.
-LEXICON = 1_000
 #: An entry occurs in so many toxic documents at least, and is so much likelier there (log odds).
 SUPPORT, LEAST_WEIGHT = 3, 3.0
 #: False discoveries among the entries.
@@ -196,14 +196,15 @@ def chosen(candidates: dict[str, tuple[int, float]], documents: list[tuple[set[s
     ranked = sorted((chance(min(map(len, seen)), candidates[p][0], base), p) for p, seen in minima.items() if min(map(len, seen)) >= SUPPORT)
     passed = [i for i, (p_value, _) in enumerate(ranked) if p_value <= FALSE * (i + 1) / tested]
     kept = [p for _, p in ranked[:passed[-1] + 1 if passed else 0]]
+    in_order = sorted(kept)
 
     def needless(p: str) -> bool:
         """A beginning whose toxic documents one longer entry has as well says no more than that entry."""
         stem = p.removesuffix("-")
-        longer = (q for q in kept if q != p and q.startswith(stem) and len(q.removesuffix("-")) >= len(stem))
+        longer = (q for q in takewhile(lambda q: q.startswith(stem), islice(in_order, bisect_left(in_order, stem), None)) if q != p)
         return p.endswith("-") and any(len(holders[p] & holders[q]) >= 0.98 * len(holders[p]) for q in longer)
 
-    return [(p, candidates[p][1]) for p in kept if not needless(p)][:LEXICON]
+    return [(p, candidates[p][1]) for p in kept if not needless(p)]
 
 
 def fitted_curve(weight: np.ndarray, n_words: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
@@ -234,8 +235,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, exception
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     counts = saved(pattern_counts(train).where(F.col("toxic") + F.col("clean") >= SUPPORT), "toxicity-patterns")
     strong = counts.where(F.col("toxic") >= SUPPORT).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    strongest = strong.orderBy(F.desc(F.col("weight") * F.col("toxic")), "pattern").limit(20 * LEXICON)
-    candidates = {r["pattern"]: (r["clean"], r["weight"]) for r in strongest.collect()}
+    # The sample bounds them.
+    candidates = {r["pattern"]: (r["clean"], r["weight"]) for r in strong.collect()}
 
     def found_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

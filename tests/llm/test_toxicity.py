@@ -63,6 +63,15 @@ def test_held_out_labels_are_not_learned_from(learned):
     assert toxicity.fit(documents, flipped) == lexicon
 
 
+def test_large_vocabulary_is_kept_whole():
+    """More than a thousand words, each in 12 toxic documents and in no other."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(1500)})
+    documents = [(set(words[i % 15::15]), (i, i, i)) for i in range(180)]
+    got = toxicity.chosen({w: (0, 5.0) for w in words}, documents, 0.05, 10 * len(words))
+    assert sorted(p for p, _ in got) == words
+
+
 def brute_hits(text, lexicon):
     folded, found = toxicity.fold(text), {}
     for entry, whole, weight in lexicon.entries:
