@@ -4,7 +4,7 @@ A sketch keeps every hash of a document's five-word shingles that lies below a f
 threshold is the same for all documents, so the sketch of a union is the union of the sketches, and the share of one
 sketch found in another estimates containment however unequal the two documents are.  A document too short to have a
 hash below the threshold keeps its smallest one, so its sketch is not empty; such a hash lies above the threshold
-and drops out of unions with others.
+and drops out of unions with others, so it does not tell whether a longer document holds the short one.
 
 Only DataFrame functions.  The next document in order of identifiers comes from windows over ranges of identifiers, not from
 one sorted partition: the ranges are cut at quantiles, and the first row of each range goes to the range before
@@ -63,8 +63,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Share of document a that document b holds, as their sketches estimate it."""
-    return F.when(a == b, 1.0).otherwise(F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))).cast("double")
+    """Share of document a that document b holds, as their sketches estimate it; null (undecided) where that of a is only a hash above the threshold."""
+    above = (F.size(a) == 1) & (F.shiftrightunsigned(F.get(a, F.lit(0)), 64 - SHIFT) != 0)
+    return F.when(a == b, 1.0).when(above & (F.size(b) > 0), F.lit(None)).otherwise(F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))).cast("double")
 
 
 def merged(sketches: DataFrame, group: str, kept: str = "sketch") -> DataFrame:

@@ -72,6 +72,15 @@ def test_containment_between_unequal_documents(spark):
     assert pair(b, a) == 1 and pair(a, b) == pytest.approx(0.1, abs=0.03) and pair(c, a) == pytest.approx(0.5, abs=0.15)
 
 
+def test_containment_of_short_texts_is_never_wrong(spark):
+    """Texts of five to nine words inside a long one: held, or undecided where no hash is below the threshold."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(" ".join(words[i:i + 5 + i % 5]), " ".join(words)) for i in range(60)]
+    df = spark.createDataFrame([*rows, (rows[0][0], ""), ("", rows[0][0])], "a STRING, b STRING")
+    got = [r[0] for r in df.select(sketches.containment(sketches.sketch(F.col("a")), sketches.sketch(F.col("b")))).collect()]
+    assert set(got[:60]) == {1.0, None} and got[60:] == [0.0, 0.0]
+
+
 def test_sketch_of_a_union_is_the_union(spark):
     df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(k, k + 400))) for k in (0, 200, 300)] + [(2, "tiny")], "g INT, text STRING").withColumn("sketch", sketches.sketch(F.col("text")))
     whole = spark.createDataFrame([(" ".join(f"w{i}" for i in range(700)),)], "text STRING").select(sketches.sketch(F.col("text"))).first()[0]
