@@ -51,7 +51,9 @@ MOST = 1_000
 GROUP_BYTES = 600_000
 #: Windows of a piece of a hot name, from coarse to fine.
 STEPS = (16, 1)
-BLOCK = 128
+#: Rows of a block of the transform at first and at most.
+BLOCK = 64
+LONGEST = 192
 #: Odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -159,7 +161,10 @@ class Transform:
     """Burrows-Wheeler transform and common prefixes of a collection, one column of symbols a round.
 
     ``rows`` has a number for each suffix so far, in order: its low byte is the transform, the code of the symbol before
-    the suffix (0: none); above it stands the common prefix with the suffix before it, up to ``most``.  A last row ends it.
+    the suffix (0: none); above it stands the common prefix with the suffix before it, up to ``most``.  Some zeros end it.
+
+    ``bounds`` cuts the rows into blocks and ``counts`` has the symbols of each; both are brought forward with every
+    round and made anew when a block has become too long.
     """
 
     def __init__(self, strings: list[bytes], most: int):
@@ -171,43 +176,41 @@ class Transform:
         code = np.zeros(256, np.uint8)
         code[used] = np.arange(1, len(used) + 1)
         self.text, self.codes = code[self.text], len(used) + 1
-        most_blocks = -(-(len(self.text) + self.n) // BLOCK)
-        self.first_cell = np.repeat(np.arange(most_blocks) * (self.codes + 1), BLOCK)
-        self.cells = np.empty_like(self.first_cell)
-        self.rows = np.append(self.before(np.arange(self.n), 0), np.uint32(0))
+        self.size = self.n
+        self.rows = np.append(self.before(np.arange(self.n), 0), np.zeros(LONGEST, np.uint32))
         self.places = np.arange(self.n)
+        self.count_anew()
         for column in range(1, self.sizes.max() + 1):
             self.insert(column)
 
     def before(self, which: np.ndarray, length: int) -> np.ndarray:
         """The symbol before the suffix of that length."""
         at = self.ends[which] - length - 1
-        return np.where(self.sizes[which] > length, self.text[np.maximum(at, 0)], 0).astype(np.uint32)
+        return np.where(self.sizes[which] > length, self.text[np.maximum(at, 0)], 0).astype("<u4")
 
     def symbols(self) -> np.ndarray:
-        return self.rows[:-1].astype("<u4", copy=False).view(np.uint8)[::4]
-
-    def counted(self) -> None:
-        """Counts of every symbol before each block of the transform."""
-        size, width = len(self.rows) - 1, self.codes + 1
-        blocks = -(-size // BLOCK)
-        self.blocks = np.full((blocks, BLOCK), self.codes, np.uint8)
-        flat = self.blocks.ravel()
-        flat[:size] = self.symbols()
-        np.add(self.first_cell[:blocks * BLOCK], flat, out=self.cells[:blocks * BLOCK])
-        counts = np.bincount(self.cells[:blocks * BLOCK], minlength=blocks * width).reshape(blocks, width)
-        upto = np.cumsum(counts, axis=0)
-        self.counts = upto[-1, :self.codes]
-        self.earlier = (upto - counts)[:, :self.codes].T
+        return self.rows[:self.size].view(np.uint8)[::4]
+
+    def count_anew(self) -> None:
+        self.bounds = np.arange(0, self.size, BLOCK)
+        block = np.arange(self.size) // BLOCK
+        counts = np.bincount(self.symbols().astype(np.int64) * len(self.bounds) + block, minlength=self.codes * len(self.bounds))
+        self.counts = counts.reshape(self.codes, -1)
+
+    def stretches(self, block: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """For each block, where from its start on the symbol stands."""
+        view = np.lib.stride_tricks.as_strided(self.rows.view(np.uint8), (self.size, self.longest), (4, 4))
+        return view[self.bounds[block]] == symbol[:, None].astype(np.uint8)
 
     def nearest(self, symbol: np.ndarray, rank: np.ndarray, last: bool) -> np.ndarray:
         """Places of the occurrences of these ranks, each the last (or the first) of its symbol in its block."""
-        size = len(self.rows)
-        rising = (self.earlier + (np.arange(self.codes) * size)[:, None]).ravel()
-        block = np.searchsorted(rising, symbol * size + rank, side="right") - 1 - symbol * self.earlier.shape[1]
-        same = self.blocks[block] == symbol[:, None].astype(np.uint8)
-        inside = BLOCK - 1 - same[:, ::-1].argmax(axis=1) if last else same.argmax(axis=1)
-        return block * BLOCK + inside
+        rising = (self.earlier + (np.arange(self.codes) * (self.size + 1))[:, None]).ravel()
+        block = np.searchsorted(rising, symbol * (self.size + 1) + rank, side="right") - 1 - symbol * len(self.bounds)
+        same = self.stretches(block, symbol)
+        if last:
+            same &= np.arange(self.longest) < self.lengths[block][:, None]
+            return self.bounds[block] + self.longest - 1 - same[:, ::-1].argmax(axis=1)
+        return self.bounds[block] + same.argmax(axis=1)
 
     def lowest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """One more than the smallest common prefix at the places start .. end - 1, up to ``most``, as it stands in a row."""
@@ -222,45 +225,61 @@ class Transform:
 
     def insert(self, column: int) -> None:
         """Inserts the suffixes of this length: one symbol of every string that is long enough."""
-        self.counted()
+        self.lengths = np.diff(self.bounds, append=self.size)
+        self.longest = int(self.lengths.max())
+        if self.longest > LONGEST:
+            self.count_anew()
+            self.lengths, self.longest = np.diff(self.bounds, append=self.size), BLOCK
+        upto = np.cumsum(self.counts, axis=1)
+        total, self.earlier = upto[:, -1], upto - self.counts
+
         which = np.flatnonzero(self.sizes >= column)
         place = self.places[which]
         symbol = (self.rows[place] & 255).astype(np.int64)
-        block, inside = place // BLOCK, place % BLOCK
-        same = self.blocks[block] == symbol[:, None].astype(np.uint8)
-        ahead = same & (np.arange(BLOCK) < inside[:, None])
-        after = same & (np.arange(BLOCK) > inside[:, None])
+        block = np.searchsorted(self.bounds, place, side="right") - 1
+        inside = (place - self.bounds[block])[:, None]
+        same = self.stretches(block, symbol)
+        ahead = same & (np.arange(self.longest) < inside)
+        after = same & (np.arange(self.longest) > inside)
         rank = self.earlier[symbol, block] + np.count_nonzero(ahead, axis=1)
-        start = self.n + np.concatenate([[0, 0], np.cumsum(self.counts[1:])])[:self.codes]
-        new = start[symbol] + rank
+        first_of = self.n + np.concatenate([[0, 0], np.cumsum(total[1:])])[:self.codes]
+        new = first_of[symbol] + rank
 
-        back = block * BLOCK + BLOCK - 1 - ahead[:, ::-1].argmax(axis=1)
-        far = np.flatnonzero(~ahead.any(axis=1) & (rank > 0))
+        back = self.bounds[block] + self.longest - 1 - ahead[:, ::-1].argmax(axis=1)
+        has_back = rank > 0
+        far = np.flatnonzero(~ahead.any(axis=1) & has_back)
         back[far] = self.nearest(symbol[far], rank[far] - 1, last=True)
-        follow = block * BLOCK + after.argmax(axis=1)
-        has_next = rank + 1 < self.counts[symbol]
+        follow = self.bounds[block] + after.argmax(axis=1)
+        has_next = rank + 1 < total[symbol]
         far = np.flatnonzero(~after.any(axis=1) & has_next)
         follow[far] = self.nearest(symbol[far], rank[far] + 1, last=False)
 
-        size = self.n + self.counts[1:].sum()
-        old = np.ones(size + 1, bool)
+        size = self.size + len(which)
+        old = np.ones(size + LONGEST, bool)
         old[new] = False
-        rows = np.empty(size + 1, np.uint32)
+        rows = np.empty(size + LONGEST, "<u4")
         rows[old] = self.rows
         rows[new] = 0
-        first = rank > 0
-        for at, common in ((new[first], self.lowest(back[first] + 1, place[first] + 1)), (new[has_next] + 1, self.lowest(place[has_next] + 1, follow[has_next] + 1))):
+        for at, common in ((new[has_back], self.lowest(back[has_back] + 1, place[has_back] + 1)),
+                           (new[has_next] + 1, self.lowest(place[has_next] + 1, follow[has_next] + 1))):
             rows[at] = common | (rows[at] & 255)
-        rows[new] |= self.before(which, column)
+        added = self.before(which, column)
+        rows[new] |= added
+
+        # What is inserted at a bound belongs to the block that ends there.
+        order = np.argsort(new)
+        slots = new[order] - np.arange(len(new))
+        into = np.maximum(np.searchsorted(self.bounds, slots, side="left") - 1, 0)
+        np.add.at(self.counts, (added[order], into), 1)
+        self.bounds = self.bounds + np.searchsorted(into, np.arange(len(self.bounds)), side="left")
         done = np.flatnonzero(self.sizes < column)
-        moved = np.sort(new) - np.arange(len(new))
-        self.places[done] += np.searchsorted(moved, self.places[done], side="right")
+        self.places[done] += np.searchsorted(slots, self.places[done], side="right")
         self.places[which] = new
-        self.rows = rows
+        self.rows, self.size = rows, size
 
     def repeated(self, width: int) -> np.ndarray:
         """For each string (row) whether the ``width`` bytes from each start (column) occur again in the collection."""
-        beside = self.rows >> 8 >= width
+        beside = self.rows[:self.size + 1] >> 8 >= width
         hit = beside[:-1] | beside[1:]
         order = np.argsort(self.symbols(), kind="stable")
         closed = np.count_nonzero(self.symbols() == 0)
