@@ -9,7 +9,8 @@ A window is any ``width`` bytes of a text.  Windows that occur at two places or
 * **Column-wise construction.**  Strings are dealt to groups by name.  A group builds the Burrows-Wheeler transform of its
   collection from the last column to the first: each round inserts one symbol of every string, at the place that the
   transform itself gives (symbols before it in the alphabet, and its rank among its own), and updates the common prefixes
-  next to it by a minimum over the stretch between two equal symbols.  A round reads the transform and the common prefixes of
+  next to it by a minimum over the stretch between two equal symbols.  Stretches of strings that cannot repeat, because hashes of
+  seven eighths of their windows occur once, are left out before.  A round reads the transform and the common prefixes of
   the round before once in order and writes them anew.  A suffix with a common prefix of ``width`` beside it starts a repeated window.
 * **Hot names.**  A name of more than ``MOST`` different strings is cut finer: by ``STEPS`` windows around their common bytes,
   and what is still too large there by single windows, where equal strings are only counted.  No group grows with the input.
@@ -44,6 +45,8 @@ from opslens.session import scratch_dir
 WIDTH = 400
 #: Bytes of the strings whose smallest hash names a window, as a share of the window.
 GRAM_SHARE = 1 / 2
+#: A window goes into the transform if its first and last strings of this share of its length occur again in its group.
+NEARLY = 7 / 8
 #: Windows of a text that are looked at together.
 SLICE = 1 << 18
 #: Different strings of one name that one task takes, and bytes of the strings of one group.
@@ -54,6 +57,7 @@ STEPS = (16, 1)
 #: Rows of a block of the transform at first and at most.
 BLOCK = 64
 LONGEST = 192
+SPAN = 16
 #: Odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -163,8 +167,8 @@ class Transform:
     ``rows`` has a number for each suffix so far, in order: its low byte is the transform, the code of the symbol before
     the suffix (0: none); above it stands the common prefix with the suffix before it, up to ``most``.  Some zeros end it.
 
-    ``bounds`` cuts the rows into blocks and ``counts`` has the symbols of each; both are brought forward with every
-    round and made anew when a block has become too long.
+    ``bounds`` cuts the rows into blocks; ``counts`` has the symbols of each block and ``sums`` those of ``SPAN`` blocks.  All are
+    brought forward with every round and made anew when a block has become too long.
     """
 
     def __init__(self, strings: list[bytes], most: int):
@@ -193,9 +197,10 @@ class Transform:
 
     def count_anew(self) -> None:
         self.bounds = np.arange(0, self.size, BLOCK)
-        block = np.arange(self.size) // BLOCK
-        counts = np.bincount(self.symbols().astype(np.int64) * len(self.bounds) + block, minlength=self.codes * len(self.bounds))
-        self.counts = counts.reshape(self.codes, -1)
+        spans = -(-len(self.bounds) // SPAN)
+        cells = self.symbols().astype(np.int64) * (spans * SPAN) + np.arange(self.size) // BLOCK
+        self.counts = np.bincount(cells, minlength=self.codes * spans * SPAN).reshape(self.codes, spans, SPAN)
+        self.sums = self.counts.sum(axis=2)
 
     def stretches(self, block: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """For each block, where from its start on the symbol stands."""
@@ -204,8 +209,9 @@ class Transform:
 
     def nearest(self, symbol: np.ndarray, rank: np.ndarray, last: bool) -> np.ndarray:
         """Places of the occurrences of these ranks, each the last (or the first) of its symbol in its block."""
-        rising = (self.earlier + (np.arange(self.codes) * (self.size + 1))[:, None]).ravel()
-        block = np.searchsorted(rising, symbol * (self.size + 1) + rank, side="right") - 1 - symbol * len(self.bounds)
+        span = np.searchsorted(self.rising, symbol * (self.size + 1) + rank, side="right") - 1 - symbol * self.sums.shape[1]
+        upto = np.cumsum(self.counts[symbol, span], axis=1)
+        block = span * SPAN + (upto > (rank - self.earlier[symbol, span])[:, None]).argmax(axis=1)
         same = self.stretches(block, symbol)
         if last:
             same &= np.arange(self.longest) < self.lengths[block][:, None]
@@ -223,6 +229,18 @@ class Transform:
         low[down] = np.minimum.reduceat(self.rows, bounds)[::2] >> 8
         return np.minimum(low + 1, self.most).astype(np.uint32) << 8
 
+    def widened(self, slots: np.ndarray) -> np.ndarray:
+        """The rows read once in order and written anew, with an empty row before each of the places."""
+        old, out, at, empty = memoryview(self.rows), bytearray(), 0, bytes(4)
+        parts = []
+        for slot in slots.tolist():
+            if slot > at:
+                parts.append(old[at:slot])
+                at = slot
+            parts.append(empty)
+        parts.append(old[at:])
+        return np.frombuffer(out.join(parts), "<u4")
+
     def insert(self, column: int) -> None:
         """Inserts the suffixes of this length: one symbol of every string that is long enough."""
         self.lengths = np.diff(self.bounds, append=self.size)
@@ -230,8 +248,9 @@ class Transform:
         if self.longest > LONGEST:
             self.count_anew()
             self.lengths, self.longest = np.diff(self.bounds, append=self.size), BLOCK
-        upto = np.cumsum(self.counts, axis=1)
-        total, self.earlier = upto[:, -1], upto - self.counts
+        upto = np.cumsum(self.sums, axis=1)
+        total, self.earlier = upto[:, -1], upto - self.sums
+        self.rising = (self.earlier + (np.arange(self.codes) * (self.size + 1))[:, None]).ravel()
 
         which = np.flatnonzero(self.sizes >= column)
         place = self.places[which]
@@ -241,7 +260,8 @@ class Transform:
         same = self.stretches(block, symbol)
         ahead = same & (np.arange(self.longest) < inside)
         after = same & (np.arange(self.longest) > inside)
-        rank = self.earlier[symbol, block] + np.count_nonzero(ahead, axis=1)
+        span, within = block // SPAN, np.arange(SPAN) < (block % SPAN)[:, None]
+        rank = self.earlier[symbol, span] + (self.counts[symbol, span] * within).sum(axis=1) + np.count_nonzero(ahead, axis=1)
         first_of = self.n + np.concatenate([[0, 0], np.cumsum(total[1:])])[:self.codes]
         new = first_of[symbol] + rank
 
@@ -254,12 +274,9 @@ class Transform:
         far = np.flatnonzero(~after.any(axis=1) & has_next)
         follow[far] = self.nearest(symbol[far], rank[far] + 1, last=False)
 
-        size = self.size + len(which)
-        old = np.ones(size + LONGEST, bool)
-        old[new] = False
-        rows = np.empty(size + LONGEST, "<u4")
-        rows[old] = self.rows
-        rows[new] = 0
+        order = np.argsort(new)
+        slots = new[order] - np.arange(len(new))
+        size, rows = self.size + len(which), self.widened(slots)
         for at, common in ((new[has_back], self.lowest(back[has_back] + 1, place[has_back] + 1)),
                            (new[has_next] + 1, self.lowest(place[has_next] + 1, follow[has_next] + 1))):
             rows[at] = common | (rows[at] & 255)
@@ -267,10 +284,9 @@ class Transform:
         rows[new] |= added
 
         # What is inserted at a bound belongs to the block that ends there.
-        order = np.argsort(new)
-        slots = new[order] - np.arange(len(new))
         into = np.maximum(np.searchsorted(self.bounds, slots, side="left") - 1, 0)
-        np.add.at(self.counts, (added[order], into), 1)
+        np.add.at(self.counts, (added[order], into // SPAN, into % SPAN), 1)
+        np.add.at(self.sums, (added[order], into // SPAN), 1)
         self.bounds = self.bounds + np.searchsorted(into, np.arange(len(self.bounds)), side="left")
         done = np.flatnonzero(self.sizes < column)
         self.places[done] += np.searchsorted(slots, self.places[done], side="right")
@@ -395,15 +411,41 @@ def with_bytes(wanted: DataFrame, texts: DataFrame, width: int, schema: str, mak
     return both.mapInArrow(work, schema)
 
 
+def stretches_that_may_repeat(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, low, high): runs of window starts whose first and last ``NEARLY`` of a window both occur again in the group."""
+    sizes = np.array([len(s) for s in strings])
+    starts = np.cumsum(sizes) - sizes
+    size = max(1, int(width * NEARLY))
+    hashes = string_hashes(np.frombuffer(b"".join(strings), np.uint8), size)
+    owner = np.repeat(np.arange(len(strings)), sizes)[:len(hashes)]
+    inside = np.arange(len(hashes)) - starts[owner] <= sizes[owner] - size
+    again = np.zeros(len(hashes) + width, bool)
+    _, which, counts = np.unique(hashes[inside], return_inverse=True, return_counts=True)
+    again[np.flatnonzero(inside)] = counts[which] > 1
+    window = np.arange(len(hashes)) - starts[owner] <= sizes[owner] - width
+    may = again[:len(hashes)] & again[width - size:len(hashes) + width - size] & window
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], may, [False]]).astype(np.int8)))
+    # No window starts in the last bytes of a string, so no run goes on in the next one unless a window is one byte.
+    low, high = edges[::2], edges[1::2]
+    return owner[low], low - starts[owner[low]], high - starts[owner[low]]
+
+
 def grouped_marks(frame: pd.DataFrame, width: int) -> pd.DataFrame:
     """Marked windows (name, digest, low, high) of one group of strings."""
     frame = frame.drop_duplicates(["name", "digest"], ignore_index=True)
-    flags = Transform(list(frame["string"]), width).repeated(width)
-    held = np.array([len(s) for s in frame["string"]])[:, None] - width >= np.arange(flags.shape[1])
-    flags |= (frame["n"].to_numpy() > 1)[:, None] & held
-    row, low, high = spans_of(flags)
+    strings = list(frame["string"])
+    owner, low, high = stretches_that_may_repeat(strings, width)
+    row, first, last = np.zeros((3, 0), np.int64)
+    if len(owner):
+        parts = [strings[o][a:b + width - 1] for o, a, b in zip(owner.tolist(), low.tolist(), high.tolist())]
+        row, first, last = spans_of(Transform(parts, width).repeated(width))
+        row, first, last = owner[row], low[row] + first, low[row] + last
+    copied = np.flatnonzero(frame["n"].to_numpy() > 1)
+    row = np.concatenate([row, copied])
+    first = np.concatenate([first, np.zeros(len(copied), np.int64)])
+    last = np.concatenate([last, np.array([len(strings[i]) - width + 1 for i in copied], np.int64)])
     return pd.DataFrame({"name": frame["name"].to_numpy()[row], "digest": frame["digest"].to_numpy()[row],
-                         "low": low.astype("int32"), "high": high.astype("int32")})
+                         "low": first.astype("int32"), "high": last.astype("int32")})
 
 
 def marks(found: DataFrame, texts: DataFrame, width: int, gram: int, most: int, steps: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
