@@ -6,9 +6,12 @@
    few seats near the last quotient are listed and ranked; all others are certain from the targets.
 3. A shard is a part of a source by a hash of the document.  Its documents, ordered by that hash, form a row of blocks.
    A quota takes the whole row as often as it fits, and the rest as blocks at even distances from a seeded start.
+4. What a source's blocks miss of its target in tokens is settled in its largest shard, whose last chosen block ends where
+   the target is met; so small sources get their target as well, which may be less than a block.
 
 Every choice depends on data and seed alone, so reruns agree.  A source has a shard for every ``SHARD_TOKENS`` tokens, and
-``SHARDS`` at most, so a hot source is spread; shards are sorted by Spark, never collected.
+``SHARDS`` at most, so a hot source is spread, and so is an identifier whose rows differ in size; shards are sorted by Spark,
+never collected.
 
 Null texts have size 0 and are never taken; a null source is a source of its own, last in order; null identifiers are
 ordered like the text "null".  Repeated rows count as often as they come.  An empty table gives an empty
@@ -29,7 +32,7 @@ from opslens.llm._common import saved, table
 BLOCK = 32
 PASSES = 3
 SHARD_TOKENS = 1 << 17
-SHARDS = 1024
+SHARDS = 1 << 16
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,11 +88,13 @@ def apportion(claims: DataFrame, group: list[str], claim: str, seats: str, order
     return near.join(won, keys, "left").withColumn("quota", F.col("sure") + F.coalesce("won", F.lit(0))).drop("total", "n", "sure", "most", "open", "won")
 
 
-def taken_within(start: Column, size: Column, blocks: Column, rest: Column, first: Column) -> Column:
-    """Tokens of [start, start + size) inside the chosen blocks.
+def taken_within(start: Column, size: Column, blocks: Column, rest: Column, first: Column, cut: Column | None = None) -> Column:
+    """Tokens of [start, start + size) inside the chosen blocks, and before ``cut`` if there is one.
 
     Of ``blocks``, ``rest`` are chosen at even distances: block b where (b * rest + first) // blocks steps up.
     """
+    if cut is not None:
+        size = F.greatest(F.least(size, cut - start), F.lit(0))
     upto = lambda b: F.floor((b * rest + first) / blocks)
     chosen = lambda b: upto(b + 1) - upto(b)
     end = start + size
@@ -98,43 +103,66 @@ def taken_within(start: Column, size: Column, blocks: Column, rest: Column, firs
     return F.when((size <= 0) | (rest <= 0), 0).when(low == high, chosen(low) * size).otherwise(apart).cast("long")
 
 
+def settled(shards: DataFrame) -> DataFrame:
+    """(key, shard, blocks, passes, rest, first, cut): what each shard's row gives, from its ``quota`` of blocks.
+
+    The tokens that a source's blocks miss of its target, or have too many, go to its largest shard.
+    """
+    of_source = W.partitionBy("key")
+    limit = PASSES * F.col("shard_size")
+    tokens = shards.withColumn("tokens", F.least(BLOCK * F.col("quota"), limit))
+    largest = F.row_number().over(of_source.orderBy(F.desc("shard_size"), "shard")) == 1
+    missing = F.round("target").cast("long") - F.sum("tokens").over(of_source)
+    tokens = tokens.withColumn("tokens", F.when(largest, F.greatest(F.least(F.col("tokens") + missing, limit), F.lit(0))).otherwise(F.col("tokens")))
+    whole = lambda a, b: F.floor(a / b).cast("long")
+    tokens = tokens.select("key", "shard", whole(F.col("shard_size"), F.lit(BLOCK)).alias("full"), whole(F.col("tokens"), F.col("shard_size")).alias("passes"), (F.col("tokens") % F.col("shard_size")).alias("left"))
+    tokens = tokens.withColumns({"some": whole(F.col("left"), F.lit(BLOCK)), "over": F.col("left") % BLOCK})
+    # All full blocks and a part of the tokens behind them, or some of the full blocks, the last of them in part.
+    every = F.col("some") == F.col("full")
+    tokens = tokens.withColumn("blocks", F.col("full") + every.cast("long"))
+    tokens = tokens.withColumn("rest", F.when(F.col("left") == 0, 0).when(every, F.col("blocks")).otherwise(F.col("some") + (F.col("over") > 0).cast("long")).cast("long"))
+    tokens = tokens.withColumn("first", code("first", F.col("key"), F.col("shard")) % F.col("blocks"))
+    last = whole(F.col("rest") * F.col("blocks") - F.col("first") + F.col("rest") - 1, F.greatest("rest", F.lit(1))) - 1
+    cut = F.when(every, F.col("left")).when(F.col("over") == 0, BLOCK * F.col("full")).otherwise(BLOCK * last + F.col("over"))
+    return tokens.select("key", "shard", "blocks", "passes", "rest", "first", cut.cast("long").alias("cut"))
+
+
 def mix(df: DataFrame, doc_id: str, source: str, size: Column) -> DataFrame:
-    """``row`` (all columns of ``df``) with size, source_size, target, passes, start, blocks, rest, first and taken.
+    """``row`` (all columns of ``df``) with size, source_size, target, passes, start, blocks, rest, first, cut and taken.
 
     ``passes`` whole copies are taken, and the tokens of the chosen blocks once more.
     """
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).alias("doc"), F.col(source).alias("source"), size.alias("size"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{source}`").alias("source"), size.alias("size"))
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = targets(sizes).withColumn("seats", F.floor((F.sum("source_size").over(W.partitionBy()) + BLOCK // 2) / BLOCK).cast("long"))
     goal = apportion(goal.withColumn("all", F.lit(1)), ["all"], "target", "seats", "position")
     goal = goal.withColumn("shards", F.least(F.lit(SHARDS), F.floor(F.col("source_size") / SHARD_TOKENS) + 1).cast("long"))
     goal = saved(goal.select("key", "source_size", "target", F.col("quota").alias("source_quota"), "shards"), "mix-sources")
-    rows = rows.join(goal, "key").withColumn("shard", F.when(F.col("size") > 0, code("shard", F.col("doc")) % F.col("shards")).otherwise(F.lit(-1)))
+    rows = rows.join(goal, "key").withColumn("shard", F.when(F.col("size") > 0, code("shard", F.col("doc"), F.col("size")) % F.col("shards")).otherwise(F.lit(-1)))
 
-    held = rows.where("size > 0").groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    quotas = apportion(held, ["key"], "shard_size", "source_quota", "shard")
-    quotas = quotas.withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK).cast("long"))
-    quotas = quotas.withColumn("quota", F.least("quota", PASSES * F.col("blocks")))
-    quotas = quotas.select("key", "shard", "blocks", F.floor(F.col("quota") / F.col("blocks")).cast("long").alias("passes"), (F.col("quota") % F.col("blocks")).alias("rest"), (code("first", F.col("key"), F.col("shard")) % F.col("blocks")).alias("first"))
+    held = rows.where("size > 0").groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("target").alias("target"))
+    quotas = settled(apportion(held, ["key"], "shard_size", "source_quota", "shard"))
     # Empty documents take no part in the order of their shard.
     ahead = W.partitionBy("key", "shard").orderBy("at", "doc", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.where("size > 0").withColumn("at", code("order", F.col("doc"))).withColumn("start", F.coalesce(F.sum("size").over(ahead), F.lit(0).cast("long")))
     placed = placed.join(quotas, ["key", "shard"])
-    taken = F.col("passes") * F.col("size") + taken_within(F.col("start"), F.col("size"), F.col("blocks"), F.col("rest"), F.col("first"))
-    out = ["row", "size", "source_size", "target", "passes", "start", "blocks", "rest", "first", "taken"]
+    taken = F.col("passes") * F.col("size") + taken_within(F.col("start"), F.col("size"), F.col("blocks"), F.col("rest"), F.col("first"), F.col("cut"))
+    out = ["row", "size", "source_size", "target", "passes", "start", "blocks", "rest", "first", "cut", "taken"]
     none = [F.lit(0).cast("long").alias(c) for c in out[4:]]
     return placed.withColumn("taken", taken.cast("long")).select(*out).unionAll(rows.where("size = 0").select(*out[:4], *none))
 
 
-def chosen_text(text: str | None, start: int, size: int, blocks: int, rest: int, first: int) -> str | None:
+def chosen_text(text: str | None, start: int, size: int, blocks: int, rest: int, first: int, cut: int | None = None) -> str | None:
     """The words of a document that lie in chosen blocks, as they stand in the text; apart ones on lines of their own."""
     if text is None:
         return None
     ranges: list[list[int]] = []
     for b in range(start // BLOCK, (start + size - 1) // BLOCK + 1):
         if ((b + 1) * rest + first) // blocks > (b * rest + first) // blocks:
-            low, high = max(b * BLOCK, start) - start, min((b + 1) * BLOCK, start + size) - start
+            low, high = max(b * BLOCK, start) - start, min((b + 1) * BLOCK, start + size, start + size if cut is None else cut) - start
+            if low >= high:
+                continue
             if ranges and ranges[-1][1] == low:
                 ranges[-1][1] = high
             else:
@@ -149,14 +177,14 @@ def mixed_rows(df: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     A document comes whole as often as its shard's row is taken whole, and once more with the text of its chosen blocks.
     """
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, start: pd.Series, size: pd.Series, blocks: pd.Series, rest: pd.Series, first: pd.Series) -> pd.Series:
-        return pd.Series([chosen_text(*row) for row in zip(texts, start, size, blocks, rest, first)], dtype=object)
+    def cut(texts: pd.Series, start: pd.Series, size: pd.Series, blocks: pd.Series, rest: pd.Series, first: pd.Series, until: pd.Series) -> pd.Series:
+        return pd.Series([chosen_text(*row) for row in zip(texts, start, size, blocks, rest, first, until)], dtype=object)
 
-    mixed = mix(df, doc_id, source, size_of(F.col(text)))
+    mixed = mix(df, doc_id, source, size_of(F.col(f"`{text}`"))).withColumnRenamed("cut", "until")
     part = F.col("taken") > F.col("passes") * F.col("size")
     copies = F.concat(F.array_repeat(F.lit(False), F.col("passes").cast("int")), F.when(part, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     rows = mixed.withColumn("part", F.explode(copies))
-    rows = rows.withColumn("cut", cut(F.when(F.col("part"), F.col(f"row.{text}")), "start", "size", "blocks", "rest", "first"))
+    rows = rows.withColumn("cut", cut(F.when(F.col("part"), F.col(f"row.`{text}`")), "start", "size", "blocks", "rest", "first", F.col("until")))
     new = {text: F.col("cut"), n_chars: F.length("cut").cast("long")}
     return rows.select(*[F.when(F.col("part"), new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in df.columns])
 
@@ -195,18 +223,25 @@ goals AS (SELECT key, source_size, position, coalesce(least(cap, weight * (SELEC
   (sum(source_size) OVER () + {BLOCK // 2})::BIGINT // {BLOCK} AS seats, 1 AS everything FROM levels),
 {_apportion_sql("goals", "everything", "target", "seats", "position", "goal")},
 joined AS (SELECT s.doc_id, s.size, g.key, source_size, target, g.quota AS source_quota,
-  CASE WHEN size > 0 THEN {_code_sql("'shard'", "coalesce(doc_id::VARCHAR, 'null')")} % least({SHARDS}, source_size // {SHARD_TOKENS} + 1) ELSE -1 END AS shard
+  CASE WHEN size > 0 THEN {_code_sql("'shard'", "coalesce(doc_id::VARCHAR, 'null')", "size::VARCHAR")} % least({SHARDS}, source_size // {SHARD_TOKENS} + 1) ELSE -1 END AS shard
   FROM sized s JOIN goal g USING (key)),
-held AS (SELECT key, shard, sum(size)::BIGINT AS shard_size, any_value(source_quota) AS source_quota FROM joined WHERE size > 0 GROUP BY ALL),
+held AS (SELECT key, shard, sum(size)::BIGINT AS shard_size, any_value(source_quota) AS source_quota, any_value(target) AS target FROM joined WHERE size > 0 GROUP BY ALL),
 {_apportion_sql("held", "key", "shard_size", "source_quota", "shard", "quoted")},
-quotas AS (SELECT key, shard, blocks, q // blocks AS passes, q % blocks AS rest, {_code_sql("'first'", "key", "shard::VARCHAR")} % blocks AS first
-  FROM (SELECT *, least(quota, {PASSES} * blocks) AS q FROM (SELECT *, (shard_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM quoted))),
+tokened AS (SELECT *, least({BLOCK} * quota, {PASSES} * shard_size) AS plain FROM quoted),
+worded AS (SELECT key, shard, shard_size // {BLOCK} AS full_blocks, tokens // shard_size AS passes, tokens % shard_size AS left_over FROM (
+  SELECT *, (CASE WHEN row_number() OVER (PARTITION BY key ORDER BY shard_size DESC, shard) = 1
+    THEN greatest(least(plain + round(target)::BIGINT - sum(plain) OVER (PARTITION BY key), {PASSES} * shard_size), 0) ELSE plain END)::BIGINT AS tokens FROM tokened)),
+stepped AS (SELECT *, left_over // {BLOCK} = full_blocks AS every, full_blocks + (left_over // {BLOCK} = full_blocks)::BIGINT AS blocks,
+  CASE WHEN left_over = 0 THEN 0 WHEN left_over // {BLOCK} = full_blocks THEN full_blocks + 1 ELSE left_over // {BLOCK} + (left_over % {BLOCK} > 0)::BIGINT END AS rest FROM worded),
+quotas AS (SELECT key, shard, blocks, passes, rest, first,
+  CASE WHEN every THEN left_over WHEN left_over % {BLOCK} = 0 THEN {BLOCK} * full_blocks ELSE {BLOCK} * ((rest * blocks - first + rest - 1) // greatest(rest, 1) - 1) + left_over % {BLOCK} END AS cut
+  FROM (SELECT *, {_code_sql("'first'", "key", "shard::VARCHAR")} % blocks AS first FROM stepped)),
 placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key, shard ORDER BY {_code_sql("'order'", "coalesce(doc_id::VARCHAR, 'null')")}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM joined JOIN quotas USING (key, shard) WHERE size > 0),
-bounds AS (SELECT *, start // {BLOCK} AS low, (start + size - 1) // {BLOCK} AS high FROM placed),
+bounds AS (SELECT *, start // {BLOCK} AS low, (start + part - 1) // {BLOCK} AS high FROM (SELECT *, greatest(least(size, cut - start), 0) AS part FROM placed)),
 steps AS (SELECT *, (low * rest + first) // blocks AS at_low, ((low + 1) * rest + first) // blocks AS after_low, (high * rest + first) // blocks AS at_high, ((high + 1) * rest + first) // blocks AS after_high FROM bounds)
-SELECT doc_id, size, source_size, target, (passes * size + CASE WHEN low = high THEN (after_low - at_low) * size
-  ELSE (after_low - at_low) * ((low + 1) * {BLOCK} - start) + (after_high - at_high) * (start + size - high * {BLOCK}) + (at_high - after_low) * {BLOCK} END)::BIGINT AS taken FROM steps
+SELECT doc_id, size, source_size, target, (passes * size + CASE WHEN part <= 0 OR rest <= 0 THEN 0 WHEN low = high THEN (after_low - at_low) * part
+  ELSE (after_low - at_low) * ((low + 1) * {BLOCK} - start) + (after_high - at_high) * (start + part - high * {BLOCK}) + (at_high - after_low) * {BLOCK} END)::BIGINT AS taken FROM steps
 UNION ALL SELECT doc_id, size, source_size, target, 0 FROM joined WHERE size = 0
 """
 

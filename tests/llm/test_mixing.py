@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,41 @@ def test_chosen_text_keeps_white_space():
     assert got.split() == [words[i] for i in chosen] and "\n " in got
 
 
+def test_small_sources_meet_their_targets(spark, documents, sf):
+    """Targets of 15 words up, beside a large source and documents of all lengths."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(["w"] * n)
+    rows, i = [(0, words(40_000), "zz")], 1
+    for source, size in {"a5": 5, "b20": 20, "c100": 100, "d300": 300, "e900": 900, "f31": 31, "g32": 32, "h33": 33, "i64": 64}.items():
+        while size:
+            n = min(size, rng.choice([1, 3, 17, 32, 40, 200]))
+            rows.append((i, words(n), source))
+            size, i = size - n, i + 1
+    folder = sf(documents=documents(*rows))
+    got = mixing.op3_source_mix(spark, folder).toPandas()
+    got["source"] = got.doc_id.map({r[0]: r[2] for r in rows})
+    assert (got.taken <= 3 * got["size"]).all()
+    for _, part in got.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 3
+    assert dict(got.groupby("source").taken.sum())["a5"] == 15
+
+
+def test_a_repeated_identifier_is_spread_over_shards(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 500)
+    df = documents(*[(7, "w " * (1 + k % 97), "s") for k in range(300)], (8, "w " * 2000, "t"))
+    mixed = mixing.mix(df, "doc_id", "source", mixing.size_of(F.col("text")))
+    rows = mixed.select("row.source", "size", "target", "taken", "first", "blocks", "cut").toPandas()
+    assert len(rows[rows.source == "s"][["first", "blocks", "cut"]].drop_duplicates()) > 10
+    for _, part in rows.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 3 and (part.taken <= 3 * part["size"]).all()
+
+
+def test_names_with_dots(documents):
+    df = documents((1, "a b c", "s"), (2, "d e f", "t")).withColumn("x.y", F.lit(5)).withColumnRenamed("n_chars", "n.chars")
+    mixed = mixing.mixed_rows(df, n_chars="n.chars")
+    assert mixed.columns == df.columns and {r["x.y"] for r in mixed.collect()} == {5}
+
+
 def test_empty_table(documents):
     empty = documents((1, "x")).where("false")
     assert mixing.mixed_rows(empty).isEmpty()
