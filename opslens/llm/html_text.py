@@ -4,9 +4,13 @@ A page is cut into blocks at block elements; scripts, styles, titles, comments a
 character references are decoded.  Blocks in containers that name themselves menus, headers, footers, sidebars, notices,
 adverts, forms or reader comments are boilerplate.
 
+A name is one class, identifier or role as a whole: ``sidebar`` or ``left-sidebar`` names a sidebar, ``has-sidebar`` does not.  What
+only a name or a form says is taken back for an article or main element inside that holds most words of the page, and a
+form round the whole page says nothing.
+
 First pass, by length, link density and stop-word density: a block is good, bad or undecided.  A page that marks its
 article (or else its main part) has good blocks only there, and there only a block of links is bad; elsewhere a block needs
-stop words too.  Second pass: undecided blocks take the label of the nearest decided block in the same part; between
+stop words too.  An article with fewer words than the good blocks outside it, such as a teaser, does not rule the page.  Second pass: undecided blocks take the label of the nearest decided block in the same part; between
 a good and a bad one at the same distance an article is good and the rest bad; where nothing is decided all is good.
 
 Null and empty pages have no text.  Unclosed and unmatched tags are allowed; a tag that never ends is text.  Repeated rows, ties and null
@@ -55,6 +59,12 @@ NAMED = frozenset((
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe subscription signup signin login search sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu menubar nav navbar navigation "
     "footer toolbar comment comments commentlist disqus replies respond pagination pager copyright contentinfo complementary skip").split())
+#: Parts that may stand beside them in a name; any other part says that the element is something else.
+QUALIFIERS = frozenset((
+    "site page main top bottom left right box slot bar block container wrapper wrap area section list item items inner outer primary secondary global local sub mini "
+    "sticky fixed mobile desktop header head title body content col column row unit zone inline post posts article articles stories entries news user the and my js id x button buttons link links icon icons text form").split()) | {""}
+#: Names of what readers write, which no article inside takes back.
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Those that are part of an article when they stand inside one.
 HEADERS = frozenset({"header", "masthead", "topbar"})
 MAIN_ROLES = frozenset({"main", "article"})
@@ -62,12 +72,17 @@ MAIN_ROLES = frozenset({"main", "article"})
 
 @dataclass
 class Part:
-    """An open element: what the text below it belongs to."""
+    """An open element: what the text below it belongs to.
+
+    ``soft`` are the elements above that only a name or a form calls boilerplate, ``marks`` the article and main elements.
+    """
     name: str
     boilerplate: bool = False
     link: bool = False
     article: bool = False
     main: bool = False
+    soft: tuple[int, ...] = ()
+    marks: tuple[int, ...] = ()
 
 
 @dataclass
@@ -77,19 +92,28 @@ class Block:
     boilerplate: bool = False
     article: bool = False
     main: bool = False
+    soft: tuple[int, ...] = ()
+    marks: tuple[int, ...] = ()
     pieces: list[str] = field(default_factory=list)
 
 
+def parts_of(name: str) -> set[str]:
+    return {p.lower() for p in NAME_PARTS.findall(name)} if re.fullmatch("[a-zA-Z]+", name) else set(re.split(r"[^a-z]+", re.sub("([a-z])([A-Z])", r"\1-\2", name).lower()))
+
+
 def named(attributes: str) -> tuple[set[str], bool, set[str]]:
-    """Words in class, id and role; whether the element is hidden; its roles."""
+    """Words that name the element by its class, id and role; whether it is hidden; its roles."""
     words: set[str] = set()
     roles: set[str] = set()
     hidden = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
-            words.update(p.lower() for p in NAME_PARTS.findall(value))
-            words.update(re.split(r"[^a-z]+", value.lower()))
+            for one in value.split():
+                parts = parts_of(one)
+                known = parts & (NAMED | HEADERS)
+                if known and parts - known <= QUALIFIERS and not (known <= HEADERS and parts - known - {"site", "page", "main", "top", "global", "post", "article", ""}):
+                    words |= known
             if name == "role":
                 roles.add(value.lower())
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -101,6 +125,9 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; boilerplate ones as empty marks."""
     stack, blocks, at = [Part("")], [], 0
     current = Block()
+    above: dict[int, tuple[int, ...]] = {}  # of each article or main element, the soft ones above it
+    forms: set[int] = set()
+    opened = 0
 
     def flush() -> None:
         nonlocal current
@@ -118,7 +145,7 @@ def blocks_of(page: str) -> list[Block]:
             current.boilerplate = current.boilerplate or not raw.isspace()
             return
         if not raw.isspace():
-            current.article, current.main = top.article, top.main
+            current.article, current.main, current.soft, current.marks = top.article, top.main, top.soft, top.marks
             if top.link:
                 current.links += len(raw.strip())
         current.pieces.append(raw)
@@ -168,36 +195,78 @@ def blocks_of(page: str) -> list[Block]:
         article = name == "article" or "article" in roles
         main = name == "main" or bool(roles & MAIN_ROLES)
         heading = name == "header" or bool(words & HEADERS)
-        aside = name in BOILERPLATE or hidden or bool(words & NAMED) and name not in ("body", "html", "article", "main") or bool(words & {"comment", "comments"})
-        stack.append(Part(name, top.boilerplate or aside or heading and not (top.article or article), top.link or name == "a", top.article or article, top.main or main))
+        opened += 1
+        own = bool(words & NAMED) and name not in ("body", "html", "article", "main")
+        hard = (name in BOILERPLATE and name != "form") or hidden or bool(words & READERS) or own and name not in BLOCK or heading and not (top.article or article)
+        soft = top.soft + (opened,) if (own or name == "form") and not hard else top.soft
+        if name == "form":
+            forms.add(opened)
+        marks = top.marks
+        if article or main:
+            marks = marks + (opened,)
+            above[opened] = soft
+        stack.append(Part(name, top.boilerplate or hard, top.link or name == "a", top.article or article, top.main or main, soft, marks))
     add(page[at:])
     flush()
+    settle(blocks, above, forms)
     return blocks
 
 
+def settle(blocks: list[Block], above: dict[int, tuple[int, ...]], forms: set[int]) -> None:
+    """Blocks below a name or a form become boilerplate, unless an article that holds most words takes it back."""
+    words = [len(b.text.split()) for b in blocks]
+    cleared: set[int] = set()
+    for mark, soft in above.items():
+        if soft and 2 * sum(n for n, b in zip(words, blocks) if mark in b.marks) > sum(words):
+            cleared.update(soft)
+    if not any(n and set(b.soft) <= cleared for n, b in zip(words, blocks)):
+        cleared |= forms
+    for b in blocks:
+        if not set(b.soft) <= cleared:
+            b.boilerplate, b.text = True, ""
+
+
 def stop_density(text: str) -> float:
     words = text.lower().split()
     return sum(w.strip(PUNCTUATION) in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def by_density(b: Block) -> bool | None:
+    """Good, bad or undecided, by length, links and stop words alone."""
+    n = len(b.text)
+    density = min(1.0, b.links / n) if n else 0.0
+    if b.boilerplate or not n or density > LINKS or "©" in b.text:
+        return False
+    if n < SHORT:
+        return False if density else None
+    return True if n >= LONG and stop_density(b.text) >= MANY_STOPS else None
+
+
+def ruling(blocks: list[Block], labels: list[bool | None]) -> str | None:
+    """Whether the article or the main part rules the page: it has no fewer words than the good blocks outside it."""
+    for mark in ("article", "main"):
+        inside = [len(b.text.split()) for b in blocks if getattr(b, mark)]
+        outside = [len(b.text.split()) for b, good in zip(blocks, labels) if good and not getattr(b, mark)]
+        if sum(inside) and sum(inside) >= sum(outside):
+            return mark
+    return None
+
+
 def first_pass(blocks: list[Block]) -> list[bool | None]:
     """Good, bad or undecided."""
-    marked = "article" if any(b.article and b.text for b in blocks) else "main" if any(b.main and b.text for b in blocks) else None
+    plain = [by_density(b) for b in blocks]
+    marked = ruling(blocks, plain)
+    if marked is None:
+        return plain
     labels: list[bool | None] = []
     for b in blocks:
         n = len(b.text)
         density = min(1.0, b.links / n) if n else 0.0
-        if b.boilerplate or not n or marked and not getattr(b, marked):
+        if b.boilerplate or not n or not getattr(b, marked):
             labels.append(False)
-        elif marked:
+        else:
             linked = density > ARTICLE_LINKS and n < LONG
             labels.append(False if linked else True if n >= SHORT or n >= SHORT // 2 and stop_density(b.text) >= MANY_STOPS else None)
-        elif density > LINKS or "©" in b.text:
-            labels.append(False)
-        elif n < SHORT:
-            labels.append(False if density else None)
-        else:
-            labels.append(True if n >= LONG and stop_density(b.text) >= MANY_STOPS else None)
     return labels
 
 

@@ -36,6 +36,42 @@ def test_pages_of_every_kind(page, text):
     assert html_text.main_text(page) == text
 
 
+BODY = [LONG * 2, "A short one.", LONG * 3]
+TEXT = "\n\n".join(b.strip() for b in BODY)
+INSIDE = "".join(f"<p>{b}</p>" for b in BODY)
+SIDE = f"<p>{LONG}</p>"
+LAYOUTS = {
+    "a class that only mentions a sidebar": f'<div class="content has-sidebar"><article>{INSIDE}</article></div><div class="left-sidebar">{SIDE}</div>',
+    "a form round the page": f'<form id="aspnetForm"><nav><a href=x>Home</a></nav><article>{INSIDE}</article><div class="sidebar">{SIDE}</div></form>',
+    "a form round a page without article": f'<form id="aspnetForm"><div class="menu"><a href=x>Home</a></div><div>{INSIDE}</div></form>',
+    "widgets mentioned": f'<div class="layout with-widgets"><main>{INSIDE}</main></div>',
+    "sharing mentioned": f'<div class="post share-enabled">{INSIDE}</div><div class="share-buttons"><p>Share this with all of your friends on the net</p></div>',
+    "a fixed header mentioned": f'<div id="page-header-fixed-layout"><article>{INSIDE}</article></div>',
+    "a teaser article inside main": f'<main>{INSIDE}<article class="teaser"><p>Read on</p></article></main>',
+    "teasers beside the text": f'<div>{INSIDE}</div><div class="related-posts"><article>{SIDE}</article></div><footer>{SIDE}</footer>',
+    "an article below a sidebar name": f'<div class="widget-area"><article>{INSIDE}</article></div><div><a href=a>More</a></div>',
+    "long comments": f'<article>{INSIDE}</article><section id="comments">{"".join(f"<article><p>{LONG * 4}</p></article>" for _ in range(5))}</section>',
+    "comments inside the article": f'<article>{INSIDE}<div class="comment-list"><p>{LONG * 9}</p></div></article>',
+    "a banner, a cookie notice and a newsletter": f'<div class="top-banner">{SIDE}</div><div id="cookie-notice">{SIDE}</div><div>{INSIDE}</div><div class="newsletter-box"><p>Subscribe to it all now</p></div>',
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    got = html_text.main_text(f"<html><body>{LAYOUTS[layout]}</body></html>")
+    assert got in (TEXT, TEXT + "\n\nRead on") if "teaser article" in layout else got == TEXT
+
+
+def test_stop_words_links_and_neighbours_decide():
+    """No container says anything here: each of the three rules is the only one that can."""
+    no_stops = "Widget 4711 chrome steel brushed finish " * 8
+    links = "".join(f"<a href={i}>{LONG}</a> " for i in range(3))
+    page = f"<div><p>{LONG * 2}</p><p>Near good.</p><p>{LONG * 2}</p></div><div><p>{links}</p><p>Near bad.</p></div>"
+    assert html_text.main_text(page).split("\n\n") == [(LONG * 2).strip(), "Near good.", (LONG * 2).strip()]
+    blocks = [html_text.Block(text=no_stops), html_text.Block(text=LONG * 2)]
+    assert [html_text.by_density(b) for b in blocks] == [None, True]
+
+
 def test_second_pass_takes_the_nearest_label():
     Block = html_text.Block
     blocks = [Block(text=str(i)) for i in range(7)]
