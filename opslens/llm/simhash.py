@@ -449,9 +449,10 @@ def one_of_each(df: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col:
     """
     found = components(df, scheme, id_col, text_col, block_rows)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best"))
-    stays = best.select(F.coalesce("best.id", F.lit(LOWEST)).alias("__id"), F.col("best.row").alias("__row"))
-    keyed = df.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "__row": row_hash(df)})
-    return keyed.join(stays, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(*df.columns)
+    stays = best.select(F.coalesce("best.id", F.lit(LOWEST)).alias("id"), F.col("best.row").alias("hash"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOWEST)).alias("id"), row_hash(df).alias("hash"))
+    one = rows.join(stays, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,16 +6,12 @@ from pyspark.sql import functions as F
 
 from opslens.llm import mixing, packing, secrets, toxicity
 from opslens.llm._common import saved
+from test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def shingles(text):
-    words = text.lower().split()
-    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)}
-
-
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     after = {}
@@ -30,14 +26,12 @@ def test_stages_against_brute_force(spark):
     automaton = lexicon.automaton()
     clean = {i for i, t in zip(before.doc_id, before.text) if toxicity.probability(*toxicity.features(t, automaton), lexicon.curve) < toxicity.REJECT}
     assert set(kept.doc_id) == clean
-    # Near duplicates: no two documents that stay are similar, and each that went is near one that was there.
+    # Near duplicates: the smallest identifier of each group of fingerprints that link at three bits stays.
     before, kept = after["simhash_near_dedup"]
-    sets = {i: shingles(t) for i, t in zip(before.doc_id, before.text)}
-    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    ids = sorted(kept.doc_id)
-    assert not [(a, b) for a in ids for b in ids if a < b and near(a, b) >= 0.8]
-    gone = set(before.doc_id) - set(ids)
-    assert gone and all(max(near(g, i) for i in sets if i != g) >= 0.75 for g in gone)
+    prints = {i: brute_fingerprint(t) for i, t in zip(before.doc_id, before.text)}
+    ids = list(prints)
+    smallest = brute_components(ids, lambda i, j: (prints[ids[i]] ^ prints[ids[j]]).bit_count() <= 3)
+    assert sorted(kept.doc_id) == sorted(set(smallest.values())) and len(kept) < len(before)
     # Secrets: every document stays, without its spans.
     before, kept = after["secret_scan"]
     assert dict(zip(kept.doc_id, kept.text)) == {i: secrets.redact(t) for i, t in zip(before.doc_id, before.text)}
@@ -55,13 +49,14 @@ def test_stages_against_brute_force(spark):
 
 
 def test_rows_of_every_kind(spark, documents, sf):
-    rows = documents((1, None), (1, None), (2, ""), (None, "a null identifier of some words"), (3, "token=abcdefgh12 here", None), (4, "x " * 3000), (5, "x " * 3000), (5, "x " * 3000)).withColumn("__text", F.lit("extra")).withColumn("fp", F.lit(1))
+    rows = documents((1, None), (1, None), (2, ""), (None, "a null identifier of some words"), (3, "token=abcdefgh12 here", None), (4, "x " * 3000), (5, "x " * 3000), (5, "x " * 3000)).withColumn("__text", F.lit("extra")).withColumn("fp", F.lit(1)).withColumn("row", F.lit("r"))
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id LONG, quality INT, toxic INT")
     folder = sf(labels=labels, documents=rows)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = saved(stage(spark, docs, folder), "test-stage")
         assert docs.columns == rows.columns
+        assert {(r["__text"], r["fp"], r["row"]) for r in docs.collect()} == {("extra", 1, "r")}
         if name == "simhash_near_dedup":
             assert sorted(r["doc_id"] or 0 for r in docs.collect()) == [0, 1, 3, 4]
     assert corpus_pipeline.run(spark, folder).count() > 0

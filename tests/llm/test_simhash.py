@@ -159,6 +159,19 @@ def test_star_family_loses_no_link(documents, monkeypatch, block):
     assert len(set(got.values())) <= 3
 
 
+def test_names_that_an_operator_might_use_itself(documents):
+    df = documents((2, "a b c"), (1, "a b c"), (3, "other words here")).selectExpr("doc_id", "text", "'x' AS __id", "7 AS __row", "lang AS hash", "n_chars AS `a.b`")
+    kept = simhash.one_of_each(df, simhash.EXACT64)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c", "x", 7, "en", 5), (3, "other words here", "x", 7, "en", 16)]
+
+
+def test_very_long_text(documents):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    got = {r["id"]: r["component"] for r in simhash.components(documents((1, long), (2, long + " end"), (3, "short")), simhash.EXACT64).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_clashing_columns(documents):
     df = documents((1, "a b c"), (2, "a b c")).selectExpr("doc_id", "text", "n_chars AS fp", "n_chars AS node", "n_chars AS n", "lang AS id", "lang AS row")
     kept = simhash.one_of_each(df, simhash.EXACT64)
