@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from opslens.llm import mixing, packing, secrets, simhash, toxicity
 from opslens.llm._common import saved, table
 
-#: Near duplicates: shingle sets of five words at a Jaccard similarity of 0.8 or more.
-NEAR = simhash.for_similarity(words=5, similarity=0.8)
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from the labels, does not reject."""
@@ -24,15 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest identifier."""
-    return simhash.one_of_each(docs, NEAR)
+    """One document of each group whose fingerprints link at three differing bits of 64: the one with the smallest identifier."""
+    return simhash.one_of_each(docs, simhash.EXACT64)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by a mark."""
-    new = docs.withColumn("__text", secrets.redacted(F.col("text")))
-    same = F.col("__text").eqNullSafe(F.col("text"))
-    return new.withColumns({"text": F.col("__text"), "n_chars": F.when(same, F.col("n_chars")).otherwise(F.length("__text").cast("long"))}).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), secrets.redacted(F.col("text")).alias("new"))
+    length = F.when(F.col("new").eqNullSafe(F.col("row.text")), F.col("row.n_chars")).otherwise(F.length("new").cast("long"))
+    changed = {"text": F.col("new"), "n_chars": length}
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
