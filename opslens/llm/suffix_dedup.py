@@ -451,6 +451,7 @@ def grouped_marks(frame: pd.DataFrame, width: int) -> pd.DataFrame:
 def marks(found: DataFrame, texts: DataFrame, width: int, gram: int, most: int, steps: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """The strings of ``found`` whose name occurs again, and the marked windows of each different one."""
     names = found.groupBy("name").agg(F.sum("n").alias("rows"), F.max("places").alias("places")).where("rows > 1 OR places > 1").select("name")
+    names = saved(names, "repeated-names")  # a side of its own, so that Spark can split a hot name of the other
     kept = saved(found.join(names, "name", "left_semi").select(*found.columns), "strings")
     each = kept.groupBy("name", "digest").agg(F.sum("n").alias("n"), F.max("places").alias("places"), F.min(F.struct(*KEY, "start", "windows")).alias("at"))
     each = saved(each.select("name", "digest", "n", "places", "at.*"), "string-classes")
