@@ -79,6 +79,37 @@ def dblog(spark: SparkSession, sf_dir: str, file: Column | None = None) -> DataF
 DEEP = 120
 
 
+def write_log_files(lines: DataFrame, folder: str, upto: int | None = None) -> None:
+    """Writes each file of ``lines`` as a text file of that name, in line order; one task writes a file.
+
+    With ``upto`` a file ends in the middle of its first line beyond that place, as a log that is being written does.
+    Writing the same lines again gives the same file, and writing more of them a file that has grown.
+    """
+    def work(batches):
+        import pyarrow as pa
+
+        from opslens.sources.growing import located
+
+        name, out = None, None
+        for batch in batches:
+            for file, pos, value in zip(*(batch[c].to_pylist() for c in ("file", "pos", "value"))):
+                if file != name:
+                    if out is not None:
+                        out.close()
+                    system, path = located(f"{folder}/{file}")
+                    system.create_dir(path.rsplit("/", 1)[0])
+                    name, out, cut = file, system.open_output_stream(path), False
+                raw = value.encode() + b"\n"
+                if upto is not None and pos > upto:
+                    raw, cut = (b"" if cut else raw[:len(raw) // 2]), True
+                out.write(raw)
+        if out is not None:
+            out.close()
+        yield pa.record_batch([pa.array([name], pa.string())], names=["file"])
+
+    lines.select("file", "pos", "value").repartition("file").sortWithinPartitions("file", "pos").mapInArrow(work, "file string").count()
+
+
 def odd_dblog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server log lines of sixteen kinds that the plain log does not have: operators, lists, deep and broken documents."""
     e, user = F.col("event_id"), F.col("user_id")

@@ -15,14 +15,23 @@ from pyspark.sql import functions as F
 CHUNK_BITS = 14
 
 
-def log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of text files; the read split is the chunk, so files stay splittable."""
-    return spark.read.text(paths).select(
+def log_lines(spark: SparkSession, paths: str | list[str], spread: bool = False) -> DataFrame:
+    """Lines of text files; the read split is the chunk, so files stay splittable.
+
+    A compressed file is read by one task.  ``spread`` cuts a split into chunks of ``2 ** CHUNK_BITS`` lines and deals them to all
+    tasks, so that whatever follows the one read is spread over the cluster.
+    """
+    lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("pos"),
         F.col("value"),
     )
+    if not spread:
+        return lines
+    # Every line has a byte, so the number of a line's chunk never reaches the start of the next split.
+    nth = F.shiftright(F.col("pos").bitwiseAND(F.lit((1 << 33) - 1)), CHUNK_BITS)
+    return lines.withColumn("chunk", F.col("chunk") + nth).repartition("file", "chunk")
 
 
 def documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
