@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.text import number
-from opslens.operators.carry import first_in_file, last_in_file
+from opslens.operators.automaton import Machine, finals
 
 # Fixed values of the capture formats: the name a tool prints for a setting -> our parameter.
 # ``#`` stands for the number in settings that are printed as a phrase.
@@ -150,43 +150,55 @@ def summary(lines: DataFrame, harness: str, strict: bool = False) -> DataFrame:
                       *[c.alias(name) for name, c in named.items() if name != spec.result_parameter], "status")
 
 
+class YcsbRun(Machine):
+    """State 1 behind the first result, where nothing is remembered any more."""
+    states = 2
+    texts = ("command", "result")
+    reads = ("value",)
+
+    def step(self, state: int, memory: list, value: str) -> tuple[int, bool]:
+        if state == 0:
+            if YCSB_COMMAND in value:
+                memory[0] = value
+            elif YCSB_RESULT in value:
+                memory[1] = value
+                return 1, False
+        return state, False
+
+
 def ycsb_summary(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Per file: the first overall throughput and the last command line before it.
 
     A file without a result has no throughput and its last command line; ``strict`` fails on it.
     """
-    line = F.col("value")
-    is_command = line.contains(YCSB_COMMAND)
-    is_result = ~is_command & F.contains(line, F.lit(YCSB_RESULT))
-    at = F.when(is_result, F.col("pos"))
-    per_chunk = lines.groupBy("file", "chunk").agg(
-        F.min(at).alias("end_pos"), F.min_by(F.trim(F.get(F.split("value", ","), F.lit(2))), at).alias("throughput"), F.collect_set(F.lit(1)).alias("by_hash"))
-    has_result = F.when(F.col("end_pos").isNotNull(), F.col("chunk"))
-    first = per_chunk.groupBy("file").agg(
-        F.min(has_result).alias("end_chunk"), F.min_by("end_pos", has_result).alias("end_pos"), F.min_by("throughput", has_result).alias("throughput"))
-    number_of = F.col("throughput").cast("double") if strict else F.col("throughput").try_cast("double")
+    wanted = F.col("value").contains(YCSB_COMMAND) | F.col("value").contains(YCSB_RESULT)
+    # Files without either line are runs as well.
+    found = lines.select("file").distinct().join(finals(lines.where(wanted), YcsbRun()), "file", "left")
+    throughput = F.trim(F.get(F.split("result", ","), F.lit(2)))
+    number_of = throughput.cast("double") if strict else throughput.try_cast("double")
     if strict:
-        number_of = F.when(F.col("end_chunk").isNull(), F.raise_error(F.concat_ws(" ", "file", F.lit("has no result"))).cast("double")).otherwise(number_of)
-    first = first.select("file", number_of.alias("throughput"), "end_chunk", "end_pos")
-    before = F.col("end_chunk").isNull() | (F.col("chunk") < F.col("end_chunk")) | (
-        (F.col("chunk") == F.col("end_chunk")) & (F.col("pos") < F.col("end_pos")))
-    commands = last_in_file(
-        lines.where(is_command).join(first, "file").where(before).withColumnRenamed("value", "command_line"),
-        "command_line")
-    return first.join(commands, "file", "left").select("file", "throughput", "command_line")
+        number_of = F.when(F.col("result").isNull(), F.raise_error(F.concat_ws(" ", "file", F.lit("has no result"))).cast("double")).otherwise(number_of)
+    return found.select("file", number_of.alias("throughput"), F.col("command").alias("command_line"))
+
+
+class SimReport(Machine):
+    """State 1 on the line behind a marker."""
+    states = 2
+    texts = ("report",)
+    reads = ("value",)
+
+    def step(self, state: int, memory: list, value: str) -> tuple[int, bool]:
+        if SIM_MARK in value:
+            memory[0] = None
+            return 1, False
+        if state:
+            memory[0] = value
+        return 0, False
 
 
 def sim_reports(lines: DataFrame) -> DataFrame:
     """``file, report``: the JSON text on the line after the last marker of each file; NULL where there is none."""
-    is_mark = F.col("value").contains(SIM_MARK)
-    at = F.when(is_mark, F.col("pos"))
-    per_chunk = lines.groupBy("file", "chunk").agg(F.max(at).alias("mark_pos"))
-    has_mark = F.when(F.col("mark_pos").isNotNull(), F.col("chunk"))
-    last = per_chunk.groupBy("file").agg(F.max(has_mark).alias("mark_chunk"), F.max_by("mark_pos", has_mark).alias("mark_pos"))
-    after = (F.col("chunk") > F.col("mark_chunk")) | (
-        (F.col("chunk") == F.col("mark_chunk")) & (F.col("pos") > F.col("mark_pos")))
-    rest = lines.join(last, "file").where(after).withColumnRenamed("value", "report")
-    return last.select("file").join(first_in_file(rest, "report"), "file", "left")
+    return finals(lines, SimReport()).select("file", "report")
 
 
 def sim_node_stats(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The log is a list of benchmark names, each followed by its result lines, between headers
 and noise.  A name is only known from the lines before it, so the parser needs line order;
-it uses running values that are handed from chunk to chunk.
+it is a small state machine that walks all chunks at once.
 
 How a line acts on the current name:
   narrow name   always becomes the current name
@@ -14,10 +14,10 @@ The line after a version line is a commit hash and acts on nothing; so are heade
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.operators.carry import CHUNK, running
+from opslens.operators.automaton import CHUNK, Machine, run
 
 # Fixed values of the log format.
 CLIENT_LINE = "^MongoDB shell version: "
@@ -31,10 +31,6 @@ RESULT_FIELDS = r"^([0-9]+)\s+(\S+)"
 CLIENT, VERSION, RESULT, NARROW, WIDE, OTHER, HASH = "client", "version", "result", "narrow", "wide", "other", "hash"
 
 
-def _odd(value: Column) -> Column:
-    return value % 2 == 1
-
-
 def _line_kind(version_line: str, client_lines: bool) -> Column:
     """What a line looks like, before version lines swallow the line behind them."""
     line = F.col("value")
@@ -45,91 +41,52 @@ def _line_kind(version_line: str, client_lines: bool) -> Column:
             .when(line.rlike(WIDE_NAME), WIDE).otherwise(OTHER))
 
 
-def classify(lines: DataFrame, version_line: str = VERSION_LINE, client_lines: bool = True) -> DataFrame:
-    """Adds ``kind``, with the lines that version lines swallow already marked as hashes.
+class Samples(Machine):
+    """State: 1 after a version line, whose next line is a hash; 2 with a current name.
 
-    Of several version lines in a row every second one is itself taken for a hash.
+    Emits results with a name, and what the head of a log is made of: client lines, version lines and hashes.
     """
-    kind = _line_kind(version_line, client_lines)
-    is_version = F.col("kind") == VERSION
-    counted = running(
-        lines.select("file", "chunk", "pos", "value", kind.alias("kind")),
-        counts={"versions": is_version},
-        marks={"at_other": ("versions", ~is_version, F.lit(0))},
-    )
-    in_a_row = F.col("versions") - F.coalesce("at_other", F.lit(0))
-    swallowed = F.when(is_version, ~_odd(in_a_row)).otherwise(_odd(in_a_row))
-    return counted.select("file", "chunk", "pos", "value",
-                          F.when(swallowed, HASH).otherwise(F.col("kind")).alias("kind"))
+    states = 4
+    texts = ("name",)
+    reads = ("kind", "word")
+
+    def step(self, state: int, memory: list, kind: str, word: str | None) -> tuple[int, bool]:
+        if state & 1:
+            return state - 1, True
+        if kind == RESULT:
+            return state, state == 2
+        if kind == VERSION:
+            return state + 1, True
+        if kind == CLIENT:
+            return state, True
+        if kind == NARROW or kind == WIDE and state == 0:
+            memory[0] = word
+            return 2, False
+        return 0, False
+
+
+def perf_lines(lines: DataFrame, version_line: str = VERSION_LINE, client_lines: bool = True, strict: bool = False) -> DataFrame:
+    """Samples and head lines in one walk; ``kind`` tells them apart.  ``samples_of`` and ``info_of`` read them.
 
+    ``strict`` fails on a result that is no number; otherwise it is NULL.
+    """
+    field = lambda i: F.when(F.col("kind") == RESULT, F.regexp_extract("value", RESULT_FIELDS, i))
+    number = field(2).cast("double") if strict else field(2).try_cast("double")
+    looks = lines.withColumn("kind", _line_kind(version_line, client_lines)).select(
+        *CHUNK, "pos", "kind", F.when(F.col("kind").isin(NARROW, WIDE), F.col("value")).alias("word"), "value",
+        field(1).try_cast("int").alias("thread"), number.alias("result"))
+    walked = run(looks, Samples(), ["kind", "thread", "result", "value"])
+    return walked.withColumn("kind", F.when((F.col("state") % 2) == 1, HASH).otherwise(F.col("kind")))
 
-def _chunk_states(lines: DataFrame, kind: Column, number: Column, thread: Column) -> DataFrame:
-    """Result lines and the last line of each chunk, with the state there for both ways a chunk can begin.
 
-    The state depends on what a chunk inherits only by one bit, whether an odd number of version
-    lines ends right before it, so both answers (``_0`` and ``_1``) are computed side by side in
-    one sorted pass.  What is left goes through one small shuffle, which every later use shares.
-    """
-    in_chunk = Window.partitionBy(*CHUNK).orderBy("pos")
-    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    looks = F.col("kind")
-    is_version = looks == VERSION
-    cut = lines.select(
-        F.coalesce("file", F.lit("")).alias("file"), F.coalesce("chunk", F.lit(0)).alias("chunk"), "pos", kind.alias("kind"), "value")
-    cut = cut.select(*CHUNK, "pos", "kind", F.when(looks.isin(NARROW, WIDE), F.col("value")).alias("word"),
-                     F.when(looks == RESULT, thread).alias("thread"), F.when(looks == RESULT, number).alias("result"))
-    rows = cut.select("*", F.sum(is_version.cast("long")).over(so_far).alias("versions"),
-                      F.coalesce(F.sum((~is_version).cast("long")).over(earlier), F.lit(0)).alias("others"),
-                      F.lead("pos").over(in_chunk).isNull().alias("ends"))
-    rows = rows.select("*", F.last(F.when(~is_version, F.col("versions")), ignorenulls=True).over(earlier).alias("at_other"))
-    run = F.col("versions") - is_version.cast("long") - F.coalesce("at_other", F.lit(0))
-    rows = rows.withColumns({"run": run, "leads": F.col("others") == 0})
-    rows = rows.withColumns({f"kind_{p}": F.when(_odd(F.col("run") + (F.col("leads").cast("long") * p)), HASH).otherwise(looks) for p in (0, 1)})
-    rows = rows.select("*", *[F.sum((F.col(f"kind_{p}") == WIDE).cast("long")).over(so_far).alias(f"toggles_{p}") for p in (0, 1)])
-    mark = lambda p: F.when(F.col(f"kind_{p}").isin(NARROW, OTHER), F.col(f"toggles_{p}") - (F.col(f"kind_{p}") == NARROW).cast("long"))
-    word = lambda p: F.when(F.col(f"kind_{p}").isin(NARROW, WIDE), F.col("word"))
-    rows = rows.select("*", *[F.last(f(p), ignorenulls=True).over(earlier).alias(f"{n}_{p}") for p in (0, 1) for n, f in (("set", mark), ("name", word))])
-    kept = rows.where(F.col("ends") | (looks == RESULT)).select(
-        *CHUNK, "pos", "ends", "thread", "result", "versions",
-        (F.when(is_version, F.col("run") + 1).otherwise(0)).alias("tail"), (F.col("leads") & is_version).alias("through"),
-        *[F.col(f"{n}_{p}") for p in (0, 1) for n in ("toggles", "set", "name")],
-        *[(F.col(f"kind_{p}") == RESULT).alias(f"is_result_{p}") for p in (0, 1)],
-        *[F.coalesce(f(p), F.col(f"{n}_{p}")).alias(f"end_{n}_{p}") for p in (0, 1) for n, f in (("set", mark), ("name", word))])
-    shared = kept.repartition(*CHUNK)
-    return shared.select(F.inline(F.array(F.struct(*kept.columns))))  # keeps filters above the shuffle
-
-
-def _inherited(states: DataFrame) -> DataFrame:
-    """Per chunk, from the last lines of the chunks before it: ``odd, in_toggles, in_set, in_name``."""
-    by_chunk = Window.partitionBy("file").orderBy("chunk")
-    so_far = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
-    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    ends = states.where("ends").withColumn("all_versions", F.sum("versions").over(so_far))
-    known = F.when(~F.col("through"), F.col("all_versions") - F.col("tail"))
-    ends = ends.withColumn("base", F.last(known, ignorenulls=True).over(before))
-    ends = ends.withColumn("odd", _odd(F.col("all_versions") - F.col("versions") - F.coalesce("base", F.lit(0))))
-    pick = lambda name: F.when(F.col("odd"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
-    ends = ends.select(*CHUNK, "odd", pick("toggles").alias("toggles"), pick("end_set").alias("set"), pick("end_name").alias("name"))
-    ends = ends.withColumn("in_toggles", F.coalesce(F.sum("toggles").over(before), F.lit(0)))
-    return ends.select(*CHUNK, "odd", "in_toggles", F.last(F.col("in_toggles") + F.col("set"), ignorenulls=True).over(before).alias("in_set"),
-                       F.last("name", ignorenulls=True).over(before).alias("in_name"))
+def samples_of(walked: DataFrame) -> DataFrame:
+    return walked.where(F.col("kind") == RESULT).select(*CHUNK, "pos", "name", "thread", "result")
 
 
 def perf_samples(lines: DataFrame, version_line: str = VERSION_LINE, client_lines: bool = True,
                  strict: bool = False) -> DataFrame:
-    """``file, chunk, pos, name, thread, result``, one row per result line that has a name.
-
-    ``strict`` fails on a result that is no number; otherwise it is NULL.
-    """
-    field = lambda i: F.regexp_extract("value", RESULT_FIELDS, i)
-    number = field(2).cast("double") if strict else field(2).try_cast("double")
-    states = _chunk_states(lines, _line_kind(version_line, client_lines), number, field(1).try_cast("int"))
-    joined = states.join(_inherited(states), CHUNK)
-    pick = lambda name: F.when(F.col("odd"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
-    since_set = F.col("in_toggles") + pick("toggles") - F.coalesce(F.col("in_toggles") + pick("set"), F.col("in_set"), F.lit(0))
-    return joined.where(pick("is_result") & _odd(since_set)).select(
-        *CHUNK, "pos", F.coalesce(pick("name"), F.col("in_name")).alias("name"), "thread", "result")
+    """``file, chunk, pos, name, thread, result``, one row per result line that has a name."""
+    return samples_of(perf_lines(lines, version_line, client_lines, strict))
 
 
 def perf_log_info(lines: DataFrame, strict: bool = False) -> DataFrame:
@@ -137,7 +94,12 @@ def perf_log_info(lines: DataFrame, strict: bool = False) -> DataFrame:
 
     ``strict`` fails when a file names two versions.
     """
-    head = classify(lines).where(F.col("kind").isin(CLIENT, VERSION, HASH))
+    return info_of(perf_lines(lines), strict)
+
+
+def info_of(walked: DataFrame, strict: bool = False) -> DataFrame:
+    """The same from lines that were walked."""
+    head = walked.where(F.col("kind").isin(CLIENT, VERSION, HASH))
     at = lambda k, by: F.when(F.col("kind") == k, F.col(by))
     per_chunk = head.groupBy("file", "chunk").agg(
         F.min_by("value", at(VERSION, "pos")).alias("version"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.operators.carry import running
+from opslens.operators.automaton import CHUNK, Machine, run
 
 # Fixed values of the capture format.
 HEADER = "%usr %system  %guest    %CPU"
@@ -20,21 +20,30 @@ THREAD_COLUMNS = {"cswch": "cswch/s", "nvcswch": "nvcswch/s"}
 FIRST_SAMPLE, TAIL_SAMPLES = 10, 10
 
 
+class Blocks(Machine):
+    """State: 1 behind a header, where the process row stands; 2 inside a block."""
+    states = 4
+    texts = ("header",)
+    counts = ("sample",)
+    reads = ("value",)
+
+    def step(self, state: int, memory: list, value: str) -> tuple[int, bool]:
+        if HEADER in value:
+            memory[0] = value
+            memory[1] += 1
+            return 3, False
+        if value == "":
+            return 0, False
+        return state & 2, state != 0
+
+
 def _block_lines(lines: DataFrame) -> DataFrame:
-    is_header = F.col("value").contains(HEADER)
-    walked = running(
-        lines.select("file", "chunk", "pos", "value"),
-        counts={"sample": is_header},
-        lasts={"header": F.when(is_header, F.col("value")),
-               "open": F.when(is_header, True).when(F.col("value") == "", False),
-               "after_header": is_header},
-        totals=True,
-    )
+    walked = run(lines.select(*CHUNK, "pos", "value"), Blocks(), ["value"], totals=True)
     kept = (F.col("sample") >= FIRST_SAMPLE) & (F.col("sample") < F.col("total_sample") - TAIL_SAMPLES)
-    in_block = (walked.where(kept & ~is_header & (F.col("value") != "") & (F.col("open") | F.col("after_header")))
-                .withColumn("names", F.split(F.trim("header"), r"\s+"))
-                .withColumn("fields", F.split(F.trim("value"), r"\s+")))
-    return in_block
+    return (walked.where(kept)
+            .withColumn("after_header", F.col("state").bitwiseAND(F.lit(1)) == 1)
+            .withColumn("names", F.split(F.trim("header"), r"\s+"))
+            .withColumn("fields", F.split(F.trim("value"), r"\s+")))
 
 
 def _field(name: str):
