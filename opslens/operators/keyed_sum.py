@@ -48,9 +48,11 @@ class StoredTotals:
     another one is refused.
     """
 
-    def __init__(self, spark: SparkSession, path: str, reducer: str = "sum"):
-        merging(reducer)
-        self.spark, self.path, self.reducer = spark, path, reducer
+    def __init__(self, spark: SparkSession, path: str, reducer: str = "sum", fold: Callable[[DataFrame], DataFrame] | None = None):
+        """``fold`` makes one row for each key out of several; it gives ``reducer``, then any name, its meaning."""
+        if fold is None:
+            merging(reducer)
+        self.spark, self.path, self.reducer, self.fold = spark, path, reducer, fold
 
     def merge(self, totals: DataFrame, batch: int, job: str = "main") -> None:
         totals.write.mode("overwrite").parquet(f"{self.path}/reducer={self.reducer}/job={job}/batch={batch}")
@@ -60,10 +62,11 @@ class StoredTotals:
         other = [r[0] for r in stored.select("reducer").distinct().collect() if r[0] != self.reducer]
         if other:
             raise ValueError(f"{self.path} holds results of {', '.join(other)}, not of {self.reducer}")
-        return merge_totals(stored.select(KEY, VALUE), reducer=self.reducer)
+        totals = stored.select(KEY, VALUE)
+        return merge_totals(totals, reducer=self.reducer) if self.fold is None else self.fold(totals)
 
     def compact(self, path: str) -> StoredTotals:
         """The same totals in a new folder; they have a job name that no other job takes."""
-        compacted = StoredTotals(self.spark, path, self.reducer)
+        compacted = StoredTotals(self.spark, path, self.reducer, self.fold)
         compacted.merge(self.read(), 0, job=f"compacted-{uuid.uuid4().hex}")
         return compacted
