@@ -1,17 +1,14 @@
 """Canonical shape of a predicate: keys in order, values left out.
 
-Values are blanked on the JVM side first (``predicates.skeleton``), so the Python helper
-sees few distinct texts; it works once per distinct text of an Arrow batch and remembers
-the answers for the rest of its task.
+Values are blanked first (``predicates.skeleton``), so reports see few distinct texts.  The shape is then built by one
+column expression: a fold over the tokens of the document whose state is the stack of open documents and lists, so there is
+no limit on nesting and nothing leaves the engine.
 """
 
 from __future__ import annotations
 
-import sys
-from functools import cache
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,91 +20,87 @@ KEPT_TOP_KEYS = {"query": "$query", "orderby": "$orderby"}
 FIELD = ":fieldname"
 NO_DOCUMENT = ["COLLSCAN", "EOF"]
 
-REMEMBERED = 1 << 16
-
-
-def _sort_name(key: str) -> str:
-    return key.replace("_id", "ID").replace("$", "OP_")
-
-
-def _label(name: str, top: bool) -> str:
-    if len(name) > 3 and name.startswith("OP_"):
-        return ":$" + name.replace("OP_", "")
-    if top and name in KEPT_TOP_KEYS:
-        return KEPT_TOP_KEYS[name]
-    return KEPT_KEYS.get(name, FIELD)
-
-
-def canonical_shape(text: str) -> str:
-    """Shape of one blanked document, built while its brackets open and close."""
-    open_docs: list[dict] = []
-    result = "#"
-
-    def add(shape: str | None, brackets: str) -> None:
-        nonlocal result
-        if not open_docs:
-            result = "#" if shape is None else shape
-            return
-        parent = open_docs[-1]
-        if parent["list"]:
-            parent["items"].append(shape if brackets == "<>" else "#")
-            return
-        name = parent["key"]
-        if name is None:
-            return
-        body = ""
-        if brackets == "<>" or (brackets == "[]" and name != "OP_in"):
-            body = brackets[0] + shape + brackets[1]
-        parent["fields"][name] = _label(name, len(open_docs) == 1) + body
-
-    for token in text.split():
-        bare = token.rstrip(",")
-        if bare in ("{", "["):
-            open_docs.append({"list": bare == "[", "items": [], "fields": {}, "key": None})
-        elif bare in ("}", "]"):
-            if not open_docs:
-                break
-            done = open_docs.pop()
-            if done["list"]:
-                add("".join(done["items"]), "[]")
-            else:
-                add("".join(done["fields"][name] for name in sorted(done["fields"])), "<>")
-        elif bare in ("{}", "[]"):
-            add("", "<>" if bare == "{}" else "[]")
-        elif bare.endswith(":") and open_docs:
-            open_docs[-1]["key"] = _sort_name(bare[:-1])
-        else:
-            add(None, "")
-    return result
-
-
-def _make_shapes():
-    known: dict[str, str] = {}
-
-    def shapes(texts: pd.Series) -> pd.Series:
-        codes, distinct = pd.factorize(texts)
-        if len(known) > REMEMBERED:
-            known.clear()
-        for text in distinct:
-            if text not in known:
-                known[text] = canonical_shape(text)
-        found = [known[text] for text in distinct] + [None]
-        return pd.Series([found[code] for code in codes], dtype=object)
-
-    return shapes
-
-
-# Workers get the helper with the query, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-@cache
-def _shape_udf():
-    return F.pandas_udf(_make_shapes(), "string")
+PARTS = "array<struct<name: string, text: string>>"
+# An open list keeps the shapes of its items as one text, an open document those of its fields by name.
+FRAME = f"struct<list: boolean, key: string, items: string, parts: {PARTS}>"
+STATE = f"struct<stack: array<{FRAME}>, result: string, over: boolean>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sort_name(key: Column) -> Column:
+    return F.replace(F.replace(key, F.lit("_id"), F.lit("ID")), F.lit("$"), F.lit("OP_"))
+
+
+def _one_of(names: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+
+def _label(name: Column, top: Column) -> Column:
+    operator = F.concat(F.lit(":$"), F.replace(name, F.lit("OP_"), F.lit("")))
+    kept = F.coalesce(F.when(top, F.try_element_at(_one_of(KEPT_TOP_KEYS), name)), F.try_element_at(_one_of(KEPT_KEYS), name), F.lit(FIELD))
+    return F.when((F.length(name) > 3) & name.startswith("OP_"), operator).otherwise(kept)
+
+
+def _with_top(stack: Column, frame: Column) -> Column:
+    return F.concat(F.slice(stack, 1, F.size(stack) - 1), F.array(frame.cast(FRAME)))
+
+
+def _added(stack: Column, result: Column, shape: Column, brackets: Column) -> Column:
+    """The state after a value: a document, a list, or a scalar, whose ``shape`` is NULL."""
+    def into(top: Column) -> Column:
+        item = F.when(brackets == "<>", shape).otherwise("#")
+        body = F.when((brackets == "<>") | ((brackets == "[]") & (top["key"] != "OP_in")), F.concat(F.substring(brackets, 1, 1), shape, F.substring(brackets, 2, 1))).otherwise("")
+        named = F.concat(_label(top["key"], F.size(stack) == 1), body)
+        # A key that comes again replaces the value it had.
+        others = F.filter(top["parts"], lambda p: p["name"] != top["key"])
+        part = F.array(F.struct(top["key"].alias("name"), named.alias("text"))).cast(PARTS)
+        parts = F.when(top["list"] | top["key"].isNull(), top["parts"]).otherwise(F.concat(others, part))
+        items = F.when(top["list"], F.concat(top["items"], item)).otherwise(top["items"])
+        frame = F.struct(top["list"].alias("list"), top["key"].alias("key"), items.alias("items"), parts.alias("parts"))
+        return F.struct(_with_top(stack, frame).alias("stack"), result.alias("result"), F.lit(False).alias("over")).cast(STATE)
+
+    alone = F.struct(stack.alias("stack"), F.coalesce(shape, F.lit("#")).alias("result"), F.lit(False).alias("over")).cast(STATE)
+    return F.when(F.size(stack) == 0, alone).otherwise(_let(F.get(stack, F.size(stack) - 1), into))
+
+
+def _closed(acc: Column) -> Column:
+    def into(top: Column) -> Column:
+        fields = F.array_join(F.transform(F.array_sort(top["parts"]), lambda p: p["text"]), "")
+        text = F.when(top["list"], top["items"]).otherwise(fields)
+        below = F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1)
+        closed = F.struct(below.alias("stack"), text.alias("shape"), F.when(top["list"], "[]").otherwise("<>").alias("brackets"))
+        return _let(closed, lambda c: _added(c["stack"], acc["result"], c["shape"], c["brackets"]))
+
+    return _let(F.get(acc["stack"], F.size(acc["stack"]) - 1), into)
+
+
+def _step(acc: Column, token: Column) -> Column:
+    def read(bare: Column) -> Column:
+        is_open = F.size(acc["stack"]) > 0
+        frame = F.struct((bare == "[").alias("list"), F.lit(None).cast("string").alias("key"), F.lit("").alias("items"), F.array().cast(PARTS).alias("parts")).cast(FRAME)
+        state = lambda stack, over=False: F.struct(stack.alias("stack"), acc["result"].alias("result"), F.lit(over).alias("over")).cast(STATE)
+        keyed = _let(F.get(acc["stack"], F.size(acc["stack"]) - 1), lambda top: _with_top(acc["stack"], F.struct(
+            top["list"].alias("list"), _sort_name(F.substring(bare, F.lit(1), F.length(bare) - 1)).alias("key"), top["items"].alias("items"), top["parts"].alias("parts"))))
+        empty = F.when(bare == "{}", "<>").otherwise("[]")
+        return (F.when(acc["over"], acc)
+                .when(bare.isin("{", "["), state(F.concat(acc["stack"], F.array(frame))))
+                .when(bare.isin("}", "]"), F.when(is_open, _closed(acc)).otherwise(state(acc["stack"], over=True)))
+                .when(bare.isin("{}", "[]"), _added(acc["stack"], acc["result"], F.lit(""), empty))
+                .when(bare.endswith(":") & is_open, state(keyed))
+                .otherwise(_added(acc["stack"], acc["result"], F.lit(None).cast("string"), F.lit(""))))
+
+    return _let(F.rtrim(token, F.lit(",")), read)
 
 
 def shape_of_skeleton(text: Column) -> Column:
-    return _shape_udf()(text)
+    """Canonical shape of a blanked document; ``#`` for a text that is none."""
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    start = F.struct(F.array().cast(f"array<{FRAME}>").alias("stack"), F.lit("#").alias("result"), F.lit(False).alias("over")).cast(STATE)
+    return F.when(text.isNotNull(), F.aggregate(tokens, start, _step, lambda acc: acc["result"]))
 
 
 def shape_of(text: Column) -> Column:

@@ -14,7 +14,8 @@ PLAN_MARK = "planSummary:"
 PLAN = "(?:^| )planSummary: ([^ ]*)"
 UPDATE_OPERATORS = ["inc", "set", "pull"]
 
-FIELDS = ["ts", "epoch", "conn", "op", "ns", "cmd", "q_text", "update_text", "q_plan", "no_document"]
+CHEAP = ["ts", "epoch", "conn", "op", "ns", "cmd"]
+DOCUMENTS = ["q_text", "update_text", "q_plan", "no_document"]
 
 
 def parse_dblog(lines: DataFrame, strict_reference: bool = False, where: Column | None = None) -> DataFrame:
@@ -25,6 +26,8 @@ def parse_dblog(lines: DataFrame, strict_reference: bool = False, where: Column
     without a readable document, where only the documents are NULL.  ``strict_reference`` also
     counts documents that hold a string with a blank as errors, as token-wise quoting does.
 
+    ``skipped`` marks lines that are no operation, and needs no look at documents, which ``parse_status`` does.
+
     ``where`` is a condition on ``ts``, ``epoch``, ``conn``, ``op`` and ``ns``; it is tested
     before any pattern looks for documents.
     """
@@ -46,37 +49,38 @@ def parse_dblog(lines: DataFrame, strict_reference: bool = False, where: Column
     )
     if where is not None:
         cheap = cheap.where(where)
-    read = cheap.select(
-        "file", "chunk", "pos", "value", "op0", "ts", "epoch", "conn", "op", "ns",
-        F.when(is_op("command"), F.col("word5")).alias("cmd"),
-        F.when(is_op("query", "update"), predicates.predicate_text(rest)).alias("q_text"),
-        F.when(is_op("update"), predicates.update_text(rest)).alias("update_text"),
-        F.when(has_plan, F.nullif(F.regexp_extract(rest, PLAN, 1), F.lit(""))).alias("q_plan"),
-        F.when(is_op("query") & F.col("word5").isin(*shapes.NO_DOCUMENT), F.col("word5")).alias("no_document"),
+    # What is cheap goes through a generated row, so that later filters on it do not run its patterns once more below.
+    # Documents are plain columns above that row: only a query that asks for one looks for them.
+    known = F.coalesce(is_op(*OPERATIONS), F.lit(False))
+    state = F.when(~known, "skipped").when(F.col("epoch").isNull(), "error").otherwise("ok")
+    fields = {name: F.col(name) for name in CHEAP if name != "cmd"} | {"cmd": F.when(is_op("command"), F.col("word5"))}
+    kept = [F.when(known & F.col("epoch").isNotNull(), value).alias(name) for name, value in fields.items()]
+    row = cheap.select("file", "chunk", "pos", "value", F.inline(F.array(F.struct(
+        *kept, state.alias("state"), F.col("rest").alias("rest"), F.col("word5").alias("word5"), has_plan.alias("has_plan")))))
+    read = row.select(
+        "file", "chunk", "pos", F.col("value").alias("raw"), *CHEAP, "state",
+        F.when(F.col("op").isin("query", "update"), predicates.predicate_text(rest)).alias("q_text"),
+        F.when(F.col("op") == "update", predicates.update_text(rest)).alias("update_text"),
+        F.when(F.col("has_plan") & (F.col("state") == "ok"), F.nullif(F.regexp_extract(rest, PLAN, 1), F.lit(""))).alias("q_plan"),
+        F.when((F.col("op") == "query") & F.col("word5").isin(*shapes.NO_DOCUMENT), F.col("word5")).alias("no_document"),
     )
-    broken = F.col("epoch").isNull()
     unreadable = (
-        (is_op("query") & F.col("q_text").isNull() & F.col("no_document").isNull())
-        | (is_op("update") & F.col("update_text").isNull())
-    )
-    if strict_reference:
-        spaced = lambda name: F.coalesce(predicates.has_spaced_string(F.col(name)), F.lit(False))
-        broken = broken | spaced("q_text") | spaced("update_text")
-    status = (
-        F.when(~F.coalesce(is_op(*OPERATIONS), F.lit(False)), "skipped")
-        .when(broken, "error").when(unreadable, "unreadable").otherwise("ok")
+        ((F.col("op") == "query") & F.col("q_text").isNull() & F.col("no_document").isNull())
+        | ((F.col("op") == "update") & F.col("update_text").isNull())
     )
-    judged = read.withColumn("parse_status", status)
-    kept = [F.when(F.col("parse_status").isin("ok", "unreadable"), F.col(name)).alias(name) for name in FIELDS]
-    # The generated row keeps later filters above the parse, so that a filter on ``op`` does
-    # not evaluate the patterns once more below it.
-    return judged.select("file", "chunk", "pos", F.col("value").alias("raw"),
-                         F.inline(F.array(F.struct(*kept, "parse_status"))))
+    skipped = (F.col("state") == "skipped").alias("skipped")
+    status = F.when(F.col("state") != "ok", F.col("state")).when(unreadable, "unreadable").otherwise("ok")
+    if not strict_reference:
+        return read.select("file", "chunk", "pos", "raw", *CHEAP, *DOCUMENTS, skipped, status.alias("parse_status"))
+    spaced = lambda name: F.coalesce(predicates.has_spaced_string(F.col(name)), F.lit(False))
+    broken = (F.col("state") == "ok") & (spaced("q_text") | spaced("update_text"))
+    strict = F.when(broken, "error").otherwise(status)
+    return read.select("file", "chunk", "pos", "raw", *[F.when(~broken, F.col(name)).alias(name) for name in [*CHEAP, *DOCUMENTS]], skipped, strict.alias("parse_status"))
 
 
 def parsed_or_failed(events: DataFrame) -> DataFrame:
     """Leaves out only the lines that are no operation."""
-    return events.where(F.col("parse_status") != "skipped")
+    return events.where(~F.col("skipped"))
 
 
 def document_json(text: Column, no_document: Column) -> Column:
