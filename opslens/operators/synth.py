@@ -7,6 +7,8 @@ come from a hash of the row id, so a lost task makes the same rows again.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +16,26 @@ from pyspark.sql import functions as F
 RANDOM_LIMIT = 1000
 OTHER_VECTOR = 10001
 STAGING_LIMIT = 1_000_000
+# A prime and a multiplier whose products stay below 2 ** 63.
+PRIME = (1 << 31) - 1
+MULTIPLIER = 48271
+
+
+def _hash(*parts: Column | str | int) -> Column:
+    """A whole number below ``PRIME`` from numbers and names, in arithmetic that other engines have as well."""
+    h = F.lit(1).cast("bigint")
+    for part in parts:
+        n = F.pmod(part.cast("bigint"), F.lit(PRIME)) if isinstance(part, Column) else F.lit(name_number(part))
+        h = (h * MULTIPLIER + n) % PRIME
+    return (h * h + h * MULTIPLIER + 11) % PRIME
 
 
-def _hash(*parts: Column) -> Column:
-    """A whole number below 2^52 from the digest of the parts, which other engines compute as well."""
-    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+def name_number(part: str | int) -> int:
+    return (zlib.crc32(part.encode()) if isinstance(part, str) else part) % PRIME
 
 
 def _random_int(n: Column, field: str, seed: int, limit: int) -> Column:
-    return _hash(n, F.lit(field), F.lit(seed)) % limit
+    return _hash(n, field, seed) % limit
 
 
 def value_for(kind, n: Column, field: str, seed: int, query: bool = False) -> Column:
@@ -34,7 +46,7 @@ def value_for(kind, n: Column, field: str, seed: int, query: bool = False) -> Co
             value = _random_int(n, field, seed, RANDOM_LIMIT)
             return F.struct(value.alias("$lte")) if query and "lte" in kind else value
         if "rand" in kind:
-            return _random_int(n, field, seed, 1 << 52) / float(1 << 52) * RANDOM_LIMIT
+            return (_hash(n, field, seed) + _hash(n, field, seed + 1) / float(PRIME)) / float(PRIME) * RANDOM_LIMIT
         return F.lit(OTHER_VECTOR)
     if kind == "ObjectId":
         return F.concat(F.lit("ObjectId("), n.cast("string"), F.lit(")"))
@@ -65,7 +77,7 @@ def staging_rows(uids: DataFrame, uid: str, statuses: int = 5, writers: int = 10
     """``uid, status, writer, amount``: every writer adds every status for every uid."""
     rows = uids.select(F.col(uid).alias("uid"), F.explode(F.sequence(F.lit(0), F.lit(writers - 1))).alias("writer"))
     rows = rows.select("uid", "writer", F.explode(F.sequence(F.lit(0), F.lit(statuses - 1))).alias("status"))
-    amount = _hash(F.col("uid"), F.col("writer"), F.col("status"), F.lit(seed)) % STAGING_LIMIT
+    amount = _hash(F.col("uid"), F.col("writer"), F.col("status"), seed) % STAGING_LIMIT
     return rows.withColumn("amount", amount)
 
 

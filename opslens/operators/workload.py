@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.functions import predicates, shapes
@@ -47,12 +47,15 @@ def ops_per_second_by_op(events: DataFrame, first: int | None = None, per_series
     if first is None:
         pairs = F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"{s}_ops").alias("n")) for s in series])
         return table.select("epoch", F.inline(pairs)).where("n > 0")
-    # One bounded sort per series: a window would hold all seconds of a series in one task.  The
-    # generated row keeps the aggregation the same for all of them, so that it runs once.
-    shared = table.select(F.inline(F.array(F.struct(*table.columns))))
-    tops = [shared.where(F.col(f"{s}_ops") > 0).select("epoch", F.lit(s).alias("series"), F.col(f"{s}_ops").alias("n"))
-            .orderBy("epoch").limit(first) for s in series]
-    return reduce(DataFrame.unionAll, tops)
+    pairs = F.array(*[F.struct(F.lit(s).alias("series"), F.col("all_ops" if s == "all" else f"{s}_ops").alias("n")) for s in series])
+    rows = table.select("epoch", F.inline(pairs)).where("n > 0")
+    if first <= int(events.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        # Every task hands on its first seconds of each series only, so no series is gathered whole.
+        in_series = Window.partitionBy("series").orderBy("epoch")
+        return rows.withColumn("rank", F.row_number().over(in_series)).where(F.col("rank") <= first).select("epoch", "series", "n")
+    # Beyond the size that a window can be limited to: one bounded sort for each series.
+    shared = rows.select(F.inline(F.array(F.struct("epoch", "series", "n"))))
+    return reduce(DataFrame.unionAll, [shared.where(F.col("series") == s).orderBy("epoch").limit(first) for s in series])
 
 
 def op_counts(events: DataFrame) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslens.sources.growing import located
+
 PAGE_SAMPLES = 10_000
 
 
@@ -97,3 +103,135 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 def json_text(reports: DataFrame) -> DataFrame:
     return reports.select("run", F.to_json(F.struct(*[c for c in reports.columns if c != "run"])).alias("report"))
+
+
+# ---------------------------------------------------------------- whole documents, series included
+
+# Fixed values of the report format: roles of servers, and the names that series have in a document.
+ROLES = ["mongod", "mongos", "config"]
+SERVER_SERIES = {"ts": "ts", "cpu": "cpu", "mem": "mem", "kb_rd": "kB_rd", "kb_wr": "kB_wr", "cswch": "cswch", "nvcswch": "nvcswch"}
+PROCESS = "process "
+HISTORY = ["History", "HistoryResponseTime"]
+
+
+def with_test_bed(reports: DataFrame, kinds: DataFrame, servers: DataFrame) -> DataFrame:
+    """Adds ``testbed``: the kind of set-up of a run and its servers by role.
+
+    ``kinds`` has ``run, type``, ``servers`` has ``run, role, server, host, build, storage_engine``.  A run has a handful of servers.
+    """
+    described = F.struct("server", F.col("host").alias("hostinfo"), F.col("build").alias("serverBuildInfo"), F.struct(F.col("storage_engine").alias("name")).alias("storageEngine"))
+    role = lambda name: F.array_sort(F.collect_list(F.when(F.col("role") == name, described)), lambda a, b: F.when(a["server"] < b["server"], -1).when(a["server"] > b["server"], 1).otherwise(0))
+    by_run = servers.groupBy("run").agg(*[role(name).alias(name) for name in ROLES])
+    beds = kinds.join(by_run, "run", "left").select("run", F.struct("type", F.struct(*ROLES).alias("servers")).alias("testbed"))
+    return reports.join(beds, "run", "left")
+
+
+def _numbers(values: Column) -> Column:
+    return F.array_join(F.transform(values, lambda v: F.coalesce(v.cast("string"), F.lit("null"))), ",")
+
+
+def document_pieces(reports: DataFrame, history: DataFrame | None = None, servers: DataFrame | None = None, processes: DataFrame | None = None) -> DataFrame:
+    """The texts that documents are made of: ``run, part, server, field, page, text``, in an order that can be sorted.
+
+    ``history``    pages of ``series_pages`` under the run's name: ``file, page, part`` and one or two arrays
+    ``servers``    pages of ``server_pages(run=...)``
+    ``processes``  ``run, server, process``
+    """
+    empty, zero = F.lit(""), F.lit(0).cast("bigint")
+    body = F.to_json(F.struct(*[c for c in reports.columns if c != "run"]))
+    pieces = reports.select("run", F.lit(0).alias("part"), empty.alias("server"), empty.alias("field"), zero.alias("page"), zero.alias("nth"), body.alias("text"))
+    if history is not None:
+        names = [c for c in history.columns if c not in ("file", "page", "part")]
+        listed = F.array(*[F.struct(F.lit(title).alias("field"), _numbers(F.col(c)).alias("text")) for title, c in zip(HISTORY, names)])
+        pieces = pieces.unionAll(history.select(F.col("file").alias("run"), F.lit(1), empty, F.col("page").cast("bigint"), F.col("part").cast("bigint"), F.inline(listed)).select(
+            "run", F.lit(1), empty, "field", "page", "part", "text"))
+    if servers is not None:
+        listed = F.array(*[F.struct(F.lit(f"{i}{title}").alias("field"), _numbers(F.col(c)).alias("text")) for i, (c, title) in enumerate(SERVER_SERIES.items(), 1)])
+        pieces = pieces.unionAll(servers.select("run", "server", F.col("page").cast("bigint").alias("page"), F.inline(listed)).select(
+            "run", F.lit(2), "server", "field", "page", zero, "text"))
+    if processes is not None:
+        pieces = pieces.unionAll(processes.select("run", F.lit(2), "server", F.lit(f"0{PROCESS}"), zero, zero, F.to_json(F.struct(F.col("process").alias("p")))))
+    return pieces
+
+
+class _Document:
+    """One document, written piece by piece."""
+
+    def __init__(self, out):
+        self.out, self.at, self.size, self.body = out, (None, None, None), 0, False
+
+    def write(self, text: str) -> None:
+        raw = text.encode()
+        self.out.write(raw)
+        self.size += len(raw)
+
+    def close_field(self, part: int | None, server: str | None) -> None:
+        if self.at[2]:
+            self.write("]")
+        if self.at[0] == 2 and (part, server) != self.at[:2]:
+            self.write("}" if part == 2 else "}}")
+
+    def add(self, part: int, server: str, field: str, text: str) -> None:
+        if part == 0:
+            self.write(text[:-1])
+            self.body = text != "{}"
+            return
+        if (part, server, field) == self.at:
+            self.write("," + text)
+            return
+        self.close_field(part, server)
+        before, self.at = self.at, (part, server, field)
+        if part == 1:
+            self.write(("," if self.body else "") + json.dumps(field) + ":[" + text)
+            self.body = True
+            return
+        if before[0] != 2:
+            self.write((',' if self.body else '') + '"server_stats":{')
+            self.body = True
+        new = (part, server) != before[:2]
+        if new:
+            self.write(("," if before[0] == 2 else "") + json.dumps(server) + ":{")
+        name = field[1:]
+        self.write("" if new else ",")
+        if name == PROCESS:
+            self.write(json.dumps(name) + ":" + json.dumps(json.loads(text).get("p")))
+            self.at = (part, server, "")
+        else:
+            self.write(json.dumps(name) + ":[" + text)
+
+    def close(self) -> int:
+        self.close_field(None, None)
+        self.write("}\n")
+        self.out.close()
+        return self.size
+
+
+def write_run_documents(pieces: DataFrame, path: str) -> DataFrame:
+    """Writes one JSON document for each run to ``<path>/<run>.json`` and gives ``run, file, bytes``.
+
+    The pieces of a run come to one task in order, which writes them as they come: a document is one file, but at no
+    time is more than one page of it held.  A task that is run again writes the same file again.
+    """
+    def work(batches):
+        document, run, name, rows = None, None, None, []
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("run", "part", "server", "field", "text"))):
+                if document is None or row[0] != run:
+                    if document is not None:
+                        rows.append((run, name, document.close()))
+                    run = row[0]
+                    system, plain = located(f"{path}/{quote(run, safe=' ()+,=@')}.json")
+                    system.create_dir(plain.rsplit("/", 1)[0])
+                    name, document = plain, _Document(system.open_output_stream(plain))
+                document.add(*row[1:])
+        if document is not None:
+            rows.append((run, name, document.close()))
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["run", "file", "bytes"])
+
+    # Series of runs without a report have no document.
+    known = pieces.where("part = 0").select("run")
+    order = ["run", "part", "server", "field", "page", "nth"]
+    ordered = pieces.join(known, "run", "left_semi").repartition("run").sortWithinPartitions(*order)
+    written = ordered.select("run", "part", "server", "field", "text").mapInArrow(work, "run string, file string, bytes long")
+    return pieces.sparkSession.createDataFrame(written.collect(), written.schema)  # one row for each document

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslens.session import scratch_dir
+
 # Fixed values of the table formats.
 TEXT_HEADER = ["benchmark", "old ns/op", "new ns/op", "delta"]
 WIKI_HEADER = ["||benchmark", "||baseline ns/op", "||cv baseline", "||new ns/op", "||cv new", "||delta|"]
@@ -50,8 +52,11 @@ def tab_lines(cells: DataFrame) -> DataFrame:
 def aligned_lines(cells: DataFrame, header: list[str]) -> DataFrame:
     """Header and rows with cells padded to the widest cell of their column.
 
-    The widths are one row, taken by a scalar subquery.  The last cell of a row is not padded.
+    Cells are written first, so that taking the widths does not compute them a second time.  The last cell of a row is not padded.
     """
+    path = scratch_dir(cells.sparkSession, "cells")
+    cells.select("key", "cells").write.parquet(path)
+    cells = cells.sparkSession.read.parquet(path)
     columns = len(header)
     cell = lambda i: F.get("cells", F.lit(i))
     padded = lambda i: F.size("cells") > i + 1
