@@ -6,18 +6,20 @@ from the table columns alone.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.operators import changes, counters, http, keyed_sum, perf, runs, synth, workload
+from opslens.operators import changes, counters, http, keyed_sum, perf, runs, synth, user_reduce, workload
 from opslens.plans import render
 from opslens.session import scratch_dir
-from opslens.sinks import report, tables
+from opslens.sinks import report, rollups, tables
 from opslens.sinks import events as event_store
 from opslens.sources import access, captures, csv_tail, dblog, oplog, perf_log, pidstat, shell_json
+from opslens.sources.growing import follow_growing, prefix_lines
 from opslens.sources.lines import first_lines, log_lines
 from opslens.streaming import jobs
 
@@ -266,6 +268,38 @@ def stored_query_shapes(spark, sf_dir):
     return _with_first_event(workload.query_shapes(stored_events(spark, numbered, ns="shop1.views", ops=["query"])), " #([0-9]+)$")
 
 
+def rolled_up(spark, sf_dir):
+    """Three logs loaded under their names, one of them twice."""
+    path = scratch_dir(spark, "rollups")
+    logs = render.dblog(spark, sf_dir, file=render.text("log-", F.col("user_id") % 3))
+    for load in ("log-0", "log-1", "log-2", "log-1"):
+        rollups.load_events(dblog.parse_dblog(logs.where(F.col("file") == load)), path, load)
+    return path
+
+
+@query("rollup_ns_load", EV + "SELECT ns, op_read, count(*) AS n FROM log WHERE parse_status <> 'skipped' GROUP BY ns, op_read")
+def rollup_ns_load(spark, sf_dir):
+    """Namespace load from stored partial counts; no event is read."""
+    return rollups.kind_counts(spark, rolled_up(spark, sf_dir), "ns", "op_read")
+
+
+@query("rollup_db_days", EV + """
+SELECT db, op, count(*) AS n FROM log WHERE parse_status <> 'skipped' AND CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY db, op""")
+def rollup_db_days(spark, sf_dir):
+    return rollups.kind_counts(spark, rolled_up(spark, sf_dir), rollups.database(), "op", first_day="2024-01-05", last_day="2024-01-20")
+
+
+@query("rollup_ops_per_second", EV + "SELECT epoch, op, count(*) AS n FROM log WHERE parse_status <> 'skipped' GROUP BY epoch, op")
+def rollup_ops_per_second(spark, sf_dir):
+    return rollups.rates(spark, rolled_up(spark, sf_dir), by_op=True)
+
+
+@query("loaded_ns_events", EV + "SELECT epoch, op, count(*) AS n FROM log WHERE ns = 'shop1.views' GROUP BY epoch, op")
+def loaded_ns_events(spark, sf_dir):
+    """Events of a store where one load came twice."""
+    return workload.counts(rollups.loaded_events(spark, rolled_up(spark, sf_dir), "shop1.views"), "epoch", "op")
+
+
 @query("update_shapes", EV + """
 SELECT update_norm AS shape, count(DISTINCT ns) AS n_ns, count(*) AS n, 'none' AS plans,
   arg_min(update_json, event_id) AS q, min(event_id) AS first_event FROM log WHERE op = 'update' GROUP BY update_norm""")
@@ -308,6 +342,26 @@ def log_prefix_op_counts(spark, sf_dir):
     return workload.op_counts(dblog.parse_dblog(first_lines(render.dblog(spark, sf_dir), 10_000)))
 
 
+@query("log_file_prefix_op_counts", EV + """
+SELECT op, count(*) AS n FROM (SELECT op FROM log ORDER BY event_id LIMIT 10000) GROUP BY op""")
+def log_file_prefix_op_counts(spark, sf_dir):
+    """The same from a log of several files, of which only the first lines are read."""
+    folder = scratch_dir(spark, "ordered-log")
+    render.dblog(spark, sf_dir).orderBy("pos").select("value").write.text(folder)
+    return workload.op_counts(dblog.parse_dblog(prefix_lines(spark, folder, 10_000, "part-*")))
+
+
+@query("gzip_log_op_counts", EV + """
+SELECT 'log-' || (user_id % 3) AS source, op, count(*) AS n FROM log GROUP BY ALL""")
+def gzip_log_op_counts(spark, sf_dir):
+    """Compressed logs, whose lines are dealt to many tasks after they were read."""
+    folder = scratch_dir(spark, "gzip-logs")
+    logs = render.dblog(spark, sf_dir, file=render.text("log-", F.col("user_id") % 3))
+    logs.select("file", "value").write.partitionBy("file").option("compression", "gzip").text(folder)
+    events = dblog.parse_dblog(log_lines(spark, folder, spread=True))
+    return workload.counts(events.withColumn("source", F.regexp_extract("file", "file=([^/]+)/", 1)), "source", "op")
+
+
 @query("multi_log_op_counts", EV + """
 SELECT 'log-' || (user_id % 3) AS source, op, count(*) AS n FROM log GROUP BY ALL""")
 def multi_log_op_counts(spark, sf_dir):
@@ -409,6 +463,26 @@ def unique_agents(spark, sf_dir):
     return http.unique_agents(access_rows(spark, sf_dir))
 
 
+@query("agents_by_sketch", ACCESS + """
+SELECT CAST(make_timestamp(epoch * 1000000) AS DATE) AS day, count(DISTINCT agent_id) AS n_agents, TRUE AS within_error FROM log WHERE agent_id IS NOT NULL GROUP BY 1
+UNION ALL SELECT NULL, count(DISTINCT agent_id), TRUE FROM log""")
+def agents_by_sketch(spark, sf_dir):
+    """Distinct agents by day and in all from stored sketches, beside the exact numbers: within three standard errors."""
+    rows, path = access_rows(spark, sf_dir), scratch_dir(spark, "sketches")
+    day = F.to_date(F.timestamp_seconds("epoch"))
+    for load in range(3):  # three deliveries, one of which comes twice
+        rollups.write_sketches(rows.where(F.col("pos") % 3 == load), day, F.col("agent_id"), path, str(load))
+    rollups.write_sketches(rows.where(F.col("pos") % 3 == 1), day, F.col("agent_id"), path, "1")
+    none = F.lit(None).cast("date").alias("day")
+    estimates = rollups.distinct_estimate(spark, path, "day").unionByName(rollups.distinct_estimate(spark, path).select(none, "estimate"))
+    known = rows.where("agent_id IS NOT NULL")
+    exact = known.groupBy(day.alias("day")).agg(F.countDistinct("agent_id").alias("n_agents")).unionByName(
+        known.agg(F.countDistinct("agent_id").alias("n_agents")).select(none, "n_agents"))
+    both = exact.join(estimates.withColumnRenamed("day", "d"), F.col("day").eqNullSafe(F.col("d")), "left")
+    error = F.abs(F.col("estimate") - F.col("n_agents")) / F.col("n_agents")
+    return both.select("day", "n_agents", F.coalesce(error <= 3 * rollups.SKETCH_ERROR, F.lit(False)).alias("within_error"))
+
+
 @query("agents", ACCESS + "SELECT DISTINCT agent_id FROM log WHERE agent_id IS NOT NULL")
 def agents(spark, sf_dir):
     return http.agents(access_rows(spark, sf_dir))
@@ -592,8 +666,8 @@ SELECT file AS run, 'mongo-perf' AS harness, name AS workload, '2.7.5' AS server
   '00112233445566778899aabbccddeeff00112233' AS server_git_hash, CAST(thread AS VARCHAR) AS n_thread, cv_str AS cv,
   round(mean, 4) AS op_throughput FROM cvs""")
 def perf_reports(spark, sf_dir):
-    lines = render.perf(spark, sf_dir)
-    documents = report.perf_reports(perf.mean_cv(perf_log.perf_samples(lines)), perf_log.perf_log_info(lines))
+    walked = perf_log.perf_lines(render.perf(spark, sf_dir))  # one walk for samples and head lines
+    documents = report.perf_reports(perf.mean_cv(perf_log.samples_of(walked)), perf_log.info_of(walked))
     attribute = lambda name: F.try_element_at("attributes", F.lit(name))
     return documents.select("run", "harness", "workload", "server_version", "server_git_hash", attribute("nThread").alias("n_thread"),
                             attribute("CV").alias("cv"), F.round("summary.all_nodes.op_throughput", 4).alias("op_throughput"))
@@ -740,7 +814,7 @@ FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY
   LEFT JOIN ranked ON ranked.c_nationkey = n_nationkey AND r = 2""")
 def csv_tail_summary(spark, sf_dir):
     expected = render.table(spark, sf_dir, "nation").select(render.text("csv-", F.col("n_nationkey")).alias("file"))
-    return csv_tail.csv_tail_summary(render.csv(spark, sf_dir), expected)
+    return csv_tail.csv_tail_summary(render.csv(spark, sf_dir), expected).drop("unbalanced")
 
 
 @query("server_info", """
@@ -827,6 +901,53 @@ def run_report(spark, sf_dir):
         "total_ops", "tick_per_op", "test_run_time")
 
 
+RUN_DOCUMENT = """testbed STRUCT<type: STRING, servers: STRUCT<mongod: ARRAY<STRUCT<server: STRING>>, mongos: ARRAY<STRUCT<server: STRING>>,
+  config: ARRAY<STRUCT<server: STRING, storageEngine: STRUCT<name: STRING>>>>>, summary STRUCT<all_nodes: STRUCT<op_throughput: DOUBLE>>, total_ops BIGINT,
+  History ARRAY<DOUBLE>, server_stats MAP<STRING, STRUCT<`process `: STRING, ts: ARRAY<BIGINT>, cpu: ARRAY<DOUBLE>, cswch: ARRAY<DOUBLE>, nvcswch: ARRAY<DOUBLE>>>"""
+
+
+@query("run_documents", BLOCKS + """
+, series AS (SELECT user_id % 4 + 1 AS digit, count(*) AS samples, min(event_id) AS first_ts, max(event_id) AS last_ts,
+  CAST(sum(3 * user_id + 3) AS DOUBLE) AS switches FROM kept GROUP BY 1),
+beds AS (SELECT s_suppkey % 5 + 1 AS digit, count(*) FILTER (s_suppkey % 3 = 0) AS n_mongod, count(*) FILTER (s_suppkey % 3 = 1) AS n_mongos,
+  count(*) FILTER (s_suppkey % 3 = 2) AS n_config, min(s_name) FILTER (s_suppkey % 3 = 0) AS first_mongod FROM supplier GROUP BY 1),
+runs AS (SELECT o_orderpriority, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS digit, arg_max(o_custkey, o_orderkey) + 0.25::DOUBLE AS op_throughput,
+  CAST(count(*) + sum(o_custkey) AS BIGINT) AS total_ops, count(*) AS points, arg_min(o_totalprice, o_orderkey) AS first_point,
+  arg_max(o_totalprice, o_orderkey) AS last_point FROM orders GROUP BY 1)
+SELECT 'sysbench-' || o_orderpriority AS run, 'cluster' AS bed, coalesce(n_mongod, 0) AS n_mongod, coalesce(n_mongos, 0) AS n_mongos,
+  coalesce(n_config, 0) AS n_config, first_mongod, op_throughput, total_ops, points, first_point, last_point,
+  CASE WHEN samples IS NOT NULL THEN '10_0_0_' || (digit - 1) END AS server, CASE WHEN samples IS NOT NULL THEN 'serverd' END AS process,
+  samples, first_ts, last_ts, switches FROM runs LEFT JOIN series USING (digit) LEFT JOIN beds USING (digit)""")
+def run_documents(spark, sf_dir):
+    """Whole documents: report, test bed, interval history and server series, written page by page and read back."""
+    digit_of = lambda run: F.regexp_extract(run, "^sysbench-([0-9])", 1)
+    reports = sysbench_reports(spark, sf_dir)
+    names = reports.select("run", digit_of(F.col("run")).alias("digit"))
+    servers = shell_json.parse_server_info(render.server_snapshots(spark, sf_dir)).join(
+        render.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("server"), (F.col("s_suppkey") % 5 + 1).cast("string").alias("digit"),
+                                                       F.element_at(F.array(*map(F.lit, report.ROLES)), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("role")), "server").join(names, "digit")
+    beds = report.with_test_bed(reports, reports.select("run", F.lit("cluster").alias("type")), servers)
+    history = report.series_pages(captures.intervals(render.sysbench(spark, sf_dir), "sysbench"), "interval")
+    captured = render.pidstat(spark, sf_dir)
+    server_of = lambda file: F.regexp_extract(file, "^pidstat-(.*)$", 1)
+    of_run = names.withColumn("file", F.concat(F.lit("pidstat-10.0.0."), (F.col("digit").cast("int") - 1).cast("string")))
+    series = pidstat.pidstat_series(captured).join(of_run, "file")
+    pages = report.server_pages(series, server_of(F.col("file")), run=F.col("run"))
+    processes = pidstat.pidstat_process(captured).join(of_run, "file").select("run", report.server_key(server_of(F.col("file"))).alias("server"), "process")
+    folder = scratch_dir(spark, "run-documents")
+    written = report.write_run_documents(report.document_pieces(beds, history, pages, processes), folder)
+    read = spark.read.text(folder, wholetext=True).select(F.from_json("value", RUN_DOCUMENT).alias("d"), F.col("_metadata.file_name").alias("name"))
+    documents = written.select("run", F.regexp_extract("file", "([^/]+)$", 1).alias("file")).join(read, F.url_decode("name") == F.url_decode("file"))
+    size = lambda role: F.size(f"d.testbed.servers.{role}").cast("bigint").alias(f"n_{role}")
+    one = documents.select("run", "d", F.explode_outer("d.server_stats").alias("server", "stats"))
+    return one.select(
+        "run", F.col("d.testbed.type").alias("bed"), *[size(role) for role in report.ROLES], F.get("d.testbed.servers.mongod.server", F.lit(0)).alias("first_mongod"),
+        "d.summary.all_nodes.op_throughput", "d.total_ops", F.size("d.History").cast("bigint").alias("points"), F.element_at("d.History", 1).alias("first_point"),
+        F.element_at("d.History", -1).alias("last_point"), "server", F.col("stats.`process `").alias("process"), F.size("stats.ts").cast("bigint").alias("samples"),
+        F.element_at("stats.ts", 1).alias("first_ts"), F.element_at("stats.ts", -1).alias("last_ts"),
+        F.aggregate("stats.cswch", F.lit(0.0), lambda a, b: a + b).alias("switches"))
+
+
 @query("run_series_pages", """
 SELECT 'sysbench-' || o_orderpriority AS run, o_orderkey // 16384 AS page, count(*) AS points,
   arg_min(o_totalprice, o_orderkey) AS first_interval, arg_max(o_totalprice, o_orderkey) AS last_interval
@@ -922,6 +1043,33 @@ def mr_stored_max(spark, sf_dir):
     return store.read()
 
 
+@query("mr_user_reduce", """
+SELECT o_custkey AS _id, list_reduce(list(CAST(round(o_totalprice * 100) AS BIGINT)), lambda a, b: gcd(a, b)) AS value FROM orders GROUP BY 1""")
+def mr_user_reduce(spark, sf_dir):
+    """A Python function that no aggregate offers, merged over three batches, one of them replayed."""
+    fold = lambda part: user_reduce.merge_by_key(part, math.gcd)
+    store = keyed_sum.StoredTotals(spark, scratch_dir(spark, "totals"), "gcd", fold)
+    rows = render.amounts(spark, sf_dir)
+    for batch, status in enumerate(("F", "O", "P", "P")):
+        part = user_reduce.reduce_by_key(rows.where(F.col("status") == status), F.col("uid"), F.col("amount"), math.gcd)
+        store.merge(part, min(batch, 2))
+    return store.read()
+
+
+PRIME = 1_000_003
+
+
+@query("mr_sql_reduce", f"""
+SELECT o_custkey AS _id, list_reduce(list(CAST(round(o_totalprice * 100) AS BIGINT) % {PRIME}), lambda a, b: (a * b) % {PRIME}) AS value
+FROM orders GROUP BY 1 UNION ALL
+SELECT -1, list_reduce(list(CAST(round(o_totalprice * 100) AS BIGINT) % {PRIME}), lambda a, b: (a * b) % {PRIME}) FROM orders""")
+def mr_sql_reduce(spark, sf_dir):
+    """A product modulo a prime for each customer, and for one key that has all rows."""
+    rows = render.amounts(spark, sf_dir).withColumn("uid", F.explode(F.array("uid", F.lit(-1).cast("bigint"))))
+    values = rows.select(F.col("uid").alias("_id"), (F.col("amount") % PRIME).alias("value"))
+    return user_reduce.merge_by_key_sql(values, lambda a, b: a * b % PRIME)
+
+
 @query("mr_check_planted", TOTALS + """
 SELECT _id, value AS single, CASE WHEN _id % 7 <> 0 THEN value + 1 END AS merged FROM totals WHERE _id % 7 = 0 OR _id % 7 = 1""")
 def mr_check_planted(spark, sf_dir):
@@ -961,11 +1109,19 @@ def gen_docs(spark, sf_dir):
     return docs.select("_id", "cid", F.col("cre").between(0, 999).alias("cre_ok"), "status", "b.b1", "b.b2")
 
 
-RANDOM = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 13) AS BIGINT) % {}"
+
+
+def random_sql(limit: int, *parts: str) -> str:
+    """The generators' random numbers below ``limit``; a part is an expression, or a name in double quotes."""
+    h = "1::BIGINT"
+    for part in parts:
+        number = str(synth.name_number(part.strip('"'))) if part.startswith('"') else f"((({part}) % {synth.PRIME} + {synth.PRIME}) % {synth.PRIME})"
+        h = f"(({h} * {synth.MULTIPLIER} + {number}) % {synth.PRIME})"
+    return f"[(h * h + h * {synth.MULTIPLIER} + 11) % {synth.PRIME} % {limit} for h in [{h}]][1]"
 
 
 @query("gen_docs_stored", f"""
-SELECT o_orderkey AS _id, 'ObjectId(' || o_orderkey || ')' AS cid, {RANDOM.format("o_orderkey, 'cre', 0", 1000)} AS cre,
+SELECT o_orderkey AS _id, 'ObjectId(' || o_orderkey || ')' AS cid, {random_sql(1000, "o_orderkey", '"cre"', "0")} AS cre,
   'string_' || o_orderkey AS status, o_orderkey AS b1 FROM orders""")
 def gen_docs_stored(spark, sf_dir):
     """Generated documents, written in bulk and read back, with their random values."""
@@ -977,7 +1133,7 @@ def gen_docs_stored(spark, sf_dir):
 
 @query("gen_staging_amounts", f"""
 SELECT c_custkey AS uid, CAST(w AS INTEGER) AS writer, CAST(s AS INTEGER) AS status,
-  {RANDOM.format("c_custkey, w, s, 0", 1_000_000)} AS amount FROM customer, range(10) a(w), range(5) b(s)""")
+  {random_sql(1_000_000, "c_custkey", "w", "s", "0")} AS amount FROM customer, range(10) a(w), range(5) b(s)""")
 def gen_staging_amounts(spark, sf_dir):
     return synth.staging_rows(render.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("uid", "writer", "status", "amount")
 
@@ -1031,3 +1187,35 @@ def stream_unique_agents(spark, sf_dir):
     out, checkpoint = os.path.join(folder, "out"), os.path.join(folder, "checkpoint")
     jobs.agents_stream(jobs.follow_lines(spark, os.path.join(folder, "in"), 1), out, checkpoint).awaitTermination()
     return jobs.read_agents(spark, out)
+
+
+STREAM_RATES = EV + "SELECT epoch, op, count(*) AS n FROM log WHERE op IS NOT NULL GROUP BY epoch, op"
+
+
+@query("stream_windowed_rates", STREAM_RATES)
+def stream_windowed_rates(spark, sf_dir):
+    """Rates with the open seconds in the state store; files in no order, so most lines are late."""
+    folder = _stream_input(render.dblog(spark, sf_dir), "stream-windows")
+    out, checkpoint = os.path.join(folder, "out"), os.path.join(folder, "checkpoint")
+    jobs.windowed_rates(jobs.follow_lines(spark, os.path.join(folder, "in"), 1), out, checkpoint)
+    return jobs.read_windowed_rates(spark, out, checkpoint)
+
+
+@query("stream_growing_log", STREAM_RATES)
+def stream_growing_log(spark, sf_dir):
+    """Logs of eight servers that grow between two runs; the first run ends in the middle of a line of each."""
+    folder = scratch_dir(spark, "growing-logs")
+    source, out, checkpoint = (os.path.join(folder, name) for name in ("in", "out", "checkpoint"))
+    lines = render.dblog(spark, sf_dir, file=render.text("server-", F.col("user_id") % 8, ".log"))
+    for upto in (lines.agg((F.max("pos") * 0.6).cast("bigint")).first()[0], None):
+        render.write_log_files(lines, source, upto)
+        jobs.windowed_rates(follow_growing(spark, source, "*.log"), out, checkpoint, delay=3600)
+    return jobs.read_windowed_rates(spark, out, checkpoint)
+
+
+@query("stream_recent_agents", ACCESS + "SELECT DISTINCT agent_id FROM log WHERE agent_id IS NOT NULL")
+def stream_recent_agents(spark, sf_dir):
+    folder = _stream_input(render.access(spark, sf_dir), "recent-agents")
+    out, checkpoint = os.path.join(folder, "out"), os.path.join(folder, "checkpoint")
+    jobs.recent_agents(jobs.follow_lines(spark, os.path.join(folder, "in"), 1), out, checkpoint).awaitTermination()
+    return jobs.read_agents(spark, out)
