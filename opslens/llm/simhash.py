@@ -8,10 +8,6 @@
 * Rows of one key meet in one task, sorted; they are compared there in blocks of ``BLOCK`` rows and only a
   spanning forest of the verified links leaves the task.  A key with more rows is cut into blocks, and every two
   of its blocks meet in a group of their own, so nothing is left out and no task holds more than two blocks.
-* A scheme for a Jaccard similarity takes links of few bits as certain and verifies the others on the texts: between classes
-  that certain links leave apart the closest pairs of a key, again a forest.  Where one of these fails, all rows of the
-  classes that uncertain links hang together meet in small blocks with their shingles, and every pair between classes
-  still apart is looked at.
 * Components of the links are found by star steps over written tables.
 
 Null texts count as empty; empty texts have the fingerprint zero, linked like any other.  Repeated rows, ties
@@ -36,8 +32,6 @@ from opslens.llm._common import connected_components, saved, table
 
 BLOCK = 4096
 CHUNK = 1 << 16
-#: Rows, and shingles, that a block holds on average where texts are compared.
-TEXT_BLOCK, TEXT_SHINGLES = 256, 1_000_000
 SEED = 42
 LOWEST = -(1 << 63)
 
@@ -46,24 +40,13 @@ LOWEST = -(1 << 63)
 class Scheme:
     """``segments``: first bit and length (23 bits at most) of each; ``keys``: exact segments and fuzzy segments of each key.
 
-    Links differ in ``radius`` bits at most, and their shingle counts by a factor of ``ratio`` at most (0: any).
-    ``distinct`` counts each shingle once.  Where ``similarity`` is given, links of more than ``sure`` bits are verified on
-    the texts: the Jaccard similarity of their shingle sets is that or more.
+    Links differ in ``radius`` bits at most.
     """
     words: int
     bits: int
     radius: int
     segments: tuple[tuple[int, int], ...]
     keys: tuple[tuple[tuple[int, ...], tuple[int, ...]], ...]
-    distinct: bool = False
-    ratio: float = 0.0
-    similarity: float = 0.0
-    sure: int = 0
-
-    @property
-    def certain(self) -> int:
-        """Differing bits up to which a link needs no look at the texts."""
-        return self.sure if self.similarity else self.radius
 
 
 #: 64 bits, three errors, complete: of four segments of 16 bits take one without error; the next segment has two
@@ -71,21 +54,6 @@ class Scheme:
 EXACT64 = Scheme(3, 64, 3, tuple((16 * i, 16) for i in range(4)), tuple(((i,), ((i + 1) % 4,)) for i in range(4)))
 
 
-def for_similarity(words: int, similarity: float, bits: int = 384, segments: int = 5) -> Scheme:
-    """A scheme for shingle sets of at least this Jaccard similarity.
-
-    Two sets of similarity s have a cosine of 2s / (1 + s), and their fingerprints differ in a share of bits of
-    that angle over pi.  Pairs up to 2.5 standard deviations above this share are looked at, and those from 2.5 below it are
-    verified on the texts.  Keys are the indices of single segments: at similarity 0.8 a segment is shared with a chance
-    of 0.6, one of five with 0.99, where unrelated texts share one with a chance of 0.008.
-    """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    spread = 2.5 * (bits * share * (1 - share)) ** 0.5
-    places = tuple((int(i * bits / segments), golay.LENGTH) for i in range(segments))
-    keys = tuple(((), (i,)) for i in range(segments))
-    return Scheme(words, bits, int(bits * share + spread), places, keys, True, similarity * 0.99, similarity, int(bits * share - spread))
-
-
 def shingles(text: str | None, words: int) -> list[bytes]:
     """Shingles of the text in lower case (A-Z), space-joined; of fewer words the whole sequence, of none nothing."""
     found = (text or "").encode().lower().split()
@@ -99,15 +67,10 @@ def shingles(text: str | None, words: int) -> list[bytes]:
 def fingerprint(text: str | None, scheme: Scheme) -> tuple[bytes, int]:
     """The fingerprint, highest bit of the first hash first, and the number of shingles counted."""
     parts = shingles(text, scheme.words)
-    if scheme.distinct:
-        parts = list(dict.fromkeys(parts))
     ones = np.zeros(scheme.bits, np.int64)
     for i in range(0, len(parts), CHUNK):
         some = parts[i:i + CHUNK]
-        if scheme.bits == 64:
-            raw = b"".join([xxhash.xxh64_digest(p, SEED) for p in some])
-        else:
-            raw = b"".join([xxhash.xxh3_128_digest(p, SEED + k) for p in some for k in range(scheme.bits // 128)])
+        raw = b"".join([xxhash.xxh64_digest(p, SEED) for p in some])
         bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), -1), axis=1)
         for j in range(0, len(bits), 255):
             ones += np.add.reduce(bits[j:j + 255], axis=0, dtype=np.uint8)
@@ -180,69 +143,34 @@ def roots_of(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Links among some rows: certain ones join classes at once, the others are kept as a forest of the closest between classes."""
-    KEPT = 200_000
+    """Links among some rows, kept as the classes that they join."""
 
-    def __init__(self, fps: np.ndarray, n: np.ndarray, scheme: Scheme, parent: np.ndarray | None = None):
-        self.fps, self.n, self.scheme = fps, n, scheme
-        self.parent = np.arange(len(fps)) if parent is None else parent
-        self.maybe = np.empty((0, 3), np.int64)
+    def __init__(self, fps: np.ndarray, scheme: Scheme):
+        self.fps, self.scheme = fps, scheme
+        self.parent = np.arange(len(fps))
 
-    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rows (bits, a, b) of those a[i] and b[i] of different classes that are within reach."""
+    def look(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Compares the rows a[i] and b[i] that are of different classes."""
         apart = self.parent[a] != self.parent[b]
         a, b = a[apart], b[apart]
-        bits = np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(axis=1, dtype=np.int64)
-        near = (bits <= self.scheme.radius) & (np.minimum(self.n[a], self.n[b]) >= self.scheme.ratio * np.maximum(self.n[a], self.n[b]))
-        return np.column_stack([bits[near], a[near], b[near]])
-
-    def look(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Compares the rows a[i] and b[i]."""
-        pairs = self.close(a, b)
-        sure = pairs[:, 0] <= self.scheme.certain
-        if sure.any():
-            self.parent = roots_of(self.parent, pairs[sure, 1], pairs[sure, 2])
-        if not sure.all():
-            self.maybe = np.concatenate([self.maybe, pairs[~sure]])
-            if len(self.maybe) > self.KEPT:
-                self.thin()
-
-    def thin(self) -> None:
-        """Of the uncertain links keeps the closest that join classes."""
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
-        kept = []
-        for bits, a, b in self.maybe[np.lexsort((self.maybe[:, 2], self.maybe[:, 1], self.maybe[:, 0]))].tolist():
-            x, y = find(int(self.parent[a])), find(int(self.parent[b]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                kept.append((bits, a, b))
-        self.maybe = np.array(kept, np.int64).reshape(-1, 3)
+        near = np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(axis=1, dtype=np.int64) <= self.scheme.radius
+        if near.any():
+            self.parent = roots_of(self.parent, a[near], b[near])
 
     def links(self, node: np.ndarray) -> pd.DataFrame:
-        """(a, b, block): certain links with block -1, uncertain ones with block -2."""
-        if len(self.maybe):
-            self.thin()
+        """(a, b, block): links with block -1."""
         moved = self.parent != np.arange(len(self.parent))
-        a = np.concatenate([node[moved], node[self.maybe[:, 1]]])
-        b = np.concatenate([node[self.parent[moved]], node[self.maybe[:, 2]]])
-        return pd.DataFrame({"a": a, "b": b, "block": np.repeat([-1, -2], [moved.sum(), len(self.maybe)])})
+        return pd.DataFrame({"a": node[moved], "b": node[self.parent[moved]], "block": np.full(moved.sum(), -1)})
 
 
-def linked_runs(key: np.ndarray, n: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Forest:
-    """The links of rows of the same key; rows come sorted by key and n."""
-    forest = Forest(fps, n, scheme)
+def linked_runs(key: np.ndarray, fps: np.ndarray, scheme: Scheme) -> Forest:
+    """The links of rows of the same key; rows come sorted by key."""
+    forest = Forest(fps, scheme)
     first = np.arange(len(key) - 1)
     lag = 1
     while len(first):
         first = first[first + lag < len(key)]
-        first = first[(key[first] == key[first + lag]) & (n[first] >= scheme.ratio * n[first + lag])]
+        first = first[key[first] == key[first + lag]]
         forest.look(first, first + lag)
         lag += 1
     return forest
@@ -257,7 +185,7 @@ def compare_sorted(scheme: Scheme, block_rows: int):
 
     def links(rows: pd.DataFrame):
         fps = as_matrix(rows["fp"], width).view(np.uint64)
-        found = linked_runs(rows["key"].to_numpy(), rows["n"].to_numpy(), fps, scheme).links(rows["node"].to_numpy())
+        found = linked_runs(rows["key"].to_numpy(), fps, scheme).links(rows["node"].to_numpy())
         return found.assign(key=0, n=0, fp=None)
 
     def overlong(rows: pd.DataFrame, block: int):
@@ -295,10 +223,10 @@ def compare_blocks(scheme: Scheme):
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", kind="stable", ignore_index=True)
-        fps, n, node = as_matrix(rows["fp"], width).view(np.uint64), rows["n"].to_numpy(), rows["node"].to_numpy()
+        fps, node = as_matrix(rows["fp"], width).view(np.uint64), rows["node"].to_numpy()
         block = rows["block"].to_numpy()
         cut = int(np.searchsorted(block, block[0], side="right"))
-        forest, right = Forest(fps, n, scheme), np.arange(cut, len(rows))
+        forest, right = Forest(fps, scheme), np.arange(cut, len(rows))
         for i in range(cut):
             forest.look(np.full(len(right), i), right)
         return forest.links(node)
@@ -307,7 +235,7 @@ def compare_blocks(scheme: Scheme):
 
 
 def links(classes: DataFrame, scheme: Scheme, block_rows: int = BLOCK) -> DataFrame:
-    """A spanning forest (a, b, block) of the links between the rows (node, fp, n) of ``classes``; block is -1 for certain ones, else -2."""
+    """A spanning forest (a, b, block) of the links between the rows (node, fp, n) of ``classes``; block is -1."""
     width = scheme.bits // 8
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,117 +257,17 @@ def links(classes: DataFrame, scheme: Scheme, block_rows: int = BLOCK) -> DataFr
     return within.unionAll(between)
 
 
-def shingle_sets(df: DataFrame, nodes: DataFrame, classes: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): hashes of the shingles of the classes in ``nodes``; only their texts are read again."""
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [list({xxhash.xxh64_intdigest(p, SEED) - (1 << 63) for p in shingles(t, scheme.words)}) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "set": sets})
-
-    nodes = nodes.join(classes.select("node", "pick"), "node")
-    nodes = nodes.select("node", F.coalesce("pick.id", F.lit(LOWEST)).alias("id"), F.col("pick.row").alias("row"))
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), row_hash(df).alias("row"), F.col(text_col).alias("text"))
-    sets = texts.join(nodes, ["id", "row"]).select("node", "text").mapInPandas(hashes, "node long, set array<long>")
-    return saved(sets.dropDuplicates(["node"]), "shingle-sets")
-
-
-def verified(df: DataFrame, pairs: DataFrame, classes: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """Those of the uncertain ``pairs`` (a, b) whose texts are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = shingle_sets(df, nodes, classes, scheme, id_col, text_col)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= scheme.similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def compare_texts(scheme: Scheme):
-    """Links (a, b) between the classes ``root`` of the rows of two blocks, or of one; the closest fingerprints come first."""
-    width = scheme.bits // 8
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", kind="stable", ignore_index=True)
-        fps, n, sets = as_matrix(rows["fp"], width).view(np.uint64), rows["n"].to_numpy(), rows["set"].to_numpy()
-        root, first, place = np.unique(rows["root"].to_numpy(), return_index=True, return_inverse=True)
-        forest = Forest(fps, n, scheme, first[place])
-        cut = int(np.searchsorted(rows["block"], rows["low"].iloc[0], side="right"))
-        alone = rows["low"].iloc[0] == rows["high"].iloc[0]
-        found = []
-        for i in range(cut):
-            right = np.arange(i + 1 if alone else cut, len(rows))
-            found.append(forest.close(np.full(len(right), i), right))
-        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-        parent, out = forest.parent.tolist(), []
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for bits, a, b in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
-            x, y = find(a), find(b)
-            if x == y:
-                continue
-            if bits > scheme.certain:
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if common < scheme.similarity * (len(sets[a]) + len(sets[b]) - common):
-                    continue
-            parent[max(x, y)] = min(x, y)
-            out.append((root[place[a]], root[place[b]]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return work
-
-
-def joined_by_texts(df: DataFrame, pairs: DataFrame, classes: DataFrame, roots: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """``roots`` (node, root) after all links between classes that the uncertain ``pairs`` (a, b) hang together.
-
-    A pair within reach shares a component of certain and uncertain links, so those components hold all pairs not
-    yet looked at.  One is cut into blocks of bounded rows and shingles, and every two blocks meet in a group of their own.
-    """
-    ends = pairs
-    for end in ("a", "b"):
-        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    apart = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
-    apart = saved(apart.distinct(), "apart")
-    if apart.isEmpty():
-        return roots
-    family = apart.select(F.explode(F.array("a", "b")).alias("root")).distinct()
-    family = family.join(connected_components(apart).select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left")
-    family = family.select("root", F.coalesce("least", "root").alias("family"))
-    rows = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(family, "root")
-    rows = saved(rows.select("node", "root", "family", "fp", "n"), "families")
-    sizes = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TEXT_BLOCK, F.sum("n") / TEXT_SHINGLES)).alias("blocks"))
-    rows = rows.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = rows.join(shingle_sets(df, rows.select("node"), classes, scheme, id_col, text_col), "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("family", "root", "block", "fp", "n", "set", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    further = connected_components(rows.groupBy("family", "low", "high").applyInPandas(compare_texts(scheme), "a long, b long"))
-    further = further.select(F.col("node").alias("root"), F.col("root").alias("least"))
-    whole = roots.join(further, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
-    return whole.unionAll(further.select(F.col("root").alias("node"), F.col("least").alias("root")))
-
-
 def components(df: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK) -> DataFrame:
     """(id, row, fp, n, root, component) for every row of ``df``: component is the smallest identifier reachable over links."""
     rows = saved(fingerprints(df, scheme, id_col, text_col), "fingerprints")
-    # Lengths tell rows of one fingerprint apart only where links depend on them.
-    keys = ["fp", "n"] if scheme.ratio else ["fp"]
-    classes = rows.groupBy(*keys).agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("pick"), *([] if scheme.ratio else [F.max("n").alias("n")]))
+    classes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.max("n").alias("n"))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = links(classes, scheme, block_rows)
-    if scheme.similarity:
-        found = saved(found, "forest")
-        maybe = found.where("block = -2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = found.where("block = -1").select("a", "b").unionAll(verified(df, maybe, classes, scheme, id_col, text_col))
-    roots = connected_components(found)
-    if scheme.similarity:
-        roots = joined_by_texts(df, maybe, classes, roots, scheme, id_col, text_col)
+    roots = connected_components(links(classes, scheme, block_rows))
     # Classes without links are components of their own.
     whole = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("least").alias("component"))
-    named = whole.join(least, "root").select(*keys, "root", "component")
-    return rows.join(named, keys).select("id", "row", "fp", "n", "root", "component")
+    named = whole.join(least, "root").select("fp", "root", "component")
+    return rows.join(named, "fp").select("id", "row", "fp", "n", "root", "component")
 
 
 def one_of_each(df: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK) -> DataFrame:

@@ -78,7 +78,7 @@ def test_rows_of_every_kind(documents):
 def test_empty_table(documents, spark):
     empty = documents((1, "x")).where("false")
     assert simhash.components(empty, simhash.EXACT64).count() == 0
-    assert simhash.one_of_each(empty, simhash.for_similarity(5, 0.8)).columns == empty.columns
+    assert simhash.one_of_each(empty, simhash.EXACT64).columns == empty.columns
 
 
 def test_golay_keys_shared_within_two_bits():
@@ -102,61 +102,24 @@ def test_three_errors_share_a_key():
         assert set(keys[at == 0].tolist()) & set(keys[at == 1].tolist())
 
 
-def test_one_of_each_by_similarity(documents):
-    rng = random.Random(1)
-    plain = [[f"u{rng.randrange(10**6)}" for _ in range(300)] for _ in range(6)]
-    near = list(plain[0])
-    near[100] = "changed"
-    far = plain[1][:150] + [f"v{i}" for i in range(150)]
-    texts = [" ".join(w) for w in [*plain, near, far]] + [" ".join(plain[2]), "", None]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    kept = simhash.one_of_each(documents(*rows, rows[3]), simhash.for_similarity(5, 0.8))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 9]
-
-
-def test_uncertain_links_are_verified_on_texts(documents):
-    """Similarities around 0.8: what stays apart and what is joined is decided by the texts."""
-    rng = random.Random(4)
-    rows, expected = [], []
-    for g in range(12):
-        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(400)]
-        other = list(base)
-        for place in range(3, 3 + 10 * (3 + g), 10):  # each change replaces five shingles
-            other[place] = f"new{place}"
-        a, b = (set(zip(*[w[i:] for i in range(5)])) for w in (base, other))
-        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
-        expected += [2 * g] + [2 * g + 1] * (len(a & b) / len(a | b) < 0.8)
-    kept = simhash.one_of_each(documents(*rows), simhash.for_similarity(5, 0.8))
-    got = {r["doc_id"] for r in kept.collect()}
-    assert len(got ^ set(expected)) <= 1  # a shared segment is a matter of chance (0.99 at this similarity)
-
-
-def brute_similar(texts, scheme):
-    prints = [(int.from_bytes(f, "big"), n) for f, n in (simhash.fingerprint(t, scheme) for t in texts)]
-    sets = [set(simhash.shingles(t, scheme.words)) for t in texts]
-
-    def linked(i, j):
-        bits, (x, y) = (prints[i][0] ^ prints[j][0]).bit_count(), sorted((prints[i][1], prints[j][1]))
-        near = bits <= scheme.radius and x >= scheme.ratio * y
-        return near and (bits <= scheme.certain or len(sets[i] & sets[j]) >= scheme.similarity * len(sets[i] | sets[j]))
-    return linked
-
-
-@pytest.mark.parametrize("block", [40, 256])
-def test_star_family_loses_no_link(documents, monkeypatch, block):
-    """Copies near their original, not near each other: pairs that the closest ones displaced are looked at too."""
-    monkeypatch.setattr(simhash, "TEXT_BLOCK", block)
-    rng, scheme = random.Random(6), simhash.for_similarity(5, 0.8)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-    texts = [" ".join(base)]
-    for c in range(300):
-        words = list(base)
-        for place in rng.sample(range(4, 296, 6), 6):  # each change replaces five shingles
-            words[place] = f"c{c}x{place}"
-        texts.append(" ".join(words))
-    got = {r["id"]: r["component"] for r in simhash.components(documents(*enumerate(texts)), scheme).collect()}
-    assert got == brute_components(range(len(texts)), brute_similar(texts, scheme))
-    assert len(set(got.values())) <= 3
+def test_star_family_loses_no_link(documents):
+    """Copies within three bits of their original, not of each other, are one group; what is four bits away is not."""
+    prints = [0] + [1 << i | 1 << (i + 1) | 1 << (i + 2) for i in range(0, 60, 3)] + [0b1111 << 40]
+    fps = simhash.as_matrix([p.to_bytes(8, "big") for p in prints], 8).view(np.uint64)
+    forest = simhash.Forest(fps, simhash.EXACT64)
+    a, b = np.triu_indices(len(prints), 1)
+    forest.look(a, b)
+    expected = brute_components(range(len(prints)), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    assert forest.parent.tolist() == [expected[i] for i in range(len(prints))]
+
+
+def test_one_of_each(documents):
+    texts = near_texts(40, seed=8)
+    prints = [brute_fingerprint(t) for t in texts]
+    rows = list(enumerate(texts))
+    kept = simhash.one_of_each(documents(*rows, rows[3], (None, texts[0]), (99, None), (98, "")), simhash.EXACT64)
+    smallest = set(brute_components(range(40), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3).values())
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(smallest | {98})
 
 
 def test_names_that_an_operator_might_use_itself(documents):
