@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 OPTIONS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,12 +30,14 @@ def build_session(app: str = "opslens", master: str | None = None, **extra: str)
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared checkpoint folder, or below the warehouse where none is set.
+    """A new folder below the shared checkpoint folder, or below the warehouse where the user has set only that.
 
-    Both are folders that every executor can read; the rule is the same for every master.
+    The default warehouse is a folder of the driver's machine, which only executors of a local master can read.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    base = base or spark.conf.get("spark.sql.warehouse.dir", None)
+    given = spark.sparkContext.getConf()
+    base = spark.conf.get(CHECKPOINT_DIR, None) or given.get(CHECKPOINT_DIR)
+    if not base and (given.contains(WAREHOUSE_DIR) or spark.sparkContext.master.split("[")[0] == "local"):
+        base = spark.conf.get(WAREHOUSE_DIR, None)
     if not base:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

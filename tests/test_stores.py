@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.operators import keyed_sum, user_reduce, workload
+from opslens.session import scratch_dir
 from opslens.sinks import report, rollups
 from opslens.sources import dblog
 
@@ -123,3 +124,28 @@ def test_cheap_questions_look_for_no_document(lines):
         plan = question(parsed)._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_extract" not in plan and "aggregate(" not in plan, question.__name__
     assert "regexp_extract" in workload.query_shapes(parsed)._jdf.queryExecution().optimizedPlan().toString()
+
+
+class Conf(dict):
+    def contains(self, key):
+        return key in self
+
+
+class FakeSession:
+    """What ``scratch_dir`` asks of a session, for masters that no test can start."""
+
+    def __init__(self, master, conf, default):
+        self.conf, self.sparkContext = Conf(default | conf), self
+        self.master, self.getConf = master, lambda: Conf(conf)
+
+
+@pytest.mark.parametrize("master, conf, base", [
+    ("yarn", {"spark.checkpoint.dir": "hdfs:/shared/"}, "hdfs:/shared"), ("yarn", {"spark.sql.warehouse.dir": "hdfs:/house"}, "hdfs:/house"),
+    ("local-cluster[3,2,1000]", {}, None), ("yarn", {}, None), ("local[4]", {}, "file:/driver"), ("local", {}, "file:/driver")])
+def test_scratch_folders_are_never_a_default_of_the_driver_on_a_cluster(master, conf, base):
+    session = FakeSession(master, conf, {"spark.sql.warehouse.dir": "file:/driver"})
+    if base is None:
+        with pytest.raises(ValueError):
+            scratch_dir(session, "x")
+    else:
+        assert scratch_dir(session, "x").startswith(f"{base}/x-")
