@@ -468,6 +468,7 @@ def marks(found: DataFrame, texts: DataFrame, width: int, gram: int, most: int,
         whole_strings = with_bytes(few.select(*KEY, "start", "windows", "name", "digest", "n"), texts, width, "name long, digest long, n long, string binary",
                                    lambda k1, k2, start, string, name, code, n: [(name, code, n, string)])
         dealt = whole_strings.withColumn("group", F.pmod(F.xxhash64("name"), F.lit(groups)))
+        dealt = dealt.repartition(groups, "group")  # as many tasks as the strings ask for, whatever their bytes are in a shuffle
         out = out.unionAll(dealt.groupBy("group").applyInPandas(lambda frame: grouped_marks(frame, width), MARKS))
     if hot:
         step = steps[0]
