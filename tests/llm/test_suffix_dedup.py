@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from opslens.llm import suffix_dedup as sd
@@ -53,6 +55,28 @@ def test_transform_is_the_sorted_one():
     assert (built.rows[1:built.size] >> 8).tolist() == [common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:])]
 
 
+def test_equal_parts_are_inserted_once(monkeypatch):
+    rng = random.Random(21)
+    passage, other = (words(rng, 120).encode() for _ in range(2))
+    strings = [bytes([k]) * 50 + passage + bytes([k]) * 50 for k in range(1, 13)]
+    strings += [passage[30:] + words(rng, 9).encode(), other, b"-" + other, words(rng, 200).encode()]
+    inserted = []
+
+    class Seen(sd.Transform):
+        def __init__(self, parts, most):
+            inserted.extend(parts)
+            super().__init__(parts, most)
+
+    monkeypatch.setattr(sd, "Transform", Seen)
+    frame = pd.DataFrame({"name": 5, "digest": range(len(strings)), "n": 1, "string": strings})
+    marked = {(r.digest, at) for r in sd.grouped_marks(frame, 400).itertuples() for at in range(r.low, r.high)}
+    counts = windows(strings, 400)
+    assert marked == {(k, i) for k, s in enumerate(strings) for i in range(len(s) - 399) if counts[s[i:i + 400]] > 1}
+    assert len(inserted) == len(set(inserted)) < 6
+    parts = [passage[:450], passage[:430], passage[:450], other[:500]]  # the second is no copy, but its windows stand in the others
+    assert [np.flatnonzero(row).tolist() for row in sd.repeated_in(parts, 400)] == [list(range(n)) for n in (51, 31, 51, 0)]
+
+
 def test_equal_windows_have_equal_names():
     rng = random.Random(3)
     shared = words(rng, 200).encode()
