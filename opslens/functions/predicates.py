@@ -16,10 +16,31 @@ _SHALLOW = rf'\{{(?:{_PLAIN}|\{{(?:{_PLAIN}|\{{{_FLAT}\}})*+\}})*+\}}'
 _PREDICATE = f"^({_SHALLOW})(?= |$)"
 _UPDATE = rf"^{_SHALLOW} \S* ({_SHALLOW})(?= |$)"
 
+# Deeper ones are read by a pattern of the token rule below, one group inside the other; what it does not match is scanned.
+_DEPTH = 128
+_WORD = r'(?!\{(?![^ ])|\},?(?![^ ])|")[^ ]*+'
+_WORDS = r'"(?:[^"\n\r\x{85}\x{2028}\x{2029}]++|(?<=\\)"|"(?!,?(?![^ ])))*+",?'
+_CLOSED = r',?(?![^ ])'
+
+
+def _nested(depth: int) -> str:
+    """Pattern of a document of at most so many levels."""
+    inner = rf'\{{(?: (?:{_WORD}|{_WORDS}))*+ \}}'
+    for _ in range(depth - 1):
+        inner = rf'\{{(?: (?:{_WORD}|{_WORDS}|{inner}{_CLOSED}))*+ \}}'
+    return inner
+
+
+_DEEP = _nested(_DEPTH)
+_DEEP_PREDICATE = f"^({_DEEP}){_CLOSED}"
+_DEEP_UPDATE = rf'^{_DEEP}{_CLOSED} (?!")[^ ]*+ ({_DEEP}){_CLOSED}'
+
 # A quoted string, or a bare key or value without the colon or comma after it.
 _SCALAR = f'"({_STRING_BODY})"' + r'|(?<!\S)([^\s"{}\[\],]\S*?)(?=:?,?(?:\s|$))'
-# A quoted string, or a bare value; bare keys end in a colon and are left alone.
-_VALUE = _STRING + r'|(?<!\S)[^\s"{}\[\],](?:\S*?[^\s:,])?(?=,?(?:\s|$))'
+# A quoted string, or a bare value; bare keys end in a colon and are left alone.  White space is spelled out, because a class
+# with \s inside makes the threads of a machine wait for each other.
+_SPACE = r' \t\n\x0B\f\r'
+_VALUE = _STRING + rf'|(?<![^{_SPACE}])[^{_SPACE}"{{}}\[\],](?:[^{_SPACE}]*?[^{_SPACE}:,])?(?=,?(?:[{_SPACE}]|$))'
 # Strings without a blank are skipped; a quote that is left over opens one that has a blank.
 _SPACED_STRING = r'^(?:[^"]++|"(?:[^"\\\s]|\\.)*+")*+"'
 
@@ -64,18 +85,27 @@ def _scanned(rest: Column, second: bool) -> Column:
         ends = F.transform(F.array(_document_ends(tokens, quotes)), lambda e: _between(tokens, e["first"] + 2, e["second"]) if second else _between(tokens, F.lit(0), e["first"]))
         return F.get(ends, F.lit(0))
 
-    read_all = F.transform(F.array(F.split(rest, " ")), lambda t: F.coalesce(read(t, True), read(t, False)))
-    return F.get(read_all, F.lit(0))
+    # Without a quote there is no string to respect, and the first document begins the text.
+    again = lambda tokens: F.when(rest.contains('"'), read(tokens, False))
+    read_all = F.transform(F.array(F.split(rest, " ")), lambda t: F.coalesce(read(t, True), again(t)))
+    text = F.get(read_all, F.lit(0))
+    return text if second else F.when(rest.startswith("{"), text)
+
+
+def _found(rest: Column, *patterns: str) -> Column:
+    """The first group of the first pattern that matches, or NULL; a pattern is tried once."""
+    found = [F.filter(F.array(F.regexp_extract(rest, pattern, 1)), lambda text: text != "") for pattern in patterns]
+    return F.coalesce(*[F.get(text, F.lit(0)) for text in found])
 
 
 def predicate_text(rest: Column) -> Column:
     """The document at the start of the text, or NULL."""
-    return F.coalesce(F.nullif(F.regexp_extract(rest, _PREDICATE, 1), F.lit("")), _scanned(rest, second=False))
+    return F.coalesce(_found(rest, _PREDICATE, _DEEP_PREDICATE), _scanned(rest, second=False))
 
 
 def update_text(rest: Column) -> Column:
     """The document one word after the end of the first one, or NULL."""
-    return F.coalesce(F.nullif(F.regexp_extract(rest, _UPDATE, 1), F.lit("")), _scanned(rest, second=True))
+    return F.coalesce(_found(rest, _UPDATE, _DEEP_UPDATE), _scanned(rest, second=True))
 
 
 def has_spaced_string(text: Column) -> Column:

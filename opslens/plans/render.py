@@ -114,28 +114,38 @@ def odd_dblog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server log lines of sixteen kinds that the plain log does not have: operators, lists, deep and broken documents."""
     e, user = F.col("event_id"), F.col("user_id")
     ns = text("odd", user % 4, ".docs")
-    prefix = text(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), "+0000 [conn", user, "] ")
     deep = text("{ a: " * DEEP, user, " }" * DEEP)
-    find = lambda document, plan: F.concat(prefix, text("query ", ns, " query: "), document, F.lit(f" planSummary: {plan} ntoreturn:10 0ms"))
+    # (document, plan) of a query, or the text behind the connection.
     kinds = [
-        find(text("{ $and: [ { uid: ", user, " }, { k: { $lte: ", e, " } } ] }"), "COLLSCAN"),
-        find(text("{ following: { $in: [ ", user, ", ", e, " ] } }"), "IXSCAN { following: 1 }"),
-        find(text("{ $or: [ { _id: ", user, " }, { hosts: ", e, " } ] }"), "IXSCAN { _id: 1 }"),
-        F.concat(prefix, text("query ", ns, " planSummary: COLLSCAN ntoreturn:20 0ms")),
-        F.concat(prefix, text("query ", ns, " planSummary: EOF ntoreturn:20 0ms")),
-        find(text('{ status: "OPEN", cid: ObjectId(\'', e, "') }"), "EOF"),
-        find(deep, "IXSCAN { a: 1 }"),
-        find(text('{ name: /^O"Brien', user, "/ }"), "IXSCAN { name: 1 }"),
-        find(text('{ a: "two } words ', user, '", b: ', e, " }"), "EOF"),
-        find(text("{ a: { b: ", user, " }"), "IXSCAN { a: 1 }"),
-        find(text("{ a: [ ", user, ", 2 ], b: [ { c: ", e, " }, 5 ] }"), "COLLSCAN"),
-        F.concat(prefix, text("remove ", ns, " query: { _id: ", e, " } ndeleted:1 0ms")),
-        text("yesterday [conn", user, "] insert ", ns, " ninserted:1 0ms"),
-        F.concat(prefix, text("update ", ns, " query: { _id: ", e, " } update: { $set: "), deep, F.lit(" } nscanned:1 0ms")),
-        F.concat(prefix, F.lit("connection accepted from 10.0.0.1")),
-        find(F.lit("{ a: {}, b: [] }"), "IXSCAN { a: 1 }"),
+        (text("{ $and: [ { uid: ", user, " }, { k: { $lte: ", e, " } } ] }"), "COLLSCAN"),
+        (text("{ following: { $in: [ ", user, ", ", e, " ] } }"), "IXSCAN { following: 1 }"),
+        (text("{ $or: [ { _id: ", user, " }, { hosts: ", e, " } ] }"), "IXSCAN { _id: 1 }"),
+        text("query ", ns, " planSummary: COLLSCAN ntoreturn:20 0ms"),
+        text("query ", ns, " planSummary: EOF ntoreturn:20 0ms"),
+        (text('{ status: "OPEN", cid: ObjectId(\'', e, "') }"), "EOF"),
+        (deep, "IXSCAN { a: 1 }"),
+        (text('{ name: /^O"Brien', user, "/ }"), "IXSCAN { name: 1 }"),
+        (text('{ a: "two } words ', user, '", b: ', e, " }"), "EOF"),
+        (text("{ a: { b: ", user, " }"), "IXSCAN { a: 1 }"),
+        (text("{ a: [ ", user, ", 2 ], b: [ { c: ", e, " }, 5 ] }"), "COLLSCAN"),
+        text("remove ", ns, " query: { _id: ", e, " } ndeleted:1 0ms"),
+        text("insert ", ns, " ninserted:1 0ms"),
+        F.concat(text("update ", ns, " query: { _id: ", e, " } update: { $set: "), deep, F.lit(" } nscanned:1 0ms")),
+        F.lit("connection accepted from 10.0.0.1"),
+        (F.lit("{ a: {}, b: [] }"), "IXSCAN { a: 1 }"),
     ]
-    line = F.get(F.array(*kinds), (e % len(kinds)).cast("int"))
+    # A row writes the line of its own kind only.
+    kind, untimed = e % len(kinds), 12
+    time = F.when(kind == untimed, "yesterday").otherwise(text(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), "+0000"))
+    document = plan = other = F
+    for i, parts in enumerate(kinds):
+        if isinstance(parts, tuple):
+            document, plan = document.when(kind == i, parts[0]), plan.when(kind == i, parts[1])
+        else:
+            other = other.when(kind == i, parts)
+    find = text("query ", ns, " query: ", document, " planSummary: ", plan, " ntoreturn:10 0ms")
+    queries = [i for i, parts in enumerate(kinds) if isinstance(parts, tuple)]
+    line = text(time, " [conn", user, "] ", F.when(kind.isin(queries), find).otherwise(other))
     return rows_as_lines(rows(spark, sf_dir, "events"), F.lit("odd.log"), e, [line])
 
 

@@ -4,9 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.functions.shapes import shape_of, shape_of_skeleton
+from opslens.functions import predicates
+from opslens.functions.shapes import _by_names, shape_of, shape_of_skeleton
 from shape_by_hand import canonical_shape
 from opslens.operators import workload
+from opslens.plans import render
 from opslens.sinks import events as event_store
 from opslens.sources import dblog
 
@@ -230,3 +232,44 @@ def test_shape_expression_equals_building_by_hand(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", shape_of_skeleton(F.col("t")).alias("s"))
     assert [(r["t"], r["s"]) for r in rows.collect()] == [(t, canonical_shape(t)) for t in texts]
     assert "Arrow" not in rows._jdf.queryExecution().toString() and "Python" not in rows._jdf.queryExecution().toString()
+
+
+def test_well_formed_documents_are_not_folded(spark):
+    shapes = {  # blanked document: its shape, and whether the engine's own sort gives it
+        "{ b: #, a: { _id: #, $lte: # }, c: [ #, { z: # }, {} ] }": (":fieldname<:_id:$lte>:fieldname:fieldname[#:fieldname]", True),
+        "{ $in: [ #, # ], $or: [ { _id: # }, { EOF: # } ], é: {} }": (":$in:$or[:_id$EOF]:fieldname<>", True),
+        "{ query: { orderby: # }, a: #, $a$b: [] }": (":$ab[]:fieldname$query<:fieldname>", True),
+        "{ a: " * 120 + "#" + " }" * 120: (":fieldname<" * 119 + ":fieldname" + ">" * 119, True),
+        "{ b: #, a: " * 120 + "#" + " }" * 120: (":fieldname<" * 119 + ":fieldname:fieldname" + ">:fieldname" * 119, True),
+        # A name that comes again, lists inside lists, names kept at the top only, and what is no document.
+        "{ a: #, a: { b: # } }": (":fieldname<:fieldname>", False),
+        "{ a: [ [ # ], # ] }": (":fieldname[##]", False),
+        "{ query: #, a: { query: # } }": (":fieldname<:fieldname>$query", False),
+        "{ b: #, a: " * 300 + "#" + " }" * 300: (":fieldname<" * 299 + ":fieldname:fieldname" + ">:fieldname" * 299, False),
+        "{ a: # } { b: #, c: # }": (":fieldname:fieldname", False),
+        "{ a: # } }": (":fieldname", False),
+        "{ a: #}": ("#", False),
+        "{ \U0001f600: #, Ａ: { } }": (":fieldname<>:fieldname", False),
+    }
+    rows = spark.createDataFrame([(text,) for text in shapes], "t STRING").select("t", shape_of_skeleton(F.col("t")), _by_names(F.col("t")).isNotNull())
+    assert {row[0]: tuple(row[1:]) for row in rows.collect()} == shapes
+
+
+def test_deep_documents_are_found_by_a_pattern(spark):
+    deep = lambda n: "{ a: \"x } \\\" { y\", b: " * n + "1" + " }" * n
+    for n, found in ((120, True), (predicates._DEPTH, True), (predicates._DEPTH + 1, False), (300, False)):
+        text = f"{deep(n)} update: {deep(n)} nscanned:1 0ms"
+        (row,) = spark.createDataFrame([(text,)], "t STRING").select(
+            predicates.predicate_text(F.col("t")), predicates.update_text(F.col("t")),
+            predicates._found(F.col("t"), predicates._DEEP_PREDICATE), predicates._found(F.col("t"), predicates._DEEP_UPDATE)).collect()
+        assert tuple(row) == (deep(n), deep(n)) + ((deep(n), deep(n)) if found else (None, None))
+
+
+def test_odd_lines_are_written_once(spark, tmp_path):
+    events = [(i, i + 7, "2024-01-01 00:00:11.172") for i in range(32)] + [(None, 1, "2024-01-01 00:00:11.172"), (-3, 1, "2024-01-01 00:00:11.172"), (32, None, "2024-01-01 00:00:11.172"), (44, 5, None)]
+    spark.createDataFrame(events, "event_id BIGINT, user_id BIGINT, ts STRING").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    log = render.odd_dblog(spark, str(tmp_path))
+    found = {row.pos: row.value for row in log.collect()}
+    assert sorted(found) == [*range(32), 44] and found[44] == "yesterday [conn5] insert odd1.docs ninserted:1 0ms"
+    assert found[17] == "2024-01-01T00:00:11.172+0000 [conn24] query odd0.docs query: { following: { $in: [ 24, 17 ] } } planSummary: IXSCAN { following: 1 } ntoreturn:10 0ms"
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("date_format(") == 1
